@@ -203,3 +203,55 @@ def mapped(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
             yield pa.RecordBatch.from_arrays([*columns, *[new[c] for c in added]], names=[*names, *added])
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, shape)
+
+
+class Logistic:
+    """A logistic curve over standardised features, fitted on the driver from a bounded sample by damped Newton steps."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2):
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        x = x if x.ndim == 2 else x.reshape(len(y), -1)
+        self.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
+        self.scale = x.std(0) + 1e-9 if len(x) else np.ones(x.shape[1])
+        z = self._lift(x)
+        w = np.zeros(z.shape[1])
+        rate = (y.sum() + 1.0) / (len(y) + 2.0)
+        w[-1] = np.log(rate / (1 - rate))
+        if 0 < y.sum() < len(y):
+            damp = np.full(len(w), ridge)
+            damp[-1] = 1e-6
+            for _ in range(60):
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+                step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(damp + 1e-6), z.T @ (p - y) + damp * w)
+                w -= np.clip(step, -5, 5)
+                if np.abs(step).max() < 1e-8:
+                    break
+        self.weights = w
+        p = np.clip(self(x), 1e-9, 1 - 1e-9)
+        self.loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) if len(y) else 0.0
+
+    def _lift(self, x: np.ndarray) -> np.ndarray:
+        return np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, float).reshape(-1, len(self.mean))
+        return 1 / (1 + np.exp(-np.clip(self._lift(x) @ self.weights, -40, 40)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int) -> DataFrame:
+    """Texts of at most ``bound`` labelled training documents, chosen by a hash of doc_id: (doc_id, text, label).
+
+    Rows without a label, and those whose fold ``held`` keeps apart, are left
+    out.  Only the ids travel (the bound is their proven size); equal texts
+    count once.  The result is written to the shared folder.
+    """
+    ids = (
+        labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+        .filter(remainder("doc_id", modulus) != held)
+        .groupBy("doc_id")
+        .agg(F.max(label).cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(bound)
+    )
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return stored(texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["text"]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, tokens
+from . import quality, secrets, tokens, toxicity
 from .common import plain, table
 
 
@@ -15,6 +15,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs).drop("text")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = plain(table(spark, sf_dir, "documents"), "doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(toxicity.held_out(docs, 5, 0), model).select("doc_id", "held_out", "score", "predicted", "n_hits")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = plain(table(spark, sf_dir, "documents"), "doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score(toxicity.held_out(docs, 4, 2), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = plain(table(spark, sf_dir, "documents"), "doc_id", "text")
     return tokens.encode(docs, with_ids=False).drop("text")
@@ -22,6 +34,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op8_bpe": op8_bpe,
 }
 
