@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, quality, secrets, tokens, toxicity
+from . import neardup, quality, secrets, substrings, tokens, toxicity
 from .common import plain, table
 
 
@@ -27,6 +27,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(toxicity.held_out(docs, 4, 2), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_bpe": op8_bpe,
 }
