@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, quality, secrets, substrings, tokens, toxicity
+from . import decontam, neardup, quality, secrets, substrings, tokens, toxicity
 from .common import plain, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = plain(table(spark, sf_dir, "documents"), "doc_id", "text")
     return secrets.scan(docs).drop("text")
@@ -41,6 +45,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
