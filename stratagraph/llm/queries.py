@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, quality, secrets, substrings, tokens, toxicity
+from . import decontam, neardup, quality, secrets, substrings, tokens, toxicity, vectors
 from .common import plain, table
 
 
@@ -44,6 +44,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(docs, with_ids=False).drop("text")
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -52,6 +56,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeated_passages": op6_repeated_passages,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_bpe": op8_bpe,
+    "op10_near_vectors": op10_near_vectors,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_near_vectors": """
+        WITH RECURSIVE links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.98
+        ),
+        reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION
+            SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ),
+        roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT r.a AS vec_id, coalesce(c.n, 0)::BIGINT AS n_links, r.component_id, r.a = r.component_id AS kept
+        FROM roots r LEFT JOIN counts c ON r.a = c.a
+    """,
+}
