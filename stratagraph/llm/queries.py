@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, quality, secrets, substrings, tokens, toxicity, vectors
+from . import decontam, neardup, personal, quality, secrets, substrings, tokens, toxicity, vectors
 from .common import plain, table
 
 
@@ -19,6 +19,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs).drop("text")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.scan(plain(table(spark, sf_dir, "documents"), "doc_id", "text")).drop("text")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = plain(table(spark, sf_dir, "documents"), "doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -51,6 +55,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
+    "op3_personal_data": op3_personal_data,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_repeated_passages": op6_repeated_passages,
