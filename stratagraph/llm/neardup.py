@@ -10,7 +10,7 @@ Copies with equal sets are one class from the start, and only its first
 document is compared.  In a bucket the members are not paired all with all:
 in each star round they are held against one member of the bucket, and what
 has been linked, directly or through others, is not compared again; a last
-round compares what still differs.  So no link between bucket mates is lost,
+round compares what still differs, in blocks of a bucket.  So no link between bucket mates is lost,
 and a group of thousands of copies costs about one comparison a copy.
 
 At a similarity of 0.8 a pair meets in no table with a probability of about
@@ -44,6 +44,9 @@ CHUNK = 2 << 20
 #: differ: at a similarity of 0.8 a tenth does, and a pair is lost with a probability of 3e-5.
 BITS = 192
 DIFFERENT = 36
+#: Members of a bucket that the last round compares at once, and rows of one unit of its work, on average.
+BLOCK = 2048
+UNIT = 4_000
 #: Pairs up to which their ids are broadcast (16 bytes a pair).
 BROADCAST_PAIRS = 100_000
 
@@ -176,6 +179,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(rows.mapInArrow(lambda batches: _linked(batches, percent), kinds))
 
 
+def _crossed(table: pa.Table, percent: int, m: int) -> pa.Table:
+    """Links between members of differing labels in the buckets (or pairs of bucket blocks) of one unit of work.
+
+    A pair is verified in the first table that it meets in; only links that
+    join two groups of a bucket leave it.
+    """
+    table = table.combine_chunks().sort_by([("key", "ascending"), ("bi", "ascending"), ("bj", "ascending"), ("id", "ascending")])
+    n = table.num_rows
+    key, bi, bj, own, ids, label = (table.column(c).to_numpy() for c in ("key", "bi", "bj", "own", "id", "label"))
+    turn = table.column("t").to_numpy()
+    keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(n, -1)
+    bits = np.array(table.column("bits").to_pylist(), np.int64).view(np.uint64).reshape(n, -1)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes").combine_chunks()] if n else []
+    sizes = np.array([len(x) for x in sets], np.int64)
+    found: list[tuple] = []
+    cut = np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
+    limit = DIFFERENT * max(1, (100 - percent) // 20)
+    for a, b in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [n]]).tolist()):
+        i, j = divmod(int(turn[a]), m)
+        group = label[a:b].copy()
+        for r in range(a, b - 1):
+            if bi[a] != bj[a] and own[r] != bi[a]:
+                continue
+            rest = np.arange(r + 1, b) if bi[a] == bj[a] else a + np.flatnonzero(own[a:b] == bj[a])
+            ok = group[rest - a] != group[r - a]
+            ok &= (100 * sizes[rest] >= percent * sizes[r]) & (100 * sizes[r] >= percent * sizes[rest])
+            rest = rest[ok]
+            rest = rest[np.bitwise_count(bits[rest] ^ bits[r]).sum(axis=1) <= limit]
+            rest = rest[~((keys[rest, :i] == keys[r, :i]).any(axis=1) | (keys[rest, m : m + j] == keys[r, m : m + j]).any(axis=1))]
+            if not len(rest):
+                continue
+            flat = np.concatenate([sets[x] for x in rest])
+            at = np.minimum(np.searchsorted(sets[r], flat), len(sets[r]) - 1)
+            common = np.add.reduceat((sets[r][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[rest])[:-1]]))
+            for x in rest[100 * common >= percent * (sizes[r] + sizes[rest] - common)].tolist():
+                if group[x - a] != group[r - a]:
+                    found.append((ids[r], ids[x]))
+                    group[group == group[x - a]] = group[r - a]
+    kind = table.schema.field("id").type
+    return pa.table({"a": pa.array([f[0] for f in found], kind), "b": pa.array([f[1] for f in found], kind)})
+
+
+def _last_round(labelled: DataFrame, mixed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
+    """Links (a, b) in buckets that still hold several groups; sets travel to the buckets, pairs never become rows."""
+    left = labelled.join(mixed.select("key"), "key").select("key", "t", "id", "label")
+    sizes = left.groupBy("key").agg(F.count("*").alias("size"))
+    units = max(1, -(-left.count() // UNIT))
+    pieces = left.join(sizes, "key").withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")))
+    pieces = pieces.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    pieces = pieces.select("key", "t", "id", "label", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    marks = classes.select(F.col("doc_id").alias("id"), "keys", "bits")
+    work = pieces.join(marks, "id").join(sets, "id").withColumn("unit_no", F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(units)))
+    kind = labelled.schema["id"].dataType.simpleString()
+    columns = ["unit_no", "key", "t", "id", "label", "own", "bi", "bj", "keys", "bits", "hashes"]
+    return stored(work.select(*columns).groupBy("unit_no").applyInArrow(lambda t: _crossed(t, percent, m), f"a {kind}, b {kind}"))
+
+
 def _close(percent: int):
     """Whether the sizes and one-bit minhashes of two marks p and q allow for a similarity of ``percent``."""
     sizes = (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent)
@@ -195,9 +255,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = COL
     live = table.filter(F.col("d1").isNotNull() & F.col("doc_id").isNotNull())
     first = live.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "keys", "bits")).alias("s"))
     classes = stored(first.select("d1", "d2", "s.*"))
-    combine = f"flatten(transform(slice(keys, 1, {m}), (x, i) -> transform(slice(keys, {m + 1}, {m}), (y, j) -> xxhash64(x, y, i, j))))"
+    combine = f"flatten(transform(slice(keys, 1, {m}), (x, i) -> transform(slice(keys, {m + 1}, {m}), (y, j) -> xxhash64(x, y, i, j))))"  # table i * m + j
     heads = classes.select(F.col("doc_id").alias("id"), "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)])
-    entries = classes.select(F.col("doc_id").alias("id"), F.explode(F.expr(combine)).alias("key"))
+    entries = classes.select(F.col("doc_id").alias("id"), F.posexplode(F.expr(combine)).alias("t", "key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     buckets = stored(entries.join(shared, "key").join(heads, "id"))
     members = buckets.select("id").distinct()
@@ -217,13 +277,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = COL
         if turn < STARS:
             y = mixed.select("key", F.col("c.id").alias("b"), F.col("c.mark").alias("q"), F.col("c.label").alias("lb"))
             pairs = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & _close(percent))
+            pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            found = _verified(pairs, sets, percent)
         else:
-            x = x.join(mixed.select("key"), "key")
-            y = x.select("key", F.col("a").alias("b"), F.col("p").alias("q"), F.col("la").alias("lb"))
-            x = x.withColumnRenamed("key", "k")
-            pairs = x.join(y, (F.col("k") == F.col("key")) & (F.col("la") < F.col("lb")) & _close(percent))
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = _verified(pairs, sets, percent)
+            found = _last_round(labelled, mixed, classes, sets, percent, m)
         links = found if links is None else links.union(found)
         groups = components(links)
         if turn < STARS:
