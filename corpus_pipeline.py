@@ -1,28 +1,56 @@
-"""Training-corpus pipeline: each stage is one operator of ``stratagraph.llm``, its output written and read again as the next one's input."""
+"""Training-corpus pipeline: each stage is one operator of ``stratagraph.llm``, its output written and read again as the next one's input.
+
+Rows with null texts or null ids pass every stage; an empty table passes as an
+empty table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratagraph.llm import secrets, tokens
-from stratagraph.llm.common import stored, table
+from stratagraph.llm import decontam, neardup, secrets, tokens, toxicity
+from stratagraph.llm.common import plain, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon model takes for toxic go."""
+    docs = plain(docs, *COLUMNS)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter("predicted = 0").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the smallest doc_id stays."""
+    docs = plain(docs, *COLUMNS)
+    gone = neardup.near_duplicates(docs, k=5).filter("doc_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontam.clean(plain(docs, *COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Credentials are masked; every document stays."""
-    return secrets.scan(docs.select(*COLUMNS), redact=True)
+    """Credentials are masked, and n_chars follows; every document stays."""
+    masked = secrets.scan(plain(docs, *COLUMNS), redact=True)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars")).select(*COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text of what is left."""
-    return tokens.encode(docs.select(*COLUMNS), with_ids=False).drop("text")
+    """Token counts and digests of the ids and the decoded text of what is left."""
+    return tokens.encode(plain(docs, *COLUMNS), with_ids=False).drop("text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
     ("secret_scan", secret_stage),
     ("bpe", bpe_stage),
 ]
