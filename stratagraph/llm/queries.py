@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, personal, quality, secrets, substrings, tokens, toxicity, vectors
+from . import decontam, lm, neardup, personal, quality, secrets, substrings, tokens, toxicity, vectors
 from .common import plain, table
 
 
@@ -48,6 +48,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(docs, with_ids=False).drop("text")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -61,10 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeated_passages": op6_repeated_passages,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_bpe": op8_bpe,
+    "op9_language_model": op9_language_model,
     "op10_near_vectors": op10_near_vectors,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_language_model": op9_language_model,
     "op10_near_vectors": """
         WITH RECURSIVE links AS (
             SELECT a.vec_id AS a, b.vec_id AS b
