@@ -30,9 +30,9 @@ from .common import mapped, sha_hex
 #: Where the public vocabulary lies; a parameter of every function.
 VOCABULARY = "word_bpe_49k.json"
 #: Entries kept per worker of the table from a written word to its ids.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Arcs kept per worker; a full table is emptied and filled anew.
-CACHE_ARCS = 1_000_000
+CACHE_ARCS = 1_500_000
 
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -69,11 +69,15 @@ class Automaton:
             made.setdefault(self.vocab[a + b], (k, ids))
         self.rank, self.made = rank, made
         self.letters = _byte_letters()
-        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
         # inner tokens and word-final tokens, by their bare letters
         self.inner = {t: i for t, i in self.vocab.items() if not (self.suffix and t.endswith(self.suffix) and t != self.suffix)}
         self.final = {t.removesuffix(self.suffix): i for t, i in self.vocab.items() if self.suffix and t.endswith(self.suffix)} if self.suffix else self.inner
-        self.arcs: dict[tuple[int, int], bool] = {}
+        # the longest token that starts with these three letters (shorter ones need no entry)
+        self.span: dict[str, int] = {}
+        for t in (*self.inner, *self.final):
+            self.span[t[:3]] = max(self.span.get(t[:3], 0), len(t))
+        self.arcs: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words: dict[str, tuple[bytes, str]] = {}
@@ -85,7 +89,8 @@ class Automaton:
         by the later gadget is opened first, since at that gadget's turn its
         parts were what stood at the border.
         """
-        known = self.arcs.get((left, right))
+        arc = left << 32 | right
+        known = self.arcs.get(arc)
         if known is not None:
             return known
         a, b, limit = left, right, 1 << 60
@@ -110,25 +115,25 @@ class Automaton:
                 b = self.made[b][1][0]
         if len(self.arcs) >= CACHE_ARCS:
             self.arcs.clear()
-        self.arcs[(left, right)] = ok
+        self.arcs[arc] = ok
         return ok
 
     def walk(self, word: str) -> list[int]:
         """The ids of one pre-split word, given in byte letters."""
         n = len(word)
         whole = self.final.get(word)
-        inner, final, joins, longest = self.inner, self.final, self.joins_never, self.longest
-        if whole is not None and self._reached(whole, word):
+        inner, final, joins, reached, span = self.inner, self.final, self.joins_never, self._reached, self.span
+        if whole is not None and reached(whole):
             return [whole]
         path: list[int] = []
         sizes: list[int] = []
         at, most = 0, n - 1 if whole is not None else n
         while at < n:
             found = 0
-            for size in range(min(most, n - at, longest), 0, -1):
+            for size in range(min(most, n - at, span.get(word[at : at + 3], 2)), 0, -1):
                 piece = word[at : at + size]
                 token = (final if at + size == n else inner).get(piece)
-                if token is not None and self._reached(token, piece) and (not path or joins(path[-1], token)):
+                if token is not None and reached(token) and (not path or joins(path[-1], token)):
                     path.append(token)
                     sizes.append(size)
                     at += size
@@ -145,16 +150,13 @@ class Automaton:
             most = size - 1
         return path
 
-    def _reached(self, token: int, piece: str) -> bool:
+    def _reached(self, token: int) -> bool:
         """Whether the token's own parts meet by an arc, so that the merges do make it from its letters."""
-        made = self.made.get(token)
-        if made is None:
-            return True
-        known = self.arcs.get((token, -1))
+        known = self.whole.get(token)
         if known is None:
-            a, b = made[1]
-            known = self._joins_before(a, b, made[0]) and self._reached(a, "") and self._reached(b, "")
-            self.arcs[(token, -1)] = known
+            made = self.made.get(token)
+            known = made is None or (self._joins_before(*made[1], made[0]) and self._reached(made[1][0]) and self._reached(made[1][1]))
+            self.whole[token] = known
         return known
 
     def _joins_before(self, a: int, b: int, k: int) -> bool:
@@ -179,8 +181,9 @@ class Automaton:
         """Ids as little-endian 32-bit integers, and the labels joined by spaces, of a run without white space."""
         ids: list[int] = []
         for piece in self.split.findall(written):
-            ids += self.walk("".join([self.letters[b] for b in piece.encode("utf-8")]))
-        out = np.array(ids, "<u4").tobytes(), " ".join([self.label[i] for i in ids])
+            # printable ASCII letters stand for their own bytes
+            ids += self.walk(piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode("utf-8")]))
+        out = b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([self.label[i] for i in ids])
         if len(self.words) >= CACHE_WORDS:
             self.words.clear()
         self.words[written] = out
