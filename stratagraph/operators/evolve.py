@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import uniform
 from ..session import ship
 from . import ranking
+from .influence import MAX_ARCS
 from .kernel import Csr, tasks
 
-#: Arcs of a layer up to which it is sent to tasks whole (16 bytes an arc).
-MAX_ARCS = 20_000_000
 TASKS = ["t1", "t2", "t3"]
 
 

@@ -235,12 +235,12 @@ def closeness_harmonic(x: Layers) -> DataFrame:
 
 @register(
     sql.query(
-        "SELECT p.src, p.dst, round(p.p, 6) AS p1, round(coalesce(q.p, 0), 6) AS p2, round(coalesce(r.p, 0), 6) AS p3 FROM st p LEFT JOIN p2 q USING (src, dst) LEFT JOIN p3 r USING (src, dst)",
+        "SELECT p.src, p.dst, round(p.p, 9) AS p1, round(coalesce(q.p, 0), 9) AS p2, round(coalesce(r.p, 0), 9) AS p3 FROM st p LEFT JOIN p2 q USING (src, dst) LEFT JOIN p3 r USING (src, dst)",
         "st AS (SELECT e.src, e.dst, 1.0::DOUBLE / d.deg AS p FROM e1 e JOIN d1 d ON d.node = e.src), p2 AS (SELECT a.src, b.dst, sum(a.p * b.p) AS p FROM st a JOIN st b ON a.dst = b.src GROUP BY ALL), p3 AS (SELECT a.src, b.dst, sum(a.p * b.p) AS p FROM p2 a JOIN st b ON a.dst = b.src GROUP BY ALL)",
     )
 )
 def rrwp_k3(x: Layers) -> DataFrame:
-    return _r6(centrality.walk_probabilities(x.nodes, _arcs(x), 3), "p1", "p2", "p3")
+    return centrality.walk_probabilities(x.nodes, _arcs(x), 3).withColumns({c: F.round(c, 9) for c in ("p1", "p2", "p3")})
 
 
 @register(sql.query("SELECT e.src AS row, e.dst AS col, round(-1.0::DOUBLE / sqrt(a.deg * b.deg), 6) AS value FROM e1 e JOIN d1 a ON a.node = e.src JOIN d1 b ON b.node = e.dst UNION ALL SELECT node, node, 1.0::DOUBLE FROM nodes"))

@@ -58,4 +58,6 @@ class Layers:
         others = others.join(F.broadcast(first.select("node")), "node", "left_anti").orderBy("node").limit(k - 1)
         others = others.select((F.row_number().over(order) - 1).cast("bigint").alias("pos"), "node")
         second = others.union(rest.filter("pos = 1").select(F.lit(k - 1).cast("bigint").alias("pos"), "node"))
-        return first, second
+        # 2 k rows at most: collected once, so that plans over them stay short
+        shape = "pos bigint, node bigint"
+        return tuple(self.spark.createDataFrame([tuple(r) for r in s.orderBy("pos").collect()], shape) for s in (first, second))
