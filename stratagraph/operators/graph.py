@@ -83,3 +83,15 @@ def quality(layers: dict[int, DataFrame], nodes: DataFrame) -> DataFrame:
         row = row.select(F.lit(k).alias("layer"), "*", (F.col("n_edges") > 0).alias("ok"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def feature_quality(features: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n_missing, n_infinite, max_value, ok): ok where every value is finite and one is above 0."""
+    out = None
+    for c in columns:
+        x = F.col(c).cast("double")
+        odd = F.isnan(x) | (F.abs(x) == float("inf"))
+        row = features.agg(F.count_if(x.isNull()).alias("n_missing"), F.count_if(odd).alias("n_infinite"), F.max(F.when(~odd, x)).alias("max_value"))
+        row = row.select(F.lit(c).alias("column"), "*", ((F.col("n_missing") + F.col("n_infinite") == 0) & (F.coalesce("max_value", F.lit(0.0)) > 0)).alias("ok"))
+        out = row if out is None else out.unionByName(row)
+    return out

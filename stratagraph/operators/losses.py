@@ -77,6 +77,13 @@ def rank_matches(wa: DataFrame, wb: DataFrame) -> DataFrame:
     return rows.groupBy("a").agg(F.min_by("b", F.struct(F.abs(F.col("ra") - F.col("rb")), "b")).alias("b"))
 
 
+def centroid_similarity(a: DataFrame, b: DataFrame, keep_a: DataFrame, keep_b: DataFrame) -> DataFrame:
+    """(sim): cosine of the mean vectors of the kept rows of either side."""
+    mean = lambda side, keep, c: side.join(keep.select("idx"), "idx", "left_semi").select(F.posexplode("z").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias(c))
+    both = mean(a, keep_a, "x").join(mean(b, keep_b, "y"), "pos")
+    return both.agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y"))), F.lit(0.0))).alias("sim"))
+
+
 def prototypes(side: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """(bin, pos, value): weighted centroids of k equal bins by descending weight."""
     from .ranking import equal_bins
@@ -102,4 +109,4 @@ def schedule(epochs: int, warmup: int, align: tuple[float, float], recon: tuple[
     return out
 
 
-__all__ = ["similarity", "weighted_discrepancy", "info_nce", "reconstruction", "hub_margin", "rank_matches", "prototypes", "schedule"]
+__all__ = ["similarity", "weighted_discrepancy", "info_nce", "reconstruction", "hub_margin", "rank_matches", "centroid_similarity", "prototypes", "schedule"]

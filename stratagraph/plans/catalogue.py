@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import r6
-from ..operators import centrality, evolve, graph, influence, losses, ranking, search, similarity, walks
+from ..operators import centrality, evolve, graph, influence, losses, ranking, search, similarity, spectral, walks
 from ..sources import edgelist, generators
 from ..sources.layers import Layers
 from . import sql
@@ -248,6 +248,20 @@ def norm_laplacian(x: Layers) -> DataFrame:
     return _r6(centrality.normalized_laplacian(x.nodes, _arcs(x)), "value")
 
 
+@register()
+def lap_pe(x: Layers) -> DataFrame:
+    return spectral.positions(x.nodes, _arcs(x), 4)
+
+
+@register(
+    sql.query(
+        'SELECT \'deg\' AS "column", 0::BIGINT AS n_missing, 0::BIGINT AS n_infinite, max(deg)::DOUBLE AS max_value, true AS ok FROM d1 UNION ALL SELECT \'cc\', 0, 0, round(max(cc), 6), max(cc) > 0 FROM cc1'
+    )
+)
+def feature_quality(x: Layers) -> DataFrame:
+    return _r6(graph.feature_quality(graph.clustering(x.nodes, x.l1), ["deg", "cc"]), "max_value")
+
+
 # --- influence and attacks -------------------------------------------------
 
 
@@ -437,6 +451,16 @@ def hub_preserving(x: Layers) -> DataFrame:
     return _r6(losses.hub_margin(_sims(x), a.filter("label >= 7"), b.filter("label >= 7")), "loss")
 
 
+@register(
+    sql.query(
+        "SELECT round(sum(p.m * q.m) / sqrt(sum(p.m * p.m) * sum(q.m * q.m)), 6) AS sim FROM (SELECT k, avg(v) AS m FROM (SELECT unnest(z) AS v, unnest(range(0, 64)) AS k FROM emb_a WHERE label >= 7) GROUP BY k) p JOIN (SELECT k, avg(v) AS m FROM (SELECT unnest(z) AS v, unnest(range(0, 64)) AS k FROM emb_b WHERE label >= 7) GROUP BY k) q USING (k)"
+    )
+)
+def hub_centroid_similarity(x: Layers) -> DataFrame:
+    a, b = _sides(x)
+    return _r6(losses.centroid_similarity(a, b, a.filter("label >= 7"), b.filter("label >= 7")), "sim")
+
+
 _NR = "na AS (SELECT idx AS a, (row_number() OVER (ORDER BY w DESC, idx) - 1) / (count(*) OVER () - 1)::DOUBLE AS r FROM w_a), nb AS (SELECT idx AS b, (row_number() OVER (ORDER BY w DESC, idx) - 1) / (count(*) OVER () - 1)::DOUBLE AS r FROM w_b)"
 
 
@@ -737,6 +761,20 @@ def greedy_ic_k2(x: Layers) -> DataFrame:
     return walks.greedy_cascade(few, {1: _arcs(x).cache(), 2: graph.symmetric(x.l2).cache()}, 0.1, 10, 3, 2, x.spark)
 
 
+@register()
+def celf_k2(x: Layers) -> DataFrame:
+    few = [r["node"] for r in x.top_degree(x.l1, 4).collect()]
+    return walks.lazy_greedy(few, {1: _arcs(x).cache(), 2: graph.symmetric(x.l2).cache()}, 0.1, 10, 3, 2, x.spark)
+
+
+@register()
+def one_swap_search(x: Layers) -> DataFrame:
+    n = x.nodes.count()
+    a, b = ([r["node"] for r in s.orderBy("pos").limit(4).collect()] for s in x.stars())
+    few = [r["node"] for r in x.top_degree(x.l2, 6).collect()]
+    return search.one_swap(a, b, few, evolve.layer_csr(_arcs(x), n), evolve.layer_csr(graph.symmetric(x.l2), n), 0.01, 3, x.spark)
+
+
 @register(
     "WITH dr AS (SELECT id, floor(" + sql.uniform("'er:x'", "id") + " * 300)::BIGINT AS x, floor(" + sql.uniform("'er:y'", "id") + " * 300)::BIGINT AS y FROM range(0, 2016) t(id))"
     " SELECT u, v FROM (SELECT least(x, y) AS u, greatest(x, y) AS v, min(id) AS id FROM dr WHERE x <> y GROUP BY ALL ORDER BY id LIMIT 500)"
