@@ -140,7 +140,7 @@ def search(spark: SparkSession, n_nodes: int, arcs1: DataFrame, arcs2: DataFrame
             break
         pool = spark.createDataFrame([tuple(r) for r in parents], shape)
         picks = tournament(pool, size + size % 2, f"mate:{gen}").join(pool.select("id", "seeds_l1", "seeds_l2"), "id")
-        mates = picks.withColumn("pair_id", F.floor(F.col("round") / 2)).groupBy("pair_id").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("round", c))), lambda x, c=c: x[c]).alias(c) for c in ("seeds_l1", "seeds_l2")])
+        mates = picks.withColumn("pair_id", F.floor(F.col("round") / 2)).groupBy("pair_id").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("round", c))), lambda x: x[c]).alias(c) for c in ("seeds_l1", "seeds_l2")])
         children = None
         for side in ("seeds_l1", "seeds_l2"):
             kids = single_point(mates.select(F.concat(F.lit(f"{gen}:"), F.col("pair_id")).alias("pair_id"), F.col(side)[0].alias("x"), F.col(side)[1].alias("y")), side, n_nodes, k)
