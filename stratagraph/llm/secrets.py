@@ -29,7 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.A)
 HEX = re.compile(r"[0-9a-f]{16,}", re.A)
 #: Wider credential contexts, whose values are costed. Possessive so that long values don't backtrack.
 CONTEXT = re.compile(
-    r"""(?:passwords?|passwd|passphrase|pwd|secret|token|api[_-]?key|credentials?|auth|private[_-]?key|login)["']?\x20*[:=]\x20*(?:"([^"\s]{6,256}+)"|'([^'\s]{6,256}+)'|([^\s"',;<>|]{6,256}+))""",
+    r"""(?:passwords?|passwd|passphrase|pwd|secret|token|api[_-]?key|credentials?|auth|private[_-]?key|login)["']?\x20*[:=]\x20*(?:"([^"\s]{6,}+)"|'([^'\s]{6,}+)'|([^\s"',;<>|]{6,}+))""",
     re.I | re.A,
 )
 #: Guess cost (log10) from which a value in context counts as a secret.
@@ -52,18 +52,25 @@ _LONGEST = max(map(len, COMMON))
 _LEET = str.maketrans("0134578@$!", "oieastbasi")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.A)
 _NEXT = {(a, b) for row in KEY_ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
+_RULES = (lambda a, b: (a, b) in _NEXT, lambda a, b: ord(b) - ord(a) == 1, lambda a, b: ord(a) - ord(b) == 1)
 
 
 def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, enough: float = math.inf) -> float:
     """log10 of the guesses that the cheapest segmentation needs; 0 for an empty value.
 
     ``best[i]`` is the least cost of the first i characters.  Every span adds
     its own guesses and log10(2) for the cut before it, so that many short
     spans don't undercut one long one.
+
+    A cost of ``enough`` or more may come back as ``enough``: places that cost
+    as much already lead to nothing cheaper, and a value ends where no other
+    place is left.  A start within the stretch of repeats or neighbours of an
+    earlier start is skipped where the earlier one is no dearer at any end, so
+    that time grows with the length of the value.
     """
     n = len(value)
     low = value.lower()
@@ -71,10 +78,22 @@ def guess_cost(value: str) -> float:
     best = [0.0] + [math.inf] * n
     cut = math.log10(2)
     spread = math.log10(max(1, sum({_alphabet(c): _alphabet(c) for c in value}.values())))
+    reach = 0
+    done: dict = {}  # stretch -> (its end, last start that was followed, cost there)
+
+    def dearer(kind, i: int, here: float, least: int) -> bool:
+        end, p, at = done.get(kind, (0, 0, 0.0))
+        return i + least <= end and here >= at + math.log10((i - p + least) / least)
+
     for i in range(n):
+        if i > reach:
+            break
+        if best[i] >= enough:
+            continue
         here = best[i] + (cut if i else 0.0)
         # brute force, one character at a time; a run of them has one cut only
         best[i + 1] = min(best[i + 1], best[i] + spread)
+        ends = [i + 1]
         for j in range(i + 2, min(n, i + _LONGEST) + 1):
             rank = _RANK.get(low[i:j])
             cost = math.log10(rank) if rank else None
@@ -82,20 +101,32 @@ def guess_cost(value: str) -> float:
                 cost = math.log10(rank) + 0.6  # substitutions
             if cost is not None:
                 best[j] = min(best[j], here + max(0.3, cost) + (0.5 if value[i:j] != low[i:j] else 0.0))
+                ends.append(j)
         if value[i].isdigit() and (m := _DATE.match(value, i)):
             best[m.end()] = min(best[m.end()], here + math.log10(365 * 120))
+            ends.append(m.end())
         for unit in (1, 2, 3, 4):  # repeats of a short unit
+            kind = unit, i % unit
+            if dearer(kind, i, here, 2 * unit):
+                continue
             j = i + unit
             while j + unit <= n and value[j : j + unit] == value[i : i + unit]:
                 j += unit
                 best[j] = min(best[j], here + unit * spread + math.log10((j - i) / unit))
-        for rule in (lambda a, b: (a, b) in _NEXT, lambda a, b: ord(b) - ord(a) == 1, lambda a, b: ord(a) - ord(b) == 1):
+            done[kind] = j, i, here
+            ends.append(j)
+        for k, rule in enumerate(_RULES):
+            if dearer(k, i, here, 3):
+                continue
             j = i + 1
             while j < n and rule(low[j - 1], low[j]):
                 j += 1
                 if j - i >= 3:
                     best[j] = min(best[j], here + math.log10(47 * (j - i)))
-    return best[n]
+            done[k] = j, i, here
+            ends.append(j)
+        reach = max(reach, *ends)
+    return min(best[n], enough)
 
 
 def find(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
@@ -107,7 +138,8 @@ def find(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
         for m in CONTEXT.finditer(text):
             k = next(k for k in (1, 2, 3) if m[k] is not None)
             at, to = m.span(k)
-            if not any(a < to and at < b for a, b in taken) and any(c.isdigit() for c in m[k]) and guess_cost(m[k]) >= min_cost:
+            # a base span that ends inside the value leaves its rest to the value's span
+            if not any(a <= at and to <= b for a, b in taken) and any(c.isdigit() for c in m[k]) and guess_cost(m[k], min_cost) >= min_cost:
                 spans.append(("value", at, to))
     if "AKIA" in text:
         spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]

@@ -57,6 +57,19 @@ def test_secret_values_and_mask(spark):
     assert "x7Kq9vTz2LmPw" not in got[0]["text"] and got[1]["text"] is None and got[2]["text"] == "clean"
 
 
+def test_secret_values_of_any_length():
+    """The span reaches the end of the value, and the cost is found in linear time."""
+    rng = random.Random(6)
+    key = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789+/") for _ in range(900))
+    for text in (f"auth={key} end", f'private_key: "{key}"', f"pwd: '{key}'"):
+        assert secrets.masked(text, secrets.find(text)) == text.replace(key, "[SECRET]")
+    # a base span stops at the first other character of the value
+    text = "password=abcDEF123456!tail9Zq more"
+    assert secrets.masked(text, secrets.find(text)) == "[SECRET] more"
+    for unit in ("a", "qw", "abc", "password"):
+        assert secrets.guess_cost(unit * 20_000, secrets.MIN_COST) <= secrets.MIN_COST
+
+
 def personal_twin(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
