@@ -14,13 +14,16 @@ replaced.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import mapped, sha_hex
+from .tokens import default_vocabulary
 
 #: Order of kinds where spans start together.
 KINDS = ("assign", "access", "hex", "value")
@@ -35,7 +38,7 @@ CONTEXT = re.compile(
 #: Guess cost (log10) from which a value in context counts as a secret.
 MIN_COST = 9.0
 
-# Common password words by rank, and rows of a keyboard.
+# Common password words by rank (those of the vocabulary are added), and rows of a keyboard.
 COMMON = (
     "password 123456 qwerty letmein admin welcome login master dragon monkey sunshine princess football baseball "
     "shadow iloveyou secret test guest default changeme user root hello access flower love summer winter spring "
@@ -47,8 +50,22 @@ COMMON = (
 ).split()
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qazwsxedcrfvtgbyhnujmikolp")
 
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-_LONGEST = max(map(len, COMMON))
+#: Letters that a word of the vocabulary has at least and at most.
+SHORTEST, _LONGEST = 4, 24
+
+
+@cache
+def ranks() -> dict[str, int]:
+    """Rank of each common word: COMMON, and the whole words of the tokenizer's vocabulary, whose ids follow frequency."""
+    with open(default_vocabulary(), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model["end_of_word_suffix"] or ""
+    words = [t.removesuffix(end) for t in sorted(model["vocab"], key=model["vocab"].get) if t.endswith(end)]
+    words = [w for w in words if SHORTEST <= len(w) <= _LONGEST and w.isascii() and w.isalpha()]
+    found = {w: i for i, w in reversed(list(enumerate(words, 1)))}
+    return found | {w: min(i, found.get(w, i)) for i, w in reversed(list(enumerate(COMMON, 1)))}
+
+
 _LEET = str.maketrans("0134578@$!", "oieastbasi")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.A)
 _NEXT = {(a, b) for row in KEY_ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
@@ -59,7 +76,7 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+def guess_cost(value: str, enough: float = math.inf, words: dict[str, int] | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation needs; 0 for an empty value.
 
     ``best[i]`` is the least cost of the first i characters.  Every span adds
@@ -72,6 +89,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     earlier start is skipped where the earlier one is no dearer at any end, so
     that time grows with the length of the value.
     """
+    words = ranks() if words is None else words
     n = len(value)
     low = value.lower()
     plain = low.translate(_LEET)
@@ -95,9 +113,9 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         best[i + 1] = min(best[i + 1], best[i] + spread)
         ends = [i + 1]
         for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j])
+            rank = words.get(low[i:j])
             cost = math.log10(rank) if rank else None
-            if cost is None and (rank := _RANK.get(plain[i:j])):
+            if cost is None and (rank := words.get(plain[i:j])):
                 cost = math.log10(rank) + 0.6  # substitutions
             if cost is not None:
                 best[j] = min(best[j], here + max(0.3, cost) + (0.5 if value[i:j] != low[i:j] else 0.0))
@@ -129,7 +147,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     return min(best[n], enough)
 
 
-def find(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
+def find(text: str, min_cost: float = MIN_COST, words: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
     """All spans of one text as (kind, start, end), by start and kind."""
     spans = []
     if ":" in text or "=" in text:
@@ -139,7 +157,7 @@ def find(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
             k = next(k for k in (1, 2, 3) if m[k] is not None)
             at, to = m.span(k)
             # a base span that ends inside the value leaves its rest to the value's span
-            if not any(a <= at and to <= b for a, b in taken) and any(c.isdigit() for c in m[k]) and guess_cost(m[k], min_cost) >= min_cost:
+            if not any(a <= at and to <= b for a, b in taken) and guess_cost(m[k], min_cost, words) >= min_cost:
                 spans.append(("value", at, to))
     if "AKIA" in text:
         spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
@@ -167,11 +185,14 @@ def scan(docs: DataFrame, text: str = "text", min_cost: float = MIN_COST, redact
     One narrow pass over the rows, no shuffle.  With ``redact`` the columns
     stay as they are; null texts stay null.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(ranks())
 
     def make():
+        words = sent.value
+
         def each(batch: pa.RecordBatch) -> dict:
             texts = batch.column(text).to_pylist()
-            found = [find(t, min_cost) if t else [] for t in texts]
+            found = [find(t, min_cost, words) if t else [] for t in texts]
             if redact:
                 return {text: pa.array([masked(t, s) if s else t for t, s in zip(texts, found)], batch.column(text).type)}
             counts = {f"n_{kind}": pa.array([sum(x[0] == kind for x in s) for s in found], pa.int64()) for kind in KINDS}

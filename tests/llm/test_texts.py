@@ -70,6 +70,14 @@ def test_secret_values_of_any_length():
         assert secrets.guess_cost(unit * 20_000, secrets.MIN_COST) <= secrets.MIN_COST
 
 
+def test_secret_values_without_digits():
+    """The cost decides: random letters and symbols are secrets, words are not."""
+    for value in ("kGvQ!xTzRw#m", "qVxzKwplRtyb", "ZkXq-vWpT!mJ"):
+        assert secrets.find(f'pwd: "{value}"') == [("value", 6, 6 + len(value))]
+    for prose in ("password: required", "auth: international", "login: username", "passphrase = information", "credentials: not-required"):
+        assert secrets.find(prose) == []
+
+
 def personal_twin(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
