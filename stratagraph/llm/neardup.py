@@ -199,10 +199,11 @@ def _crossed(table: pa.Table, percent: int, m: int) -> pa.Table:
     for a, b in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [n]]).tolist()):
         i, j = divmod(int(turn[a]), m)
         group = label[a:b].copy()
-        for r in range(a, b - 1):
-            if bi[a] != bj[a] and own[r] != bi[a]:
-                continue
-            rest = np.arange(r + 1, b) if bi[a] == bj[a] else a + np.flatnonzero(own[a:b] == bj[a])
+        # within a block each row meets those after it; across blocks each row of bi meets all of bj
+        across = bi[a] != bj[a]
+        other = a + np.flatnonzero(own[a:b] == bj[a])
+        for r in a + np.flatnonzero(own[a:b] == bi[a]) if across else range(a, b - 1):
+            rest = other if across else np.arange(r + 1, b)
             ok = group[rest - a] != group[r - a]
             ok &= (100 * sizes[rest] >= percent * sizes[r]) & (100 * sizes[r] >= percent * sizes[rest])
             rest = rest[ok]

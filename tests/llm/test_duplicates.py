@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -82,6 +83,32 @@ def test_near_duplicates_last_round(spark, monkeypatch):
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
+@pytest.mark.parametrize("owners", [(0, 1, 0), (1, 0, 1), (1, 1, 0), (0, 0, 1)])
+def test_last_round_across_blocks(owners):
+    """The only link of a unit of two blocks involves its largest id, whichever block holds it."""
+    rng = np.random.default_rng(1)
+    same, other = (np.sort(rng.integers(0, 1 << 63, 100, np.uint64)) for _ in range(2))
+    first = next(i for i in range(2) if owners[i] != owners[2])
+    n, m = 3, 8
+    table = pa.table(
+        {
+            "unit_no": [0] * n,
+            "key": [5] * n,
+            "t": [0] * n,
+            "id": [10, 20, 30],
+            "label": [10, 20, 30],
+            "own": list(owners),
+            "bi": [0] * n,
+            "bj": [1] * n,
+            "keys": [list(range(2 * m))] * n,
+            "bits": [[0] * (neardup.BITS // 64)] * n,
+            "hashes": pa.array([(same if i in (first, 2) else other).tobytes() for i in range(n)], pa.binary()),
+        }
+    )
+    found = neardup._crossed(table, 80, m).to_pylist()
+    assert [{r["a"], r["b"]} for r in found] == [{10 * (first + 1), 30}]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert neardup.near_duplicates(none).count() == 0
