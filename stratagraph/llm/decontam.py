@@ -11,8 +11,12 @@ Only windows that could pass the verification are fingerprinted: a window
 with similarity s holds at least s times the item's weight in item shingles,
 which bounds their number from below.
 
+A text shorter than an item is one window as a whole.
+
 The items are sent to the executors in blocks of at most ITEM_BYTES, one pass
-over the texts for each block.  Nothing is shuffled but the found pairs.
+over the texts for each block; with several blocks, the shingles that items
+share are counted over all of them first and sent along.  Of the texts,
+nothing is shuffled but the found pairs.
 Case doesn't count. Null or empty texts and items match nothing; items shorter than ``k`` words
 are one shingle of all their words; repeated items and rows match each.
 """
@@ -59,10 +63,25 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
+class _Weights:
+    """Weights of shingles by the number of all items that have them; ``keys`` (sorted) are those of two items or more."""
+
+    def __init__(self, n: int, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.values = keys, np.log1p(n / counts)
+
+    def get(self, x: int, default: float) -> float:
+        at = int(np.searchsorted(self.keys, np.uint64(x)))
+        return float(self.values[at]) if at < len(self.keys) and int(self.keys[at]) == x else default
+
+
 class Index:
-    """Items of one block: their shingles with weights, fingerprints and, for each size, the multi-index."""
+    """Items of one block: their shingles with weights, fingerprints and, for each size, the multi-index.
+
+    ``shared`` holds the number of all items and the shingles of two or more
+    of them with their counts; without it the block is all items.
+    """
 
-    def __init__(self, ids: list, texts: list[str | None], k: int, min_similarity: float, radius: int):
+    def __init__(self, ids: list, texts: list[str | None], k: int, min_similarity: float, radius: int, shared: tuple | None = None):
         self.k, self.least, self.radius = k, min_similarity, radius
         words = _words(pa.array([t or "" for t in texts], pa.large_string()))
         self.ids, self.sizes, shingles = [], [], []
@@ -72,22 +91,25 @@ class Index:
                 self.ids.append(item)
                 self.sizes.append(len(h))
                 shingles.append(rolling(h, min(k, len(h))))
-        n = len(self.ids)
-        frequency: dict[int, set[int]] = defaultdict(set)
-        for i, s in enumerate(shingles):
-            for x in s.tolist():
-                frequency[x].add(i)
-        self.weight = {x: math.log1p(n / len(v)) for x, v in frequency.items()}
-        self.unknown = math.log1p(max(1, n))
+        n = shared[0] if shared else len(self.ids)
+        if shared:
+            self.weight = _Weights(*shared)
+        else:
+            frequency: dict[int, set[int]] = defaultdict(set)
+            for i, s in enumerate(shingles):
+                for x in s.tolist():
+                    frequency[x].add(i)
+            self.weight = {x: math.log1p(n / len(v)) for x, v in frequency.items()}
+        self.unknown = math.log1p(max(1, n))  # the weight of shingles that one item has, too
         self.sets = [frozenset(s.tolist()) for s in shingles]
         self.blocks = [np.uint64(b) for b in np.linspace(0, _BITS, radius + 2).astype(int)]
         self.by_size: dict[int, dict] = {}
         for i, s in enumerate(shingles):
-            w = np.array([self.weight[x] for x in s.tolist()])
+            w = np.array([self.weight.get(x, self.unknown) for x in s.tolist()])
             mark = int(_pack(_fingerprint_sums(s, w)[-1:])[0])
             size = self.by_size.setdefault(self.sizes[i], {"tables": defaultdict(list), "need": math.inf, "marks": {}})
             size["marks"][i] = mark
-            size["need"] = min(size["need"], math.ceil(min_similarity * sum(self.weight[x] for x in self.sets[i]) / self.unknown - 1e-9))
+            size["need"] = min(size["need"], math.ceil(min_similarity * sum(self.weight.get(x, self.unknown) for x in self.sets[i]) / self.unknown - 1e-9))
             for b in range(radius + 1):
                 size["tables"][b, self._block(mark, b)].append(i)
         # shingles by width (items shorter than k have a narrower one), with the sizes of the items that have them
@@ -140,6 +162,8 @@ class Index:
         first, stop = int(words.first[row]), int(words.first[row + 1])
         inside = size - width  # a window's shingles start at its first word up to this many later
         need = max(1, self.by_size[size]["need"])
+        if first + size > stop:
+            return self._entire(shingle[first : stop - width + 1], row, size, stop - first) if len(found) >= need else []
         # starts from which a window holds enough item shingles
         opens = np.unique(np.concatenate([found - d for d in range(inside + 1)])) if inside < 64 else np.arange(found[0] - inside, found[-1] + 1)
         opens = opens[(opens >= first) & (opens + size <= stop)]
@@ -170,6 +194,35 @@ class Index:
                             best[item] = [row, item, at, at + size, s]
         return out + [tuple(x) for x in best.values()]
 
+    def _entire(self, part: np.ndarray, row: int, size: int, words: int) -> list:
+        """Items of which a shorter text, as one window, is a near copy."""
+        weights = np.array([self.weight.get(x, self.unknown) for x in part.tolist()])
+        inner = frozenset(part.tolist())
+        scored = [(item, self.similarity(item, inner)) for item in self.candidates(size, int(_pack(_fingerprint_sums(part, weights)[-1:])[0]))]
+        return [(row, item, 0, words, s) for item, s in scored if s >= self.least - 1e-12]
+
+
+def _shared(items: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of items with words, and the shingles that two or more of them have with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrow_chunks(batches, "text", CHUNK):
+            words = _words(whole(part.column("text")))
+            hashes = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:]) if b > a]
+            found = [np.unique(rolling(h, min(k, len(h)))) for h in hashes]
+            # the null shingle counts the items
+            data = [pa.array(np.concatenate(found).view(np.int64)), pa.nulls(len(found), pa.int64())] if found else [pa.array([], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(data)], names=["shingle"])
+
+    counts = items.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or shingle is null")
+    t = counts.toArrow()  # grows with the shingles that items share
+    none = t.column("shingle").is_null()
+    n = pc.sum(t.filter(none).column("n")).as_py() or 0
+    t = t.filter(pc.invert(none))
+    keys, n_items = t.column("shingle").to_numpy().view(np.uint64), t.column("n").to_numpy()
+    order = np.argsort(keys)
+    return n, keys[order], n_items[order]
+
 
 def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     """First and last of each run of consecutive integers."""
@@ -188,6 +241,7 @@ def find_passages(docs: DataFrame, items: DataFrame, k: int = SHINGLE, min_simil
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start_word long, end_word long, similarity double"
     total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).collect()[0][0] or 0
     n_blocks = max(1, -(-total // ITEM_BYTES))
+    shared = spark.sparkContext.broadcast(_shared(items, k) if n_blocks > 1 else None)
     found = None
     for block in range(n_blocks):
         mine = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
@@ -197,7 +251,7 @@ def find_passages(docs: DataFrame, items: DataFrame, k: int = SHINGLE, min_simil
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = None
             for part in arrow_chunks(batches, "text", CHUNK):
-                index = index or Index(*held.value, k, min_similarity, radius)
+                index = index or Index(*held.value, k, min_similarity, radius, shared.value)
                 hits = index.search(_words(whole(part.column("text"))))
                 ids = whole(part.column("doc_id"))
                 row, item, a, b, s = zip(*hits) if hits else ((), (), (), (), ())

@@ -185,3 +185,23 @@ def test_decontamination_blocks(spark, monkeypatch):
     d = docs(spark, ["x y z " + t for _, t in items])
     got = decontam.find_passages(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(9)}
+
+
+def test_decontamination_of_short_documents(spark):
+    """Items with words dropped at an end are found though no window of the item's size fits."""
+    words = [f"item{i}" for i in range(38)]
+    texts = [" ".join(words[:-1]), " ".join(words[2:]), " ".join(words[:20]), " ".join(words[1:-1]).upper()]
+    got = decontam.find_passages(docs(spark, texts), spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"], round(r["similarity"], 6)) for r in got} == {(0, 0, 37, round(33 / 34, 6)), (1, 0, 36, round(32 / 34, 6)), (3, 0, 36, round(32 / 34, 6))}
+
+
+def test_decontamination_weights_in_blocks(spark, monkeypatch):
+    """Similarities don't depend on how the items are cut into blocks."""
+    shared = " ".join(f"s{j}" for j in range(12))
+    items = [(i, f"{shared if i % 2 else ''} " + " ".join(f"a{i}b{j}" for j in range(14))) for i in range(9)] + [(9, None), (10, "two words")]
+    texts = [f"x {t} y" for _, t in items[:9]] + [f"{t.rsplit(' ', 1)[0]} other {shared}" for _, t in items[:9]]
+    find = lambda: sorted((r["doc_id"], r["item_id"], r["start_word"], round(r["similarity"], 9)) for r in decontam.find_passages(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    want = find()
+    assert any(s < 1 for *_, s in want)
+    monkeypatch.setattr(decontam, "ITEM_BYTES", 300)
+    assert find() == want
