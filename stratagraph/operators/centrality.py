@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import stored
 from . import graph
 
 
@@ -32,13 +33,29 @@ def h_index(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     return _all(nodes, _h_of(_neighbour_degrees(nodes, arcs), "nbr_deg", "h_index"), "h_index", 0)
 
 
-def core_numbers(nodes: DataFrame, arcs: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, core): degrees, then ``rounds`` times the h-index of the neighbours' values, which falls to the core number."""
+def core_numbers(nodes: DataFrame, arcs: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, core): degrees, then the h-index of the neighbours' values until no value changes, which is the core number.
+
+    With ``rounds``, so many rounds only: upper bounds of the core numbers.
+    """
     value = graph.degree(nodes, arcs).withColumnRenamed("deg", "core")
-    for _ in range(rounds):
+
+    def following(value: DataFrame) -> DataFrame:
         around = arcs.join(value.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "core")
-        value = _all(nodes, _h_of(around, "core", "core"), "core", 0)
-    return value
+        return _all(nodes, _h_of(around, "core", "core"), "core", 0)
+
+    if rounds is not None:
+        for _ in range(rounds):
+            value = following(value)
+        return value
+    arcs = stored(arcs)
+    total = None
+    while True:  # values only fall, so an equal sum means that none changed
+        value = stored(value)
+        last, total = total, value.agg(F.sum("core")).collect()[0][0]
+        if total == last:
+            return value
+        value = following(value)
 
 
 def average_neighbour_degree(nodes: DataFrame, arcs: DataFrame) -> DataFrame:

@@ -225,6 +225,11 @@ def kcore(x: Layers) -> DataFrame:
     return centrality.core_numbers(x.nodes, _arcs(x), 4)
 
 
+@register()
+def kcore_fixpoint(x: Layers) -> DataFrame:
+    return centrality.core_numbers(x.nodes, _arcs(x))
+
+
 _BFS = "bfs AS (SELECT node AS src, node, 0 AS dist FROM sa UNION SELECT b.src, e.dst, b.dist + 1 FROM bfs b JOIN e1 e ON e.src = b.node WHERE b.dist < 3), best AS (SELECT src, node, min(dist) AS dist FROM bfs GROUP BY src, node HAVING min(dist) > 0)"
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from stratagraph.operators import evolve, graph, influence, ranking, search
+from stratagraph.operators import centrality, evolve, graph, influence, ranking, search
 from stratagraph.operators.kernel import Csr, robust
 from stratagraph.sources import edgelist
 
@@ -122,3 +122,20 @@ def test_search_never_gets_worse(spark):
     assert len(rows) == 3
     for t in ("best_t1", "best_t2", "best_t3"):
         assert all(x[t] <= y[t] + 1e-12 for x, y in zip(rows, rows[1:]))
+
+
+def test_core_numbers_by_peeling(spark):
+    """A long chain on a clique needs a round for each of its links; core numbers come from removing least degrees."""
+    rng = np.random.default_rng(4)
+    pairs = [(i, i + 1) for i in range(30)] + [(a, b) for a in range(30, 35) for b in range(a + 1, 35)]
+    pairs += [(int(a), int(b)) for a, b in {tuple(sorted(p)) for p in rng.integers(35, 60, (60, 2)).tolist()} if a != b]
+    adj = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(62)}
+    want, k = {}, 0
+    while adj:
+        i = min(adj, key=lambda x: len(adj[x]))
+        k = max(k, len(adj[i]))
+        want[i] = k
+        for j in adj.pop(i):
+            adj[j].discard(i)
+    got = {r["node"]: r["core"] for r in centrality.core_numbers(nodes(spark, 62), graph.symmetric(edges(spark, pairs))).collect()}
+    assert got == want
