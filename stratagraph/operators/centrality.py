@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..llm.common import stored
+from ..session import ship
 from . import graph
+from .influence import MAX_ARCS
+
+#: Sources of one breadth-first search; each node holds a bit for each.
+SOURCES = 1024
 
 
 def _neighbour_degrees(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -138,6 +146,62 @@ def closeness(nodes: DataFrame, arcs: DataFrame, sources: DataFrame, depth: int)
     return rows.select("node", F.coalesce(near, F.lit(0.0)).alias("closeness"), F.coalesce("harmonic", F.lit(0.0)).alias("harmonic"))
 
 
+def _spread(src: np.ndarray, dst: np.ndarray, n: int, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of nodes reached, sum of distances and of their inverses, for each source; one bit a source, arcs sorted by dst."""
+    k = len(sources)
+    front = np.zeros((n, -(-k // 64)), np.uint64)
+    at = np.arange(k)
+    np.bitwise_or.at(front, (sources, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    seen = front.copy()
+    begin = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.zeros(0, np.int64)
+    reached, total, inverse = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k)
+    d = 0
+    while len(dst) and front.any():
+        d += 1
+        new = np.zeros_like(front)
+        new[dst[begin]] = np.bitwise_or.reduceat(front[src], begin)
+        new &= ~seen
+        seen |= new
+        found = np.unpackbits(new.view(np.uint8), axis=1, bitorder="little", count=k).sum(axis=0, dtype=np.int64)
+        reached += found
+        total += d * found
+        inverse += found / d
+        front = new
+    return reached, total, inverse
+
+
+def whole_closeness(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(node, closeness, harmonic) of every node over all that it reaches; the arcs are sent to the tasks, their number is checked."""
+    spark = nodes.sparkSession
+    m = arcs.count()
+    if m > MAX_ARCS:
+        raise ValueError(f"{m} arcs; whole closeness takes a layer of up to {MAX_ARCS}")
+    t = arcs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).toArrow()
+    ids, both = np.unique(np.concatenate([t.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
+    src, dst = both[:m], both[m:]
+    order = np.argsort(dst, kind="stable")
+    ship(spark)
+    held = spark.sparkContext.broadcast((ids, src[order], dst[order]))
+    n = nodes.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, a, b = held.value
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            at = np.searchsorted(known, node)
+            linked = np.isin(node, known)
+            r, total, inverse = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node))
+            mine = np.flatnonzero(linked)
+            for lo in range(0, len(mine), SOURCES):
+                some = mine[lo : lo + SOURCES]
+                r[some], total[some], inverse[some] = _spread(a, b, len(known), at[some])
+            near = r / np.maximum(total, 1) * r / max(n - 1, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near), pa.array(inverse)], names=["node", "closeness", "harmonic"])
+
+    parts = max(1, -(-n // SOURCES))
+    return nodes.select(F.col("node").cast("bigint").alias("node")).repartition(parts, "node").mapInArrow(run, "node bigint, closeness double, harmonic double")
+
+
 def walk_probabilities(nodes: DataFrame, arcs: DataFrame, k: int = 3) -> DataFrame:
     """(src, dst, p1..pk): probabilities of a random walk to be at dst after 1..k steps, for the pairs with an arc."""
     deg = graph.degree(nodes, arcs)

@@ -238,6 +238,11 @@ def closeness_harmonic(x: Layers) -> DataFrame:
     return _r6(centrality.closeness(x.nodes, _arcs(x), x.top_degree(x.l1), 3), "closeness", "harmonic")
 
 
+@register()
+def closeness_harmonic_all(x: Layers) -> DataFrame:
+    return _r6(centrality.whole_closeness(x.nodes, _arcs(x)), "closeness", "harmonic")
+
+
 @register(
     sql.query(
         "SELECT p.src, p.dst, round(p.p, 9) AS p1, round(coalesce(q.p, 0), 9) AS p2, round(coalesce(r.p, 0), 9) AS p3 FROM st p LEFT JOIN p2 q USING (src, dst) LEFT JOIN p3 r USING (src, dst)",

@@ -139,3 +139,21 @@ def test_core_numbers_by_peeling(spark):
             adj[j].discard(i)
     got = {r["node"]: r["core"] for r in centrality.core_numbers(nodes(spark, 62), graph.symmetric(edges(spark, pairs))).collect()}
     assert got == want
+
+
+def test_whole_closeness_by_search(spark):
+    """Every node, and all distances: a chain far beyond three hops, a random part and isolated nodes."""
+    rng = np.random.default_rng(5)
+    pairs = [(i, i + 1) for i in range(20)] + list({tuple(sorted(p)) for p in rng.integers(30, 120, (110, 2)).tolist() if p[0] != p[1]})
+    adj = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(130)}
+    got = {r["node"]: r for r in centrality.whole_closeness(nodes(spark, 130), graph.symmetric(edges(spark, pairs))).collect()}
+    assert len(got) == 130
+    for i in adj:
+        dist, front = {i: 0}, [i]
+        for a in front:
+            for b in adj[a] - dist.keys():
+                dist[b] = dist[a] + 1
+                front.append(b)
+        far = [d for d in dist.values() if d]
+        assert got[i]["closeness"] == pytest.approx(len(far) ** 2 / sum(far) / 129 if far else 0)
+        assert got[i]["harmonic"] == pytest.approx(sum(1 / d for d in far))
