@@ -455,6 +455,16 @@ def recon_bce(x: Layers) -> DataFrame:
     return _r6(losses.reconstruction(near.unionByName(far), a), "loss")
 
 
+@register()
+def recon_bce_all(x: Layers) -> DataFrame:
+    """Every edge whose two ends have a vector, against as many pairs as there are vectors."""
+    a = _sides(x)[0].drop("label")
+    ids = a.select("idx")
+    near = x.l1.join(ids.withColumnRenamed("idx", "u"), "u", "left_semi").join(ids.withColumnRenamed("idx", "v"), "v", "left_semi").select("u", "v", F.lit(1).alias("y"))
+    far = a.crossJoin(a.agg(F.count("*").alias("n"))).select(F.col("idx").alias("u"), ((F.col("idx") * 7 + 3) % F.col("n")).alias("v"), F.lit(0).alias("y")).filter("u <> v")
+    return _r6(losses.reconstruction(near.unionByName(far), a), "loss")
+
+
 @register(sql.query("SELECT round(greatest((SELECT avg(sim) FROM hs WHERE n = 1) - (SELECT avg(sim) FROM hs WHERE n = 2) + 0.2::DOUBLE, 0), 6) AS loss", "hs AS (SELECT s.sim, (a.label >= 7)::INT + (b.label >= 7)::INT AS n FROM sims s JOIN emb_a a ON a.idx = s.a JOIN emb_b b ON b.idx = s.b)"))
 def hub_preserving(x: Layers) -> DataFrame:
     a, b = _sides(x)
@@ -562,8 +572,10 @@ def equal_frequency_bins(x: Layers) -> DataFrame:
 _POP = "cand AS (SELECT p_partkey AS id, p_size::DOUBLE AS t1, p_retailprice AS t2, (p_partkey * 37 % 101)::DOUBLE AS t3 FROM part WHERE p_partkey < 120), rk AS (SELECT *, row_number() OVER (ORDER BY t1 DESC, id) AS r1, row_number() OVER (ORDER BY t2 DESC, id) AS r2, row_number() OVER (ORDER BY t3 DESC, id) AS r3 FROM cand), sk AS (SELECT id, t1, t2, t3, r1, r2, r3, (CASE WHEN r1 <= r2 AND r1 <= r3 THEN 1 WHEN r2 <= r3 THEN 2 ELSE 3 END)::INT AS skill, 1.0::DOUBLE / least(r1, r2, r3) AS fitness, CASE WHEN r1 <= r2 AND r1 <= r3 THEN t1 WHEN r2 <= r3 THEN t2 ELSE t3 END AS cost FROM rk)"
 
 
-def _candidates(x: Layers) -> DataFrame:
-    p = x.table("part").filter("p_partkey < 120")
+def _candidates(x: Layers, whole: bool = False) -> DataFrame:
+    """Parts as candidates: all of them, or the first ones, to which the SQL is bound."""
+    p = x.table("part")
+    p = p if whole else p.filter("p_partkey < 120")
     rows = p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("t1"), F.col("p_retailprice").alias("t2"), (F.col("p_partkey") * 37 % 101).cast("double").alias("t3"))
     rows = ranking.skill_factors(rows, evolve.TASKS)
     cost = F.when(F.col("skill") == 1, F.col("t1")).when(F.col("skill") == 2, F.col("t2")).otherwise(F.col("t3"))
@@ -601,6 +613,32 @@ def elite_per_task(x: Layers) -> DataFrame:
     return search.elite(_candidates(x), 2).select("id", "skill")
 
 
+@register()
+def factorial_ranks_all(x: Layers) -> DataFrame:
+    return _candidates(x, whole=True).select("id", "rank_t1", "rank_t2", "rank_t3")
+
+
+@register()
+def skill_factor_all(x: Layers) -> DataFrame:
+    return _r6(_candidates(x, whole=True).select("id", "skill", "fitness"), "fitness")
+
+
+@register()
+def population_stats_all(x: Layers) -> DataFrame:
+    rows = _candidates(x, whole=True).groupBy("skill").agg(F.count("*").alias("n"), F.avg("fitness").alias("mean_fitness"), F.max("fitness").alias("max_fitness"))
+    return _r6(rows, "mean_fitness", "max_fitness")
+
+
+@register()
+def survival_selection_all(x: Layers) -> DataFrame:
+    return ranking.survival(_candidates(x, whole=True), 30).select("id", "tier", "pos")
+
+
+@register()
+def elite_per_task_all(x: Layers) -> DataFrame:
+    return search.elite(_candidates(x, whole=True), 2).select("id", "skill")
+
+
 # --- populations and search ------------------------------------------------
 
 
@@ -652,7 +690,7 @@ def crossover_single_point(x: Layers) -> DataFrame:
 
 @register()
 def tournament(x: Layers) -> DataFrame:
-    return evolve.tournament(_candidates(x), 20, "t")
+    return evolve.tournament(_candidates(x, whole=True), 20, "t")
 
 
 @register()
