@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import tempfile
 import uuid
@@ -60,18 +61,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """mult**i and mult**-i modulo 2**64 for i < n."""
+@functools.lru_cache(maxsize=8)
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up = np.empty(n, np.uint64)
         down = np.empty(n, np.uint64)
         up[:1] = down[:1] = 1
-        inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
         up[1:] = _MULT
-        down[1:] = inverse
+        down[1:] = np.uint64(pow(int(_MULT), -1, 1 << 64))
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """mult**i and mult**-i modulo 2**64 for i < n; long ones aren't kept."""
+    up, down = _powers_to(1 << max(1, n - 1).bit_length()) if n <= 1 << 20 else _powers_to.__wrapped__(n)
+    return up[:n], down[:n]
+
+
 class Words:
     """The words of a batch of texts, scanned together.
 
@@ -81,7 +87,7 @@ class Words:
     Null texts have no words.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashed: bool = True, pairs: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, hashed: bool = True):
         texts = texts.cast(pa.large_binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
@@ -126,6 +132,15 @@ class Words:
             lo = hi
         return out
 
+    def heads(self, index: np.ndarray) -> np.ndarray:
+        """First eight bytes and length of the given words, mixed: tells words of equal ``hash`` apart."""
+        start, size = self.start[index], self.end[index] - self.start[index]
+        out = np.zeros(len(index), np.uint64)
+        for k in range(8):
+            some = size > k
+            out[some] |= self.data[start[some] + k].astype(np.uint64) << np.uint64(8 * k)
+        return mix64(mix64(out) + size.astype(np.uint64))
+
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 

@@ -99,7 +99,6 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM roots LEFT JOIN sizes USING (doc_id)
     """,
-    "op9_language_model": op9_language_model,
     "op10_near_vectors": """
         WITH RECURSIVE links AS (
             SELECT a.vec_id AS a, b.vec_id AS b

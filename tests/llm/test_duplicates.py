@@ -145,10 +145,11 @@ def test_repeated_passages(spark, monkeypatch, chunk, group):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]]
 
 
-@pytest.mark.parametrize("head", [lm.HEAD, 50])
-def test_language_model_counts(spark, monkeypatch, head):
+@pytest.mark.parametrize("head, shard", [(lm.HEAD, lm.SHARD), (50, 300)])
+def test_language_model_counts(spark, monkeypatch, head, shard):
+    """Base columns equal brute force, with one shard and all words listed, and with many shards and few words."""
     monkeypatch.setattr(lm, "HEAD", head)
-    monkeypatch.setattr(lm, "LISTED", 64)
+    monkeypatch.setattr(lm, "SHARD", shard)
     texts = corpus(seed=5)
     toks = [lowered(t) + [None] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
@@ -165,13 +166,25 @@ def test_language_model_counts(spark, monkeypatch, head):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
-def test_language_model_sums_to_one():
-    v = lm.Vocabulary([lm.END, b"a", b"b", b"c"], [5, 4, 2, 1], 12, 4)
-    m = lm.Model(v)
-    one = np.array([1]), np.array([2])
-    cls = np.exp(m.class_log(m.class_features(*one)))
-    place = np.exp(m.place_log(np.array([0]), m.place_features(np.array([0]), *one)))
-    assert cls.sum() == pytest.approx(1, abs=1e-5) and place.sum() == pytest.approx(1, abs=1e-5)
+def test_language_model_sums_to_one(monkeypatch):
+    """After any context, seen or not, the outcomes' probabilities add up to one."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(1, 60, 40)
+    v = lm.Vocabulary(np.arange(40, dtype=np.uint64) * np.uint64(977), counts, int(counts.sum()) + 30, 60, 1, 2000)
+    contexts = [(1, 2), (1, 3), (4, 2), (lm._BEGIN, lm._BEGIN)]
+    before, skipped, outcome = (np.array(x) for x in zip(*[(b, s, o) for b, s in contexts for o in range(41)]))
+    n = rng.integers(0, 3, len(outcome)) * rng.integers(0, 2, len(outcome))
+    n[before == 4] = 0
+    model = lm.Shard(before, skipped, outcome, n, v)
+    p = np.exp(model.log[model.event]).reshape(4, 41).sum(axis=1)
+    assert p == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_beats_its_base(spark):
+    """On held-out documents of given text the model's log-probability a token is above the base's by a tenth at least."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = lm.score(docs).filter("held_out").selectExpr("sum(score) / sum(n_tokens) as model", "sum(base_score) / sum(n_tokens) as base").collect()[0]
+    assert r["model"] > 0.9 * r["base"]
 
 
 @pytest.mark.parametrize("block", [vectors.BLOCK, 3])
