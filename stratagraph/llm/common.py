@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import tempfile
@@ -19,6 +20,11 @@ from ..session import ship
 #: Code points that end a word: space and \x09-\x0D.
 SPACE_CLASS = r"[^\x20\x09-\x0D]+"
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library, which has no such call
+    _libc = None
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,8 +167,38 @@ def rolling(h: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     return mix64(out)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; idle workers hold little afterwards."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def frugal(f: Callable) -> Callable:
+    """``f``, after which freed memory is given back."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    return run
+
+
 def arrow_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
-    """Gather batches until ``limit`` bytes of ``column``: the unit of local work; a single longer text is a unit of its own."""
+    """Gather batches until ``limit`` bytes of ``column``: the unit of local work; a single longer text is a unit of its own.
+
+    After the last one, freed memory is given back.
+    """
+    try:
+        yield from _chunks(batches, column, limit)
+    finally:
+        give_back()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -216,6 +252,7 @@ def mapped(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
             new = each(batch)
             columns = [new.get(c, batch.column(i)) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*columns, *[new[c] for c in added]], names=[*names, *added])
+        give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, shape)
 

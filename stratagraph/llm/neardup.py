@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Words, arrow_chunks, mix64, plain, rolling, stored, whole
+from .common import Words, arrow_chunks, frugal, give_back, mix64, plain, rolling, stored, whole
 from .components import components
 
 #: Collections in each of the two groups, and minhashes in each collection.
@@ -44,9 +44,9 @@ CHUNK = 2 << 20
 #: differ: at a similarity of 0.8 a tenth does, and a pair is lost with a probability of 3e-5.
 BITS = 192
 DIFFERENT = 36
-#: Members of a bucket that the last round compares at once, and rows of one unit of its work, on average.
-BLOCK = 2048
-UNIT = 4_000
+#: Bytes of sets and marks that the last round compares at once (a pair of blocks holds two), and those of one unit of its work, on average.
+BLOCK = 4 << 20
+UNIT = 8 << 20
 #: Pairs up to which their ids are broadcast (16 bytes a pair).
 BROADCAST_PAIRS = 100_000
 
@@ -163,7 +163,8 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
             keep.append(100 * common >= percent * (len(p) + len(q) - common))
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+    give_back()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,8 +190,8 @@ def _crossed(table: pa.Table, percent: int, m: int) -> pa.Table:
     n = table.num_rows
     key, bi, bj, own, ids, label = (table.column(c).to_numpy() for c in ("key", "bi", "bj", "own", "id", "label"))
     turn = table.column("t").to_numpy()
-    keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(n, -1)
-    bits = np.array(table.column("bits").to_pylist(), np.int64).view(np.uint64).reshape(n, -1)
+    keys, bits = (np.asarray(table.column(c).combine_chunks().flatten().to_numpy()).reshape(n, -1) for c in ("keys", "bits"))
+    bits = bits.view(np.uint64)
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes").combine_chunks()] if n else []
     sizes = np.array([len(x) for x in sets], np.int64)
     found: list[tuple] = []
@@ -224,17 +225,20 @@ def _crossed(table: pa.Table, percent: int, m: int) -> pa.Table:
 
 def _last_round(labelled: DataFrame, mixed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
     """Links (a, b) in buckets that still hold several groups; sets travel to the buckets, pairs never become rows."""
-    left = labelled.join(mixed.select("key"), "key").select("key", "t", "id", "label")
-    sizes = left.groupBy("key").agg(F.count("*").alias("size"))
-    units = max(1, -(-left.count() // UNIT))
-    pieces = left.join(sizes, "key").withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")))
+    weight = F.col("n") * 8 + 256
+    left = labelled.join(mixed.select("key"), "key").select("key", "t", "id", "label", weight.alias("weight"))
+    sizes = left.groupBy("key").agg(F.sum("weight").alias("size"))
+    sizes = sizes.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("long"))
+    total = sizes.agg(F.sum(F.col("size").cast("double") * F.col("nb"))).collect()[0][0] or 0
+    units = max(1, int(-(-total // UNIT)))
+    pieces = left.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")))
     pieces = pieces.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     pieces = pieces.select("key", "t", "id", "label", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
     marks = classes.select(F.col("doc_id").alias("id"), "keys", "bits")
     work = pieces.join(marks, "id").join(sets, "id").withColumn("unit_no", F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(units)))
     kind = labelled.schema["id"].dataType.simpleString()
     columns = ["unit_no", "key", "t", "id", "label", "own", "bi", "bj", "keys", "bits", "hashes"]
-    return stored(work.select(*columns).groupBy("unit_no").applyInArrow(lambda t: _crossed(t, percent, m), f"a {kind}, b {kind}"))
+    return stored(work.select(*columns).groupBy("unit_no").applyInArrow(frugal(lambda t: _crossed(t, percent, m)), f"a {kind}, b {kind}"))
 
 
 def _close(percent: int):

@@ -75,7 +75,7 @@ def test_near_duplicates(spark, k):
 def test_near_duplicates_last_round(spark, monkeypatch):
     """Without star rounds everything is left to the last one, in several blocks."""
     monkeypatch.setattr(neardup, "STARS", 0)
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 4_000)
     texts = corpus(seed=3)
     a = neardup.near_duplicates(frame(spark, texts), k=2).collect()
     monkeypatch.undo()
