@@ -174,17 +174,12 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
-def frugal(f: Callable) -> Callable:
-    """``f``, after which freed memory is given back."""
-
-    @functools.wraps(f)
-    def run(*args):
-        try:
-            return f(*args)
-        finally:
-            give_back()
-
-    return run
+def frugal(f: Callable, *args):
+    """``f(*args)``, after which freed memory is given back."""
+    try:
+        return f(*args)
+    finally:
+        give_back()
 
 
 def arrow_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:

@@ -532,7 +532,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
             chunk += 1
 
     blocks = docs.withColumn("trained", trained).mapInArrow(scan, f"{_SENT}, docs array<{ids}>")
-    answers = blocks.groupBy("key").cogroup(far.groupBy("key")).applyInArrow(frugal(lambda a, b: _answers(a, b, sent.value)), "key long, at long, logs binary, n long, far binary, n_far long")
+    answers = blocks.groupBy("key").cogroup(far.groupBy("key")).applyInArrow(lambda a, b: frugal(_answers, a, b, sent.value), "key long, at long, logs binary, n long, far binary, n_far long")
     sums = blocks.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(lambda a, b: _added(a, b, sent.value), f"doc_id {ids}, n long, known long, weight double, logs double")
     total, floor = vocabulary.total, float(np.log10(vocabulary.total + 1.0 * (vocabulary.distinct + 1)))
     return sums.select(

@@ -238,7 +238,7 @@ def _last_round(labelled: DataFrame, mixed: DataFrame, classes: DataFrame, sets:
     work = pieces.join(marks, "id").join(sets, "id").withColumn("unit_no", F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(units)))
     kind = labelled.schema["id"].dataType.simpleString()
     columns = ["unit_no", "key", "t", "id", "label", "own", "bi", "bj", "keys", "bits", "hashes"]
-    return stored(work.select(*columns).groupBy("unit_no").applyInArrow(frugal(lambda t: _crossed(t, percent, m)), f"a {kind}, b {kind}"))
+    return stored(work.select(*columns).groupBy("unit_no").applyInArrow(lambda t: frugal(_crossed, t, percent, m), f"a {kind}, b {kind}"))
 
 
 def _close(percent: int):
