@@ -210,36 +210,32 @@ def eigenvector_k(x: Layers) -> DataFrame:
     return _r6(centrality.eigenvector(x.nodes, _arcs(x), 4), "eigen")
 
 
-def _core_sql(rounds: int) -> str:
-    out = ["k0 AS (SELECT node, deg AS core FROM d1)"]
-    for i in range(1, rounds + 1):
-        out.append(
-            f"k{i} AS (SELECT n.node, coalesce(h.h, 0) AS core FROM nodes n LEFT JOIN (SELECT node, max(CASE WHEN core >= rn THEN rn ELSE 0 END) AS h FROM"
-            f" (SELECT e.src AS node, q.core, row_number() OVER (PARTITION BY e.src ORDER BY q.core DESC) AS rn FROM e1 e JOIN k{i - 1} q ON q.node = e.dst) GROUP BY node) h USING (node))"
-        )
-    return ", ".join(out)
-
-
-@register(sql.query("SELECT node, core FROM k4", _core_sql(4)))
+_CORES = """core USING KEY (node) AS (
+    SELECT node, deg AS core FROM (SELECT n.node, coalesce(d.deg, 0)::BIGINT AS deg FROM nodes n LEFT JOIN d1 d USING (node))
+    UNION
+    SELECT h.node, h.h FROM (
+        SELECT node, max(least(core, rn)) AS h FROM (
+            SELECT e.src AS node, q.core, row_number() OVER (PARTITION BY e.src ORDER BY q.core DESC) AS rn FROM e1 e JOIN recurring.core q ON q.node = e.dst
+        ) GROUP BY node
+    ) h JOIN recurring.core o ON o.node = h.node WHERE h.h < o.core AND EXISTS (SELECT 1 FROM core)
+)"""
+
+
+@register(sql.query("SELECT node, core FROM core", _CORES, recursive=True))
 def kcore(x: Layers) -> DataFrame:
-    return centrality.core_numbers(x.nodes, _arcs(x), 4)
-
-
-@register()
-def kcore_fixpoint(x: Layers) -> DataFrame:
     return centrality.core_numbers(x.nodes, _arcs(x))
 
 
-_BFS = "bfs AS (SELECT node AS src, node, 0 AS dist FROM sa UNION SELECT b.src, e.dst, b.dist + 1 FROM bfs b JOIN e1 e ON e.src = b.node WHERE b.dist < 3), best AS (SELECT src, node, min(dist) AS dist FROM bfs GROUP BY src, node HAVING min(dist) > 0)"
+_BFS = """best USING KEY (src, node) AS (
+    SELECT node AS src, node, 0 AS dist FROM nodes
+    UNION
+    SELECT b.src, e.dst, min(b.dist) + 1 FROM best b JOIN e1 e ON e.src = b.node
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.best r WHERE r.src = b.src AND r.node = e.dst) GROUP BY b.src, e.dst
+)"""
 
 
-@register(sql.query("SELECT src AS node, round(count(*) / sum(dist)::DOUBLE * count(*) / ((SELECT count(*) FROM nodes) - 1)::DOUBLE, 6) AS closeness, round(sum(1.0::DOUBLE / dist), 6) AS harmonic FROM best GROUP BY src", _BFS, recursive=True))
+@register(sql.query("SELECT src AS node, coalesce(round(count(*) FILTER (dist > 0) / nullif(sum(dist), 0)::DOUBLE * count(*) FILTER (dist > 0) / ((SELECT count(*) FROM nodes) - 1)::DOUBLE, 6), 0) AS closeness, coalesce(round(sum(1.0::DOUBLE / dist) FILTER (dist > 0), 6), 0) AS harmonic FROM best GROUP BY src", _BFS, recursive=True))
 def closeness_harmonic(x: Layers) -> DataFrame:
-    return _r6(centrality.closeness(x.nodes, _arcs(x), x.top_degree(x.l1), 3), "closeness", "harmonic")
-
-
-@register()
-def closeness_harmonic_all(x: Layers) -> DataFrame:
     return _r6(centrality.whole_closeness(x.nodes, _arcs(x)), "closeness", "harmonic")
 
 
@@ -441,7 +437,7 @@ def infonce_id(x: Layers) -> DataFrame:
 
 
 _REC = (
-    "pr AS (SELECT u, v, 1 AS y FROM l1 WHERE u < 200 AND v < 200 UNION ALL SELECT a.idx, b.idx, 0 FROM emb_a a JOIN emb_a b ON b.idx = (a.idx * 7 + 3) % 200 WHERE a.idx < 200 AND a.idx <> b.idx)"
+    "pr AS (SELECT u, v, 1 AS y FROM l1 WHERE u IN (SELECT idx FROM emb_a) AND v IN (SELECT idx FROM emb_a) UNION ALL SELECT a.idx, b.idx, 0 FROM emb_a a JOIN emb_a b ON b.idx = (a.idx * 7 + 3) % (SELECT count(*) FROM emb_a) WHERE a.idx <> b.idx)"
     ", dg AS (SELECT y, u AS node, count(*) AS d FROM pr GROUP BY y, u)"
     ", lg AS (SELECT pr.y, 5 * list_cosine_similarity(p.z, q.z) AS x, 1 / sqrt((coalesce(du.d, 0) + 1.0::DOUBLE) * (coalesce(dv.d, 0) + 1)) AS w FROM pr JOIN emb_a p ON p.idx = pr.u JOIN emb_a q ON q.idx = pr.v LEFT JOIN dg du ON du.node = pr.u AND du.y = pr.y LEFT JOIN dg dv ON dv.node = pr.v AND dv.y = pr.y)"
 )
@@ -449,14 +445,6 @@ _REC = (
 
 @register(sql.query("SELECT round(sum(l), 6) AS loss FROM (SELECT avg(w * (greatest(x, 0) - x * y + ln(1 + exp(-abs(x))))) AS l FROM lg GROUP BY y)", _REC))
 def recon_bce(x: Layers) -> DataFrame:
-    a = _sides(x)[0].drop("label")
-    near = x.l1.filter("u < 200 and v < 200").select("u", "v", F.lit(1).alias("y"))
-    far = a.filter("idx < 200").select(F.col("idx").alias("u"), ((F.col("idx") * 7 + 3) % 200).alias("v"), F.lit(0).alias("y")).filter("u <> v")
-    return _r6(losses.reconstruction(near.unionByName(far), a), "loss")
-
-
-@register()
-def recon_bce_all(x: Layers) -> DataFrame:
     """Every edge whose two ends have a vector, against as many pairs as there are vectors."""
     a = _sides(x)[0].drop("label")
     ids = a.select("idx")
@@ -569,13 +557,12 @@ def equal_frequency_bins(x: Layers) -> DataFrame:
     return ranking.equal_bins(_values(x), "x", 7).select("id", "bin")
 
 
-_POP = "cand AS (SELECT p_partkey AS id, p_size::DOUBLE AS t1, p_retailprice AS t2, (p_partkey * 37 % 101)::DOUBLE AS t3 FROM part WHERE p_partkey < 120), rk AS (SELECT *, row_number() OVER (ORDER BY t1 DESC, id) AS r1, row_number() OVER (ORDER BY t2 DESC, id) AS r2, row_number() OVER (ORDER BY t3 DESC, id) AS r3 FROM cand), sk AS (SELECT id, t1, t2, t3, r1, r2, r3, (CASE WHEN r1 <= r2 AND r1 <= r3 THEN 1 WHEN r2 <= r3 THEN 2 ELSE 3 END)::INT AS skill, 1.0::DOUBLE / least(r1, r2, r3) AS fitness, CASE WHEN r1 <= r2 AND r1 <= r3 THEN t1 WHEN r2 <= r3 THEN t2 ELSE t3 END AS cost FROM rk)"
+_POP = "cand AS (SELECT p_partkey AS id, p_size::DOUBLE AS t1, p_retailprice AS t2, (p_partkey * 37 % 101)::DOUBLE AS t3 FROM part), rk AS (SELECT *, row_number() OVER (ORDER BY t1 DESC, id) AS r1, row_number() OVER (ORDER BY t2 DESC, id) AS r2, row_number() OVER (ORDER BY t3 DESC, id) AS r3 FROM cand), sk AS (SELECT id, t1, t2, t3, r1, r2, r3, (CASE WHEN r1 <= r2 AND r1 <= r3 THEN 1 WHEN r2 <= r3 THEN 2 ELSE 3 END)::INT AS skill, 1.0::DOUBLE / least(r1, r2, r3) AS fitness, CASE WHEN r1 <= r2 AND r1 <= r3 THEN t1 WHEN r2 <= r3 THEN t2 ELSE t3 END AS cost FROM rk)"
 
 
-def _candidates(x: Layers, whole: bool = False) -> DataFrame:
-    """Parts as candidates: all of them, or the first ones, to which the SQL is bound."""
+def _candidates(x: Layers) -> DataFrame:
+    """Parts as candidates."""
     p = x.table("part")
-    p = p if whole else p.filter("p_partkey < 120")
     rows = p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("t1"), F.col("p_retailprice").alias("t2"), (F.col("p_partkey") * 37 % 101).cast("double").alias("t3"))
     rows = ranking.skill_factors(rows, evolve.TASKS)
     cost = F.when(F.col("skill") == 1, F.col("t1")).when(F.col("skill") == 2, F.col("t2")).otherwise(F.col("t3"))
@@ -613,32 +600,6 @@ def elite_per_task(x: Layers) -> DataFrame:
     return search.elite(_candidates(x), 2).select("id", "skill")
 
 
-@register()
-def factorial_ranks_all(x: Layers) -> DataFrame:
-    return _candidates(x, whole=True).select("id", "rank_t1", "rank_t2", "rank_t3")
-
-
-@register()
-def skill_factor_all(x: Layers) -> DataFrame:
-    return _r6(_candidates(x, whole=True).select("id", "skill", "fitness"), "fitness")
-
-
-@register()
-def population_stats_all(x: Layers) -> DataFrame:
-    rows = _candidates(x, whole=True).groupBy("skill").agg(F.count("*").alias("n"), F.avg("fitness").alias("mean_fitness"), F.max("fitness").alias("max_fitness"))
-    return _r6(rows, "mean_fitness", "max_fitness")
-
-
-@register()
-def survival_selection_all(x: Layers) -> DataFrame:
-    return ranking.survival(_candidates(x, whole=True), 30).select("id", "tier", "pos")
-
-
-@register()
-def elite_per_task_all(x: Layers) -> DataFrame:
-    return search.elite(_candidates(x, whole=True), 2).select("id", "skill")
-
-
 # --- populations and search ------------------------------------------------
 
 
@@ -690,7 +651,7 @@ def crossover_single_point(x: Layers) -> DataFrame:
 
 @register()
 def tournament(x: Layers) -> DataFrame:
-    return evolve.tournament(_candidates(x, whole=True), 20, "t")
+    return evolve.tournament(_candidates(x), 20, "t")
 
 
 @register()

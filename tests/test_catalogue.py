@@ -43,20 +43,11 @@ def test_generators_make_exact_numbers_of_edges(spark):
         assert all(r["u"] < r["v"] for r in rows)
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", "factorial_ranks skill_factor population_stats survival_selection elite_per_task recon_bce".split())
-def test_whole_tables_match_unbound_sql(spark, duck, name):
-    """The queries over all rows, against the SQL without its bounds on ids."""
+@pytest.mark.parametrize("name", "kcore closeness_harmonic factorial_ranks skill_factor population_stats survival_selection elite_per_task recon_bce".split())
+def test_sql_has_no_bounds_on_ids(name):
+    """Both sides of the comparison above take every row."""
     text = catalogue.ORACLES[name]
-    if name == "recon_bce":
-        text = text.replace("WHERE u < 200 AND v < 200", "WHERE u IN (SELECT idx FROM emb_a) AND v IN (SELECT idx FROM emb_a)").replace("% 200 WHERE a.idx < 200 AND", "% (SELECT count(*) FROM emb_a) WHERE")
-    else:
-        text = text.replace(" WHERE p_partkey < 120", "")
-    assert text != catalogue.ORACLES[name] and "200" not in text and "p_partkey < 120" not in text
-    df = catalogue.QUERIES[f"{name}_all"](spark, SF)
-    got = rows_of([tuple(r) for r in df.collect()], df.columns)
-    cursor = duck.execute(text)
-    assert got == rows_of(cursor.fetchall(), [d[0] for d in cursor.description])
+    assert "p_partkey <" not in text and "idx <" not in text.replace("idx <>", "") and "u <" not in text and "dist <" not in text
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
