@@ -64,7 +64,7 @@ FEATURES = {
 def _spans(text: Column, pattern: str, gate: Column) -> Column:
     """array of (start, stop, s, ctx) of the pattern's matches; rows outside the gate cost no scan."""
     kind = "array<struct<start:bigint,stop:bigint,s:string,ctx:string>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
+    none = F.array().cast(kind)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["0"])
@@ -72,8 +72,19 @@ def _spans(text: Column, pattern: str, gate: Column) -> Column:
         span = F.struct(start.alias("start"), stop.alias("stop"), x["1"].alias("s"), F.right(x["0"], F.lit(CONTEXT)).alias("ctx"))
         return F.when(x["1"].isNull(), acc).otherwise(F.struct(stop.alias("at"), F.array_append(acc["out"], span).alias("out")))
 
+    # matches are gathered a block at a time, as an appended array is copied: blocks of about the root of their number
+    def block(acc: Column, part: Column) -> Column:
+        found = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.transform(F.array(found), lambda f: F.struct(f["at"].alias("at"), F.array_append(acc["out"], f["out"]).alias("out")))[0]
+
+    def gathered(z: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(z) + 1)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(z) / width).cast("int")), lambda k: F.slice(z, k * width + 1, width))
+        zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(parts, zero, block, lambda acc: F.flatten(acc["out"]))
+
     zipped = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    return F.when(gate, F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    return F.when(gate, F.transform(F.array(zipped), gathered)[0]).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
