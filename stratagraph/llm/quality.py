@@ -25,9 +25,9 @@ from .common import Logistic, labelled_sample, mapped
 
 #: Labelled documents that are learned from, at most; half build dictionaries, half calibrate.
 SAMPLE = 16_000
-#: Texts of each label, and bytes of each, that a dictionary is built from, at most (scores use whole texts).
+#: Pieces of each label that a dictionary is built from, at most, and characters of a piece; pieces come from all parts of the texts.
 PER_LABEL = 2_000
-PER_TEXT = 4_000
+PIECE = 4_000
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
 
@@ -74,11 +74,13 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, b
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", modulus, held, bound)
     half = F.abs(F.xxhash64("doc_id", F.lit(7))) % 2
-    pick = sample.filter(half == 0).select("label", F.substring("text", 1, PER_TEXT).alias("text"), F.xxhash64("doc_id").alias("k"))
+    starts = F.sequence(F.lit(0), F.floor(F.length("text") / PIECE).cast("int"))
+    pick = sample.filter(half == 0).select("doc_id", "label", "text", F.explode(starts).alias("i"))
+    pick = pick.select("label", F.substr("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("text"), F.xxhash64("doc_id", "i").alias("k")).filter("text <> ''")
     parts = {}
     for label in (0, 1):
         rows = pick.filter(F.col("label") == label).orderBy("k", "text").limit(PER_LABEL).select("text").collect()
-        parts[label] = _dictionary([r["text"].encode()[:PER_TEXT] for r in rows])
+        parts[label] = _dictionary([r["text"].encode() for r in rows])
     draft = Model(parts[1], parts[0], None)
     rows = _measured(sample.filter(half == 1), draft).select("label", "x").collect()  # five numbers a row, at most ``bound`` rows
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), 4)
