@@ -34,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's ``spark.checkpoint.dir``; a local one only where none is set."""
+    """A new folder under the cluster's ``spark.checkpoint.dir``; on one machine, a local one where none is set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stratagraph-")
     return f"{base.rstrip('/')}/stratagraph-{uuid.uuid4().hex}"
 
@@ -290,7 +292,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
     Rows without a label, and those whose fold ``held`` keeps apart, are left
     out.  Only the ids travel (the bound is their proven size); equal texts
-    count once.  The result is written to the shared folder.
+    count once, as the one of the smallest doc_id and label.  The result is
+    written to the shared folder.
     """
     ids = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -301,4 +304,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .limit(bound)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return stored(texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["text"]))
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("first"))
+    return stored(rows.select("first.doc_id", "text", "first.label"))

@@ -4,11 +4,13 @@ import hashlib
 import json
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 
 from stratagraph.llm import decontam, personal, quality, secrets, tokens, toxicity
+from stratagraph.llm.common import labelled_sample
 
 TEXTS = [None, "", " ", "plain words only", "plain words only", "x" * 200_000, "word " * 40_000, "é ß Σ ΑΣ \x1c 𝄞"]
 
@@ -101,6 +103,16 @@ def test_personal_base_spans(spark):
     assert personal.scan(empty(spark)).count() == 0
 
 
+def test_personal_texts_of_many_matches(spark):
+    """Thousands of matches in one text, at and beside the ends of the blocks in which they are gathered."""
+    counts = [1, 2, 3, 4, 8, 9, 15, 16, 17, 5_000]
+    texts = [" ".join(f"u{i}@h{i % 7}.org +1 555 010 {1000 + i} é" for i in range(n)) for n in counts]
+    for r in personal.scan(docs(spark, texts)).collect():
+        want = personal_twin(texts[r["doc_id"]])
+        assert r["n_email"] == counts[r["doc_id"]] and r["n_phone"] == counts[r["doc_id"]]
+        assert r["base_sha256"] == hashlib.sha256(",".join("%s:%d:%d" % s for s in want).encode()).hexdigest()
+
+
 def test_personal_candidates(spark):
     found = {r["doc_id"]: r["spans"] for r in personal.scan(docs(spark, ["my ssn is 123-45-6789 ok", "mail john (at) corp (dot) com now", "order 123456789", "in all 12345678901 words"])).collect()}
     assert found[0] == "number:10:21" and found[1].startswith("spelled:5:")
@@ -162,6 +174,26 @@ def test_quality(spark):
     assert quality.score(empty(spark), quality.learn(d, y.limit(0))).count() == 0
 
 
+def test_quality_learns_from_all_parts(spark, monkeypatch):
+    """What tells the labels apart stands behind the first piece of each text."""
+    monkeypatch.setattr(quality, "PIECE", 100)
+    same = "a common beginning of every text " * 10
+    good = lambda i: same + " ".join(random.Random(i).choices(["river", "stone", "under", "light", "meadow"], k=80))
+    bad = lambda i: same + " ".join(random.Random(i).choices(["zx$", "qq$", "###", "buy$", "0x0"], k=80))
+    model = quality.learn(*labelled(spark, "quality", good, bad))
+    assert b"meadow" in model.good and b"meadow" not in model.bad
+
+
+def test_equal_texts_of_differing_labels(spark):
+    """The row of the smallest doc_id stands for equal texts."""
+    rows = spark.createDataFrame([(i, "the same") for i in range(40)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    for parts in (1, 7):
+        got = labelled_sample(rows.repartition(parts), marks.repartition(parts), "toxic", 5, 0, 100).collect()
+        ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+        assert [(r["doc_id"], r["label"]) for r in got] == [(ids[0], ids[0] % 2)]
+
+
 def test_decontamination(spark):
     item = " ".join(f"item{i}" for i in range(20))
     near = item.replace("item19", "other")
