@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import stored
-from ..session import ship
+from ..session import ship, stored
 from . import graph
 from .influence import MAX_ARCS
 
