@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ship, stored
 from . import graph
 from .influence import MAX_ARCS
+from .ranking import ordinal
 
 #: Sources of one breadth-first search; each node holds a bit for each.
 SOURCES = 1024
@@ -100,29 +101,58 @@ def robustness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.crossJoin(total).select("node", (F.col("raw") / F.nullif("total", F.lit(0.0))).alias("score"))
 
 
-def pagerank(nodes: DataFrame, arcs: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; dangling mass is spread evenly."""
-    deg = graph.degree(nodes, arcs)
-    n = nodes.agg(F.count("*").alias("n"))
-    state = deg.crossJoin(n).select("node", "deg", "n", (1.0 / F.col("n")).alias("rank"))
+def pagerank(nodes: DataFrame, arcs: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
+    """(node, rank), iterated until all ranks together move less than ``tolerance`` a node; dangling mass is spread evenly.
+
+    Arcs are dealt by their source once; each round writes its ranks, and the
+    dangling mass is a number of the round.
+    """
+    nodes = stored(nodes.select("node"))
+    n = nodes.count()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    deg = graph.degree(nodes, arcs).withColumnRenamed("node", "src")
+    out = arcs.join(deg.filter("deg > 0"), "src").select("src", "dst", (1.0 / F.col("deg")).alias("share"), F.lit(None).cast("boolean").alias("loose"))
+    own = deg.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), (F.col("deg") == 0).alias("loose"))
+    links = stored(out.unionByName(own).repartition("src"))
+    rank = nodes.select("node", F.lit(1.0 / n).alias("rank"))
+    loose = links.filter("loose").count() / n
     for _ in range(rounds):
-        sent = arcs.join(state.filter("deg > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("deg")).alias("x")), "src")
-        got = sent.groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("got"))
-        loose = state.agg(F.sum(F.when(F.col("deg") == 0, F.col("rank")).otherwise(0.0)).alias("loose"))
-        rank = (1.0 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
-        state = state.join(got, "node", "left").crossJoin(loose).select("node", "deg", "n", rank.alias("rank"))
-    return state.select("node", "rank")
+        sent = links.join(rank.select(F.col("node").alias("src"), "rank"), "src")
+        got = sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"), F.max(F.when(F.col("loose").isNotNull(), F.col("rank"))).alias("before"), F.max("loose").alias("loose"))
+        rank = stored(got.select("node", (F.lit((1.0 - damping) / n) + F.lit(damping) * (F.col("got") + F.lit(loose / n))).alias("rank"), "before", "loose"))
+        moved, loose = rank.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), F.sum(F.when(F.col("loose"), F.col("rank")).otherwise(0.0))).collect()[0]
+        if moved < n * tolerance:
+            break
+    return rank.select("node", "rank")
+
+
+def multilayer_rank(nodes: DataFrame, layers: list[DataFrame]) -> DataFrame:
+    """(node, rank, pos): page ranks summed over layers to nine places, best first, smaller ids among equals."""
+    each = reduce(DataFrame.unionByName, [pagerank(nodes, arcs) for arcs in layers])
+    rows = each.groupBy(F.col("node").alias("id")).agg(F.round(F.sum("rank"), 9).alias("rank"))
+    return ordinal(rows, "rank", "pos").withColumnRenamed("id", "node")
 
 
 def eigenvector(nodes: DataFrame, arcs: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, eigen): power iteration from equal weights, of unit length."""
-    state = nodes.select("node", F.lit(1.0).alias("x"))
+    """(node, eigen): power iteration from equal weights, of unit length; each round writes its values."""
+    arcs = stored(arcs.repartition("dst"))
+    state, size = nodes.select("node", F.lit(1.0).alias("x")), 1.0
     for _ in range(rounds):
-        got = arcs.join(state.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("x").alias("got"))
-        state = _all(nodes, got.withColumnRenamed("got", "x"), "x", 0.0)
-        size = state.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-        state = state.crossJoin(size).select("node", F.coalesce(F.col("x") / F.nullif("size", F.lit(0.0)), F.lit(0.0)).alias("x"))
-    return state.withColumnRenamed("x", "eigen")
+        got = arcs.join(state.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.sum("x") / F.lit(size)).alias("x"))
+        state = stored(_all(nodes, got, "x", 0.0))
+        size = state.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).collect()[0][0] or 1.0
+    return state.select("node", (F.col("x") / F.lit(size)).alias("eigen"))
+
+
+def weighted_robustness(nodes: DataFrame, edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """(node, score): half coverage, 0.3 clustering and 0.2 degree over n - 1, times the weight; sums to 1, even shares where all are 0."""
+    n = nodes.agg(F.count("*").alias("n"))
+    rows = graph.clustering(nodes, edges).join(graph.coverage(nodes, graph.symmetric(edges)), "node").join(weights, "node").crossJoin(n)
+    raw = 0.5 * F.col("coverage") / F.col("n") + 0.3 * F.col("cc") + 0.2 * F.col("deg") / F.greatest(F.col("n") - 1, F.lit(1))
+    rows = rows.select("node", "n", (raw * F.col("w")).alias("raw"))
+    all_of = rows.agg(F.sum("raw").alias("all"))
+    return rows.crossJoin(all_of).select("node", F.when(F.col("all") > 0, F.col("raw") / F.col("all")).otherwise(1.0 / F.col("n")).alias("score"))
 
 
 def distances(arcs: DataFrame, sources: DataFrame, depth: int) -> DataFrame:

@@ -57,7 +57,7 @@ def single_point(pairs: DataFrame, side: str, n: int, k: int) -> DataFrame:
 def tournament(df: DataFrame, rounds: int, purpose: str) -> DataFrame:
     """(round, id): of two hashed draws the fitter one, the first among equals."""
     n = df.agg(F.count("*").alias("n"))
-    ranked = df.select("id", "fitness", (F.row_number().over(Window.orderBy("id")) - 1).alias("slot"))
+    ranked = ranking.running(df.select("id", "fitness"), [F.asc("id")], slot=F.lit(1)).withColumn("slot", F.col("slot") - 1)
     r = df.sparkSession.range(rounds).withColumnRenamed("id", "round").crossJoin(n)
     first = F.floor(uniform(purpose, "0", F.col("round")) * F.col("n"))
     second = F.pmod(first + 1 + F.floor(uniform(purpose, "1", F.col("round")) * F.greatest(F.col("n") - 1, F.lit(1))), F.col("n"))
@@ -82,8 +82,7 @@ def mutate(df: DataFrame, weights: DataFrame, rate: float, purpose: str) -> Data
     """(id, seeds) of (id, genes): each gene is replaced at the given rate by a weighted draw of an unused node; draws that meet keep the old gene."""
     genes = df.select("id", F.posexplode("genes").alias("pos", "node"))
     hit = genes.filter(uniform(f"{purpose}:hit", F.col("id"), F.col("pos")) < rate).select("id", "pos")
-    total = Window.orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    ladder = weights.select("node", F.sum("w").over(total).alias("hi"), F.col("w"))
+    ladder = ranking.running(weights.select("node", "w"), [F.asc("node")], hi=F.col("w"))
     size = weights.agg(F.sum("w").alias("all"))
     drawn = hit.crossJoin(size).withColumn("x", uniform(f"{purpose}:node", F.col("id"), F.col("pos")) * F.col("all"))
     new = drawn.join(ladder, (F.col("x") >= F.col("hi") - F.col("w")) & (F.col("x") < F.col("hi"))).select("id", "pos", F.col("node").alias("new"))
@@ -93,6 +92,58 @@ def mutate(df: DataFrame, weights: DataFrame, rate: float, purpose: str) -> Data
     return out.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("seeds"))
 
 
+def tempered(weights: DataFrame, temperature: float = 1.0, excluded: DataFrame | None = None) -> DataFrame:
+    """(node, w): weights to the power 1 / temperature, excluded nodes at 0; a temperature other than 1 first lifts every weight to 1e-10, so excluded nodes can be drawn again."""
+    rows = weights if excluded is None else weights.join(excluded.select("node").distinct().withColumn("_out", F.lit(True)), "node", "left").select("node", F.when(F.col("_out"), 0.0).otherwise(F.col("w")).alias("w"))
+    return rows if temperature == 1.0 else rows.select("node", F.pow(F.greatest("w", F.lit(1e-10)), F.lit(1.0 / temperature)).alias("w"))
+
+
+def matched(spark: SparkSession, n: int, pairs: DataFrame, k: int, purpose: str) -> DataFrame:
+    """(id, seeds_l1, seeds_l2): for each of n ids the reported pairs (a, b) in a hashed order, each taken whose nodes aren't taken yet, up to k.
+
+    ``pairs`` is a report of bounded length (``aligned_pairs``): an id's pairs fit a row.
+    """
+    dealt = spark.range(n).crossJoin(F.broadcast(pairs.select("a", "b")))
+    order = F.array_sort(F.collect_list(F.struct(uniform(purpose, F.col("id"), F.col("a"), F.col("b")).alias("key"), "a", "b"))).alias("order")
+    none = F.array().cast("array<bigint>")
+    free = lambda s, x: (F.size(s["one"]) < k) & ~F.array_contains(s["one"], x["a"]) & ~F.array_contains(s["two"], x["b"])
+    taken = lambda s, x: F.struct(F.array_append(s["one"], x["a"]).alias("one"), F.array_append(s["two"], x["b"]).alias("two"))
+    step = lambda s, x: F.when(free(s, x), taken(s, x)).otherwise(s)
+    got = dealt.groupBy("id").agg(order).select("id", F.aggregate("order", F.struct(none.alias("one"), none.alias("two")), step).alias("got"))
+    return got.select("id", F.col("got.one").alias("seeds_l1"), F.col("got.two").alias("seeds_l2"))
+
+
+def groups(spark: SparkSession, n: int, shares: dict[str, float], rest: str, purpose: str = "group") -> DataFrame:
+    """(id, group, pos): n ids in groups of int(n * share) in the order given, ``rest`` takes what is left; pos is a hashed order of all."""
+    ends, at = [], 0
+    for name, share in shares.items():
+        at += int(n * share)
+        ends.append((name, at))
+    which = F.lit(rest)
+    for name, end in reversed(ends):
+        which = F.when(F.col("id") < end, name).otherwise(which)
+    rows = spark.range(n).select("id", which.alias("group"), uniform(purpose, F.col("id")).alias("key"))
+    return ranking.ordinal(rows, "key", "pos", descending=False).select("id", "group", "pos")
+
+
+def mating(pairs: DataFrame, crossing: float, across: float, purpose: str = "mating") -> DataFrame:
+    """(pair_id, skill_x, skill_y, mode) of (pair_id, skill_x, skill_y): ``copy`` unless a coin says to cross; equal skills swap tails (``swap``), others guide each other (``guided``) at the rate ``across``."""
+    u = lambda c: uniform(f"{purpose}:{c}", F.col("pair_id"))
+    mode = F.when(u("cross") >= crossing, "copy").when(F.col("skill_x") == F.col("skill_y"), "swap").when(u("across") < across, "guided").otherwise("copy")
+    return pairs.select("pair_id", "skill_x", "skill_y", mode.alias("mode"))
+
+
+def neighbour_mutation(df: DataFrame, near: DataFrame, weights: DataFrame, rate: float, purpose: str) -> DataFrame:
+    """(id, pos, node) of (id, genes): at the given rate a gene gives way to its neighbour (a, b) of most weight that isn't a gene; of two that meet the later one stays as it was."""
+    genes = df.select("id", F.posexplode("genes").alias("pos", "node"))
+    hit = genes.filter(uniform(f"{purpose}:near", F.col("id"), F.col("pos")) < rate)
+    ways = hit.join(near.select(F.col("a").alias("node"), F.col("b").alias("new")), "node").join(genes.select("id", F.col("node").alias("new")).distinct(), ["id", "new"], "left_anti")
+    ways = ways.join(weights.select(F.col("node").alias("new"), "w"), "new")
+    best = ways.groupBy("id", "pos").agg(F.max_by("new", F.struct("w", -F.col("new"))).alias("new"))
+    best = best.groupBy("id", "new").agg(F.min("pos").alias("pos"))
+    return genes.join(best, ["id", "pos"], "left").select("id", "pos", F.coalesce("new", "node").alias("node"))
+
+
 def layer_csr(arcs: DataFrame, n: int) -> Csr:
     """A layer for the tasks' memory; its number of arcs is checked first."""
     m = arcs.count()

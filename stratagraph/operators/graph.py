@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running
+
 
 def canonical(pairs: DataFrame) -> DataFrame:
     """Any pairs (u, v) as simple undirected edges, without self loops."""
@@ -66,7 +68,7 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
 def dense_ids(edges: DataFrame) -> DataFrame:
     """(node, idx): the nodes that have edges, numbered by their order."""
     used = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    return used.select("node", (F.row_number().over(Window.orderBy("node")) - 1).cast("bigint").alias("idx"))
+    return running(used, [F.asc("node")], idx=F.lit(1)).select("node", (F.col("idx") - 1).alias("idx"))
 
 
 def padded(features: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:

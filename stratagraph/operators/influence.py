@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..functions import uniform
+from ..session import ship, stored
 from . import graph
 from .kernel import Csr
 from .kernel import robust as kernel_robust
@@ -105,6 +106,9 @@ def attack_scores(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame,
     deg = graph.degree(nodes, live)
     if mode == "degree":
         return deg.select("node", F.col("deg").cast("double").alias("score"))
+    if mode == "random":
+        n = nodes.agg(F.count("*").alias("n"))
+        return nodes.crossJoin(n).select("node", F.floor(uniform("attack", F.col("node")) * F.col("n")).cast("double").alias("score"))
     if mode != "2hop":
         raise ValueError(f"unknown attack mode {mode!r}")
     sides = a.select("node", F.lit(1).alias("s")).union(b.select("node", F.lit(2).alias("s")))
@@ -117,6 +121,31 @@ def attack_scores(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame,
     return nodes.join(sums, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def steps_of(n: int, steps: int | None = None, ratio: float | None = None) -> int:
+    """Attack steps of n nodes: as given, else the ratio's share rounded half to even, else one a node."""
+    if steps is not None:
+        return max(0, int(steps))
+    return n if ratio is None else max(0, round(n * ratio))
+
+
+def degree_attacks(seeds: DataFrame, nodes: DataFrame, arcs: DataFrame, steps: int) -> DataFrame:
+    """(influence): mean over so many removals of the live node of highest degree of how many nodes the seeds and their live neighbours are; removed seeds count."""
+    arcs = stored(arcs)
+    gone: list[int] = []
+    met = 0
+    for _ in range(steps):
+        removed = nodes.sparkSession.createDataFrame([(g,) for g in gone], "node bigint") if gone else None
+        left = nodes if removed is None else nodes.join(F.broadcast(removed), "node", "left_anti")
+        top = graph.degree(left, graph.active(arcs, removed)).orderBy(F.desc("deg"), "node").limit(1).collect()
+        if not top:
+            break
+        gone.append(top[0]["node"])
+        live = graph.active(arcs, nodes.sparkSession.createDataFrame([(g,) for g in gone], "node bigint"))
+        around = live.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node"))
+        met += seeds.select("node").union(around).distinct().count()
+    return nodes.sparkSession.createDataFrame([(met / steps if steps else 0.0,)], "influence double")
+
+
 def attacked(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame, steps: int, mode: str = "2hop") -> DataFrame:
     """(step, node): who is removed at each of the first steps; the best score, the smallest id among equals.
 

@@ -1,14 +1,15 @@
-"""Alignment losses as aggregates over embedding sides (idx, z) with weights (idx, w). Sides are small by contract; see ``similarity.pairs``."""
+"""Alignment losses as aggregates over embedding sides (idx, z) with weights (idx, w). See ``similarity.crossed`` for the pairs."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dot
 from . import similarity
+from .ranking import equal_bins, ordinal
 
 SIGMAS = (1.0, 2.0, 4.0, 8.0, 16.0)
 
@@ -17,7 +18,7 @@ def _kernel_mean(a: DataFrame, wa: DataFrame, b: DataFrame, wb: DataFrame, name:
     x = a.join(wa, "idx").select(F.col("z").alias("x"), F.col("w").alias("u"))
     y = b.join(wb, "idx").select(F.col("z").alias("y"), F.col("w").alias("v"))
     d2 = F.aggregate(F.zip_with("x", "y", lambda p, q: F.pow(p.cast("double") - q.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, t: s + t)
-    rows = x.crossJoin(F.broadcast(y)).select("u", "v", d2.alias("d2"))
+    rows = similarity.crossed(x, y).select("u", "v", d2.alias("d2"))
     k = sum((F.exp(-F.col("d2") / (2 * s * s)) for s in SIGMAS), F.lit(0.0)) / len(SIGMAS)
     return rows.agg(F.sum(F.col("u") * F.col("v") * k).alias(name))
 
@@ -67,14 +68,20 @@ def hub_margin(sims: DataFrame, hubs_a: DataFrame, hubs_b: DataFrame, margin: fl
 
 
 def rank_matches(wa: DataFrame, wb: DataFrame) -> DataFrame:
-    """(a, b): for each a the b whose normalised weight rank is nearest, the smallest id among equals."""
+    """(a, b): for each a the b whose normalised weight rank is nearest, the smallest id among equals.
+
+    Ranks of the other side are evenly spaced, so the nearest are found by their
+    positions: three candidates a row, whatever the sizes.
+    """
     def ranks(df: DataFrame, c: str) -> DataFrame:
-        n = df.agg(F.count("*").alias("n"))
-        r = (F.row_number().over(Window.orderBy(F.desc("w"), "idx")) - 1) / F.greatest(F.col("n") - 1, F.lit(1))
-        return df.crossJoin(n).select(F.col("idx").alias(c), r.alias(f"r{c}"))
+        n = df.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias(f"n{c}"))
+        return ordinal(df.withColumnRenamed("idx", "id"), "w", "at").crossJoin(n).select(F.col("id").alias(c), (F.col("at") - 1).alias(f"at{c}"), f"n{c}", ((F.col("at") - 1) / F.col(f"n{c}")).alias(f"r{c}"))
 
-    rows = ranks(wa, "a").crossJoin(F.broadcast(ranks(wb, "b")))
-    return rows.groupBy("a").agg(F.min_by("b", F.struct(F.abs(F.col("ra") - F.col("rb")), "b")).alias("b"))
+    right = ranks(wb, "b").drop("nb")
+    size = wb.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("nb"))
+    near = F.floor(F.col("ra") * F.col("nb"))
+    left = ranks(wa, "a").crossJoin(size).select("a", "ra", F.explode(F.sequence(near - 1, near + 1)).alias("atb"))
+    return left.join(right, "atb").groupBy("a").agg(F.min_by("b", F.struct(F.abs(F.col("ra") - F.col("rb")), "b")).alias("b"))
 
 
 def centroid_similarity(a: DataFrame, b: DataFrame, keep_a: DataFrame, keep_b: DataFrame) -> DataFrame:
@@ -86,8 +93,6 @@ def centroid_similarity(a: DataFrame, b: DataFrame, keep_a: DataFrame, keep_b: D
 
 def prototypes(side: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """(bin, pos, value): weighted centroids of k equal bins by descending weight."""
-    from .ranking import equal_bins
-
     bins = equal_bins(weights.withColumnRenamed("idx", "id"), "w", k).withColumnRenamed("id", "idx")
     rows = side.join(bins, "idx").select("bin", "w", F.posexplode("z").alias("pos", "x"))
     return rows.groupBy("bin", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("value"))
@@ -95,18 +100,25 @@ def prototypes(side: DataFrame, weights: DataFrame, k: int) -> DataFrame:
 
 def schedule(epochs: int, warmup: int, align: tuple[float, float], recon: tuple[float, float], mode: str = "fixed") -> list[tuple[int, float, float]]:
     """[(epoch, align, recon)] from epoch 1: reconstruction alone while warming up, then fixed ends or a linear or cosine course."""
-    out = []
-    for e in range(1, epochs + 1):
-        left = max(1, epochs - warmup)
-        if e <= warmup:
-            out.append((e, 0.0, recon[0]))
-        elif mode == "fixed" or left <= 1:
-            out.append((e, align[1], recon[0]))
-        else:
-            t = (e - warmup - 1) / max(1, left - 1)
-            t = (1 - math.cos(math.pi * t)) / 2 if mode == "cosine" else t
-            out.append((e, align[0] + t * (align[1] - align[0]), recon[0] + t * (recon[1] - recon[0])))
-    return out
-
-
-__all__ = ["similarity", "weighted_discrepancy", "info_nce", "reconstruction", "hub_margin", "rank_matches", "centroid_similarity", "prototypes", "schedule"]
+    last = max(epochs - warmup - 1, 0)  # epochs after the first that aligns
+    course = {"linear": lambda t: t, "cosine": lambda t: math.sin(math.pi * t / 2) ** 2}.get(mode, lambda t: 1.0)
+    share = lambda e: course((e - warmup - 1) / last) if last else 1.0
+    mixed = lambda ends, t: ends[0] * (1.0 - t) + ends[1] * t
+    early = [(e, 0.0, recon[0]) for e in range(1, min(warmup, epochs) + 1)]
+    if mode not in ("linear", "cosine") or not last:
+        return early + [(e, align[1], recon[0]) for e in range(warmup + 1, epochs + 1)]
+    return early + [(e, mixed(align, share(e)), mixed(recon, share(e))) for e in range(warmup + 1, epochs + 1)]
+
+
+def total(parts: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
+    """(loss_<name> ..., loss_total): one-row losses, weighted and added; parts of weight 0 aren't evaluated and count 0."""
+    rows = None
+    for name, part in parts.items():
+        if not weights.get(name):
+            continue
+        one = part.toDF(f"loss_{name}")
+        rows = one if rows is None else rows.crossJoin(one)
+    if rows is None:
+        raise ValueError("no part has a weight")
+    rows = rows.withColumns({f"loss_{n}": F.lit(0.0) for n in parts if not weights.get(n)})
+    return rows.withColumn("loss_total", sum((F.col(f"loss_{n}") * w for n, w in weights.items() if w), F.lit(0.0)))

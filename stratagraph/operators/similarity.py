@@ -1,35 +1,40 @@
 """Embeddings of two sides: cosine tables, top-k retrieval, alignment quality.
 
-Sides are DataFrames (idx, z).  All pairs are formed only against a side that
-is small enough to be compared block by block: ``pairs`` checks the size of
-its right side and refuses more than MAX_RIGHT rows (``top_k_blocks`` takes
-any size, one block product at a time).
+Sides are DataFrames (idx, z) of any size: ``crossed`` broadcasts a right side
+whose size it has checked and deals a larger one by blocks; ``top_k_blocks``
+keeps the best of each row, one block product at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cosine, dot, norm
+from ..functions import dot
 
-#: Rows of the right side up to which all pairs are formed.
+#: Rows of the right side up to which it is broadcast.
 MAX_RIGHT = 20_000
 BLOCK = 4_096
 
 
-def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, sim): cosine of every pair; the right side's size is checked."""
+def crossed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of one side with every row of the other: a right side of up to MAX_RIGHT rows is broadcast, a larger one is joined by blocks."""
     n = right.count()
-    if n > MAX_RIGHT:
-        raise ValueError(f"{n} rows on the right side; use top_k_blocks beyond {MAX_RIGHT}")
+    if n <= MAX_RIGHT:
+        return left.crossJoin(F.broadcast(right))
+    blocks = -(-n // BLOCK)
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
+    spread = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return spread.join(dealt.hint("shuffle_hash"), "_block").drop("_block")
+
+
+def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, sim): cosine of every pair; ``top_k_blocks`` keeps a few a row without forming all."""
     # vectors are scaled once, so each pair costs one inner product
     unit = lambda df, c, z: df.select(F.col("idx").alias(c), F.transform("z", lambda x: x.cast("double")).alias("_v")).select(c, F.expr("transform(_v, x -> x / nullif(sqrt(aggregate(_v, 0.0D, (s, y) -> s + y * y)), 0.0D))").alias(z))
-    return unit(left, "a", "za").crossJoin(F.broadcast(unit(right, "b", "zb"))).select("a", "b", F.coalesce(dot(F.col("za"), F.col("zb")), F.lit(0.0)).alias("sim"))
+    return crossed(unit(left, "a", "za"), unit(right, "b", "zb")).select("a", "b", F.coalesce(dot(F.col("za"), F.col("zb")), F.lit(0.0)).alias("sim"))
 
 
 def top_k(sims: DataFrame, k: int, by: str = "a", of: str = "b") -> DataFrame:
@@ -87,6 +92,3 @@ def recall(sims: DataFrame, k: int) -> DataFrame:
     """(recall): share of ids that are among the k best of their own."""
     hit = top_k(sims, k).groupBy("a").agg(F.max((F.col("a") == F.col("b")).cast("double")).alias("hit"))
     return hit.agg(F.avg("hit").alias("recall"))
-
-
-__all__ = ["cosine", "norm", "pairs", "top_k", "top_k_blocks", "translation", "knn", "mutual", "recall"]

@@ -182,19 +182,29 @@ def centrality_bundle(x: Layers) -> DataFrame:
     return _r6(centrality.bundle(x.nodes, x.l1).select("node", "deg", "cc", "avg_nbr_deg", "si"), "cc", "avg_nbr_deg", "si")
 
 
-def _pagerank_sql(rounds: int) -> str:
-    out = ["pr0 AS (SELECT node, deg, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM d1)"]
-    for i in range(1, rounds + 1):
-        out.append(
-            f"pr{i} AS (SELECT p.node, p.deg, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM pr{i - 1} WHERE deg = 0) / n.n) AS rank"
-            f" FROM pr{i - 1} p LEFT JOIN (SELECT e.dst AS node, sum(q.rank / q.deg) AS got FROM e1 e JOIN pr{i - 1} q ON q.node = e.src GROUP BY e.dst) g USING (node), (SELECT count(*) AS n FROM nodes) n)"
-        )
-    return ", ".join(out)
+def pagerank_sql(name: str, deg: str, arcs: str) -> str:
+    """Ranks by round (i), until they move less than a millionth a node."""
+    return (
+        f"{name} AS (SELECT node, deg, 0 AS i, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank, 1e300::DOUBLE AS moved FROM {deg}"
+        f" UNION ALL SELECT node, deg, i + 1, next, sum(abs(next - rank)) OVER () FROM (SELECT p.node, p.deg, p.i, p.rank, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM {name} WHERE deg = 0) / n.n) AS next"
+        f" FROM {name} p LEFT JOIN (SELECT e.dst AS node, sum(q.rank / q.deg) AS got FROM {arcs} e JOIN {name} q ON q.node = e.src GROUP BY e.dst) g USING (node), (SELECT count(*) AS n FROM nodes) n WHERE p.i < 100 AND p.moved >= n.n * 1e-6::DOUBLE))"
+    )
 
 
-@register(sql.query("SELECT node, round(rank, 9) AS rank FROM pr5", _pagerank_sql(5)))
-def pagerank_k(x: Layers) -> DataFrame:
-    return centrality.pagerank(x.nodes, _arcs(x), 5).select("node", F.round("rank", 9).alias("rank"))
+@register(sql.query("SELECT node, round(rank, 9) AS rank FROM pr WHERE i = (SELECT max(i) FROM pr)", pagerank_sql("pr", "d1", "e1"), recursive=True))
+def pagerank(x: Layers) -> DataFrame:
+    return centrality.pagerank(x.nodes, _arcs(x)).select("node", F.round("rank", 9).alias("rank"))
+
+
+@register(
+    sql.query(
+        "SELECT node, rank, row_number() OVER (ORDER BY rank DESC, node) AS pos FROM (SELECT node, round(a.rank + b.rank, 9) AS rank FROM pr a JOIN ps b USING (node) WHERE a.i = (SELECT max(i) FROM pr) AND b.i = (SELECT max(i) FROM ps))",
+        pagerank_sql("pr", "d1", "e1") + ", " + pagerank_sql("ps", "d2", "e2"),
+        recursive=True,
+    )
+)
+def multilayer_pagerank(x: Layers) -> DataFrame:
+    return centrality.multilayer_rank(x.nodes, [_arcs(x), graph.symmetric(x.l2)])
 
 
 def _eigen_sql(rounds: int) -> str:
@@ -205,9 +215,9 @@ def _eigen_sql(rounds: int) -> str:
     return ", ".join(out)
 
 
-@register(sql.query("SELECT node, round(x, 6) AS eigen FROM ev4", _eigen_sql(4)))
+@register(sql.query("SELECT node, round(x, 6) AS eigen FROM ev8", _eigen_sql(8)))
 def eigenvector_k(x: Layers) -> DataFrame:
-    return _r6(centrality.eigenvector(x.nodes, _arcs(x), 4), "eigen")
+    return _r6(centrality.eigenvector(x.nodes, _arcs(x), 8), "eigen")
 
 
 _CORES = """core USING KEY (node) AS (
@@ -751,29 +761,56 @@ def walk_embedding(x: Layers) -> DataFrame:
     return walks.node_vectors(walks.walks(x.nodes, _arcs(x), 2, 5))
 
 
-def _cascade_sql(sims: int, depth: int) -> str:
+def _cascade_sql(sims: int) -> str:
     parts = []
     for k in (1, 2):
         u = sql.uniform("'ic'", str(k), "c.sim", "e.src", "e.dst")
-        parts.append(f"c{k} AS (SELECT s.node, i.sim, 0 AS d FROM sa s, range(0, {sims}) i(sim) UNION SELECT e.dst, c.sim, c.d + 1 FROM c{k} c JOIN e{k} e ON e.src = c.node WHERE c.d < {depth} AND {u} < 0.1::DOUBLE)")
+        parts.append(f"c{k} AS (SELECT s.node, i.sim FROM sa s, range(0, {sims}) i(sim) UNION SELECT e.dst, c.sim FROM c{k} c JOIN e{k} e ON e.src = c.node WHERE {u} < 0.1::DOUBLE)")
     return ", ".join(parts)
 
 
-@register(sql.query("SELECT round(count(*) / 20.0::DOUBLE, 6) AS spread FROM (SELECT DISTINCT sim, node FROM c1 UNION SELECT DISTINCT sim, node FROM c2)", _cascade_sql(20, 4), recursive=True))
+@register(sql.query("SELECT round(count(*) / 20.0::DOUBLE, 6) AS spread FROM (SELECT sim, node FROM c1 UNION SELECT sim, node FROM c2)", _cascade_sql(20), recursive=True))
 def ic_spread_hash(x: Layers) -> DataFrame:
-    return _r6(walks.cascade(x.top_degree(x.l1), {1: _arcs(x), 2: graph.symmetric(x.l2)}, 0.1, 20, 4), "spread")
+    return _r6(walks.cascade(x.top_degree(x.l1), {1: _arcs(x), 2: graph.symmetric(x.l2)}, 0.1, 20), "spread")
 
 
-@register()
+def _greedy_sql(candidates: str, sims: int, k: int, ties: str) -> str:
+    """Every candidate's cascades (rr), then k rounds of the one that adds most (g1 .. gk)."""
+    out = []
+    for layer in (1, 2):
+        u = sql.uniform("'ic'", str(layer), "c.sim", "e.src", "e.dst")
+        out.append(f"rc{layer} AS (SELECT s.node AS origin, s.node, i.sim FROM {candidates} s, range(0, {sims}) i(sim) UNION SELECT c.origin, e.dst, c.sim FROM rc{layer} c JOIN e{layer} e ON e.src = c.node WHERE {u} < 0.1::DOUBLE)")
+    out.append("rr AS (SELECT sim, origin, node FROM rc1 UNION SELECT sim, origin, node FROM rc2)")
+    for i in range(1, k + 1):
+        known = " UNION ALL ".join(f"SELECT node FROM g{j}" for j in range(1, i)) or "SELECT node FROM none"
+        out.append(f"ch{i} AS ({known}), cv{i} AS (SELECT DISTINCT sim, node FROM rr WHERE origin IN (SELECT node FROM ch{i}))")
+        out.append(f"g{i} AS (SELECT origin AS node, count(*) AS n FROM rr ANTI JOIN cv{i} USING (sim, node) WHERE origin NOT IN (SELECT node FROM ch{i}) GROUP BY origin ORDER BY n DESC, origin {ties} LIMIT 1)")
+    return ", ".join(out)
+
+
+def _greedy(candidates: str, sims: int, k: int, ties: str = "ASC") -> str:
+    rows = " UNION ALL ".join(f"SELECT {i} AS pos, node, n FROM g{i}" for i in range(1, k + 1))
+    return sql.query(f"SELECT pos, node, n / {sims}.0::DOUBLE AS gain, sum(n) OVER (ORDER BY pos) / {sims}.0::DOUBLE AS spread FROM ({rows})", _greedy_sql(candidates, sims, k, ties), recursive=True)
+
+
+def _both(x: Layers) -> dict[int, DataFrame]:
+    return {1: _arcs(x), 2: graph.symmetric(x.l2)}
+
+
+@register(_greedy("nodes", 10, 2, "DESC"))
 def greedy_ic_k2(x: Layers) -> DataFrame:
-    few = [r["node"] for r in x.top_degree(x.l1, 4).collect()]
-    return walks.greedy_cascade(few, {1: _arcs(x).cache(), 2: graph.symmetric(x.l2).cache()}, 0.1, 10, 3, 2, x.spark)
+    return walks.greedy_cascade(x.nodes, _both(x), 0.1, 10, 2, last=True)
 
 
-@register()
-def celf_k2(x: Layers) -> DataFrame:
-    few = [r["node"] for r in x.top_degree(x.l1, 4).collect()]
-    return walks.lazy_greedy(few, {1: _arcs(x).cache(), 2: graph.symmetric(x.l2).cache()}, 0.1, 10, 3, 2, x.spark)
+@register(_greedy("nodes", 10, 3))
+def celf_k3(x: Layers) -> DataFrame:
+    """Labels of the first nodes taken: what each adds when it is taken."""
+    return walks.greedy_cascade(x.nodes, _both(x), 0.1, 10, 3)
+
+
+@register(_greedy("sa", 20, 4))
+def celf_seed_order_k4(x: Layers) -> DataFrame:
+    return walks.greedy_cascade(x.top_degree(x.l1), _both(x), 0.1, 20, 4)
 
 
 @register()

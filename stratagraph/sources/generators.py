@@ -8,17 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import uniform
+from ..operators.sampling import drawn_pairs
 from ..session import ship
 
 KINDS = ("er", "small_world", "scale_free", "hybrid", "community")
 
 
 def random_edges(spark: SparkSession, n: int, m: int, purpose: str = "er") -> DataFrame:
-    """m distinct edges: twice as many hashed pairs as needed, the smallest draws of the distinct ones."""
-    draws = spark.range(4 * m + 16)
-    x, y = (F.floor(uniform(f"{purpose}:{c}", F.col("id")) * n).cast("bigint") for c in "xy")
-    pairs = draws.select("id", x.alias("x"), y.alias("y")).filter("x <> y").select("id", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    return pairs.groupBy("u", "v").agg(F.min("id").alias("id")).orderBy("id").limit(m).select("u", "v")
+    """m distinct edges, all pairs where there are fewer: the first of a sequence of hashed draws, which goes on until there are enough."""
+    return drawn_pairs(spark, n, m, purpose)
 
 
 def grown(spark: SparkSession, kind: str, n: int, m: int, graphs: int = 1, seed: int = 42) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 class Layers:
     """The multilayer network over ``part``: ``l1`` of parts ordered together, ``l2`` of parts shipped one after the other.
 
-    Everything is lazy; scans read two to six columns and push their filters.
+    Scans read two to six columns and push their filters; a layer is written once
+    when first asked for, since plans mention it many times.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -23,22 +28,22 @@ class Layers:
     def nodes(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("node"))
 
-    @property
+    @cached_property
     def l1(self) -> DataFrame:
         """Edges (u < v) of parts returned together in bulk."""
         rows = self.table("lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 25.0))
         pairs = rows.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
         a, b = pairs.select("o", F.col("p").alias("u")), pairs.select("o", F.col("p").alias("v"))
-        return a.join(b, "o").filter("u < v").select("u", "v").distinct()
+        return stored(a.join(b, "o").filter("u < v").select("u", "v").distinct())
 
-    @property
+    @cached_property
     def l2(self) -> DataFrame:
         """Edges (u < v) of parts that one supplier shipped consecutively at a high discount."""
         rows = self.table("lineitem").filter((F.col("l_returnflag") == "A") & (F.col("l_discount") >= 0.08))
         w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
         p, q = F.col("l_partkey"), F.col("q")
         rows = rows.select("l_partkey", F.lead("l_partkey").over(w).alias("q")).filter(q.isNotNull() & (q != p))
-        return rows.select(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")).distinct()
+        return stored(rows.select(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")).distinct())
 
     def top_degree(self, edges: DataFrame, k: int = 10) -> DataFrame:
         """(pos, node): the k nodes of highest degree, smaller ids first among equals; at most k rows."""
