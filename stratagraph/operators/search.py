@@ -29,6 +29,12 @@ def layer_performance(nodes: DataFrame, arcs: DataFrame, influence: DataFrame, a
     return z.join(influence, "node").join(alpha, "node").agg(F.coalesce(F.sum(F.col("potential") * F.col("w")), F.lit(0.0)).alias("performance"))
 
 
+def balanced(first: DataFrame, second: DataFrame, weight: float = 0.5) -> DataFrame:
+    """(p1, p2, fitness): two layers' performance, and their sum less the weighted difference."""
+    both = first.select(F.col("performance").alias("p1")).crossJoin(second.select(F.col("performance").alias("p2")))
+    return both.select("p1", "p2", (F.col("p1") + F.col("p2") - weight * F.abs(F.col("p1") - F.col("p2"))).alias("fitness"))
+
+
 def best_swap(own: DataFrame, gains: DataFrame, values: DataFrame) -> DataFrame:
     """(out_node, in_node, delta): the best single exchange by gain of what comes in less value of what goes; at most one row."""
     come = gains.select(F.col("node").alias("in_node"), "gain").orderBy(F.desc("gain"), "in_node").limit(1)

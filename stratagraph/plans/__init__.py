@@ -1 +1,3 @@
-"""The catalogue of registered queries and the SQL that checks them."""
+"""Registered queries and their SQL."""
+
+from . import catalogue, extended  # noqa: F401
