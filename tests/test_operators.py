@@ -157,3 +157,21 @@ def test_whole_closeness_by_search(spark):
         far = [d for d in dist.values() if d]
         assert got[i]["closeness"] == pytest.approx(len(far) ** 2 / sum(far) / 129 if far else 0)
         assert got[i]["harmonic"] == pytest.approx(sum(1 / d for d in far))
+
+
+def test_pairs_go_on_until_there_are_enough(spark):
+    from stratagraph.operators import sampling
+
+    got = {tuple(r) for r in sampling.drawn_pairs(spark, 6, 100, "t", edges(spark, [(0, 1), (2, 3)])).collect()}
+    assert got == {(u, v) for u in range(6) for v in range(u + 1, 6)} - {(0, 1), (2, 3)}
+
+
+def test_steps_round_half_to_even():
+    assert [influence.steps_of(n, None, 0.1) for n in (5, 15, 25, 100)] == [0, 2, 2, 10]
+    assert influence.steps_of(7) == 7 and influence.steps_of(7, 3, 0.5) == 3
+
+
+def test_running_sums_keep_ties_apart(spark):
+    rows = spark.createDataFrame([(i, float(i % 3)) for i in range(50)], "id bigint, x double")
+    got = [r["id"] for r in ranking.ordinal(rows, "x").orderBy("rank").collect()]
+    assert got == sorted(range(50), key=lambda i: (-(i % 3), i))
