@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, lm, neardup, personal, quality, secrets, substrings, tokens, toxicity, vectors
+from . import decontam, infill, lm, neardup, personal, quality, secrets, substrings, tokens, toxicity, vectors
 from .common import plain, table
 
 
@@ -56,6 +57,13 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.transform(plain(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    back = infill.restore(F.col("output"), F.col("form"))
+    digests = [F.sha2(F.encode(c, "UTF-8"), 256).alias(a) for c, a in ((F.col("output"), "output_sha256"), (back, "restored_sha256"))]
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_language_model": op9_language_model,
     "op10_near_vectors": op10_near_vectors,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: Words of whole texts in DuckDB.
@@ -99,6 +108,26 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM roots LEFT JOIN sizes USING (doc_id)
     """,
+    "op13_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        n AS (
+            SELECT doc_id, t, length(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+                   ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+            FROM d
+        ),
+        f AS (
+            SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                           WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                   least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y
+            FROM n
+        ),
+        p AS (SELECT *, substr(t, 1, x) AS prefix, substr(t, x + 1, y - x) AS middle, substr(t, y + 1) AS suffix FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN concat('<S>', suffix, '<P>', prefix, '<M>', middle)
+                      ELSE concat('<P>', prefix, '<S>', suffix, '<M>', middle) END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
     "op10_near_vectors": """
         WITH RECURSIVE links AS (
             SELECT a.vec_id AS a, b.vec_id AS b
