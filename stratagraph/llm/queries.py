@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, infill, lm, neardup, personal, quality, secrets, substrings, tokens, toxicity, vectors
+from . import decontam, infill, lm, neardup, packing, personal, quality, secrets, substrings, tokens, toxicity, vectors
 from .common import plain, table
 
 
@@ -57,6 +57,10 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = infill.transform(plain(table(spark, sf_dir, "documents"), "doc_id", "text"))
     back = infill.restore(F.col("output"), F.col("form"))
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_language_model": op9_language_model,
     "op10_near_vectors": op10_near_vectors,
+    "op12_packing": op12_packing,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
