@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, infill, lm, neardup, packing, personal, quality, secrets, substrings, tokens, toxicity, vectors
+from . import decontam, infill, lm, neardup, packing, personal, phrases, quality, secrets, substrings, tokens, toxicity, vectors
 from .common import plain, table
 
 
@@ -57,6 +57,10 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_language_model": op9_language_model,
     "op10_near_vectors": op10_near_vectors,
+    "op11_collocations": op11_collocations,
     "op12_packing": op12_packing,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -113,6 +118,33 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM roots LEFT JOIN sizes USING (doc_id)
     """,
+    "op11_collocations": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+        ),
+        lists AS (SELECT lang, w FROM (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces) WHERE len(w) > 0),
+        sizes AS (SELECT unnest([1, 2, 3, 4]) AS m),
+        spots AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM lists, sizes WHERE len(w) >= m),
+        grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM spots GROUP BY ALL),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE m = 1 GROUP BY lang),
+        found AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE m >= 2 AND f >= 30),
+        cuts AS (SELECT *, unnest(range(1, m)) AS k FROM found),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+            FROM cuts c
+            JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+            JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')
+        ),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_spots AS (SELECT lang, a, w, m, z, unnest(range(1, m - z + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS z FROM found WHERE m > 2)),
+        held AS (SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(a) AS longer FROM inner_spots GROUP BY ALL),
+        kept AS (
+            SELECT b.* FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase
+            WHERE h.longer IS NULL OR 100::HUGEINT * h.longer < 80::HUGEINT * b.a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
     "op13_fill_in_middle": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
         n AS (
