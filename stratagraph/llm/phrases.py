@@ -31,7 +31,7 @@ from .common import arrow_chunks, give_back, mix64, whole
 from .merges import _gather, _Strings
 
 #: Bytes of text in a shard.
-SHARD = 8 << 20
+SHARD = 3 << 20
 #: Bits a frequent phrase has in the filter, and the least and most bits of a filter (32 MB).
 SPREAD, FEWEST, MOST = 16, 1 << 16, 1 << 28
 #: Bits gathered together while a filter is made.
