@@ -41,7 +41,7 @@ WINDOW, GRAIN, DEPTH, LEAST = 2048, 8, 4, 32
 #: The id after each document.
 END = 1
 #: Bytes of text encoded together.
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 
 
 # --- the plan ---------------------------------------------------------------
