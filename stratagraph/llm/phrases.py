@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,6 @@ PARTS = 64
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
-_SHAPE = "lang string, phrase string, n int, count bigint"
 
 
 class Filter:
@@ -86,6 +86,12 @@ class Filter:
         return cls(out)
 
 
+def _rows(phrases: pa.Array, langs: pa.Array, count: np.ndarray) -> pa.RecordBatch:
+    """(key, count), the key being phrase and language on two lines: one short string to shuffle."""
+    keys = pc.binary_join_element_wise(phrases, langs, "\n")
+    return pa.RecordBatch.from_arrays([keys, pa.array(count.astype(np.int64))], names=["key", "count"])
+
+
 class Shard:
     """Words of some documents, laid end to end with one space after each.
 
@@ -144,9 +150,7 @@ class Shard:
     def batch(self, at: np.ndarray, n: int, count: np.ndarray) -> pa.RecordBatch:
         held = self.strings(at, n)
         phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(held.bounds), pa.py_buffer(held.data)])
-        columns = [self.lang_names.take(pa.array(self.lang[at])), phrases.cast(pa.large_string()).cast(pa.string())]
-        columns += [pa.array(np.full(len(at), n), pa.int32()), pa.array(count.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "count"])
+        return _rows(phrases.cast(pa.large_string()).cast(pa.string()), self.lang_names.take(pa.array(self.lang[at])), count)
 
 
 def suffix_array(ids: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -189,8 +193,8 @@ def intervals(order: np.ndarray, lcp: np.ndarray, left: np.ndarray, n: int) -> t
     return order[heads[some]], count[some], place[number] if len(order) else number
 
 
-def _counted(docs: DataFrame, lengths: tuple[int, ...], words: Filter | None, pairs: Filter | None) -> DataFrame:
-    """(lang, phrase, n, count) of the shards, for phrases of the given lengths; length 0 stands for all words together."""
+def _counted(docs: DataFrame, least: int, lengths: tuple[int, ...], words: Filter | None, pairs: Filter | None) -> DataFrame:
+    """(lang, phrase, n, f) of phrases of the given lengths with f >= ``least``; length 0 stands for all words together."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((words.bits if words else None, pairs.bits if pairs else None))
 
@@ -200,8 +204,7 @@ def _counted(docs: DataFrame, lengths: tuple[int, ...], words: Filter | None, pa
             return
         if 0 in lengths:
             total = np.bincount(shard.lang, minlength=len(shard.lang_names))
-            names = [shard.lang_names, pa.array([""] * len(total)), pa.array(np.zeros(len(total)), pa.int32()), pa.array(total.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(names, names=["lang", "phrase", "n", "count"])
+            yield _rows(pa.array([""] * len(total), pa.string()), shard.lang_names, total)
         if words_:
             one, place = np.unique(shard.ids, return_index=True)
             kept = one[words_(shard.langs, shard.lang[place], shard.strings(place, 1))]
@@ -230,9 +233,13 @@ def _counted(docs: DataFrame, lengths: tuple[int, ...], words: Filter | None, pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in arrow_chunks(batches, "text", SHARD):
             yield from each(Shard(whole(chunk.column("text")), whole(chunk.column("lang"))))
-        give_back()
+            give_back()
 
-    return docs.mapInArrow(run, _SHAPE).groupBy("lang", "phrase", "n").agg(F.sum("count").alias("f"))
+    sums = docs.mapInArrow(run, "key string, count bigint").groupBy("key").agg(F.sum("count").alias("f"))
+    phrase = F.substring_index("key", "\n", 1)  # no phrase holds a line end
+    sums = sums.filter((F.col("f") >= least) | (phrase == ""))
+    words_in = F.when(phrase == "", F.lit(0)).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1)
+    return sums.select(F.expr("substring(key, locate('\n', key) + 1)").alias("lang"), phrase.alias("phrase"), words_in.alias("n"), "f")
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4) -> DataFrame:
@@ -241,12 +248,12 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         raise ValueError("phrases have two words or more, and are counted at least once")
     ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"))
-    words = stored(_counted(docs, (0, 1), None, None).filter((F.col("n") == 0) | (F.col("f") >= least)))
+    words = stored(_counted(docs, least, (0, 1), None, None))
     known = Filter.of(words.filter("n = 1"))
-    pairs = stored(_counted(docs, (2,), known, None).filter(F.col("f") >= least))
+    pairs = stored(_counted(docs, least, (2,), known, None))
     if longest == 2:
         return words.union(pairs)
-    more = _counted(docs, tuple(range(3, longest + 1)), known, Filter.of(pairs)).filter(F.col("f") >= least)
+    more = _counted(docs, least, tuple(range(3, longest + 1)), known, Filter.of(pairs))
     return words.union(pairs).union(stored(more))
 
 
