@@ -98,6 +98,7 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_str(spec)
+        self.width = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
         parsed = json.loads(spec)
         vocab: dict[str, int] = parsed["model"]["vocab"]
         suffix = parsed["model"]["end_of_word_suffix"] or ""

@@ -225,11 +225,20 @@ class Plan:
         return sorted({r[0] for r in self.rows if r[4] < r[0]})
 
 
+def _kind(ids: int) -> str:
+    """Type that holds ``ids`` different ids."""
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
 # --- the tables -------------------------------------------------------------
 
 
-def encoded(docs: DataFrame, text: str, key: str, window: int, end: int, vocabulary: str | None) -> DataFrame:
-    """One row a piece: windows of a document, then its rest; ``task`` and ``number`` count the pieces of equal length in a task."""
+def encoded(docs: DataFrame, text: str, key: str, window: int, end: int, vocabulary: str | None, with_windows: bool) -> DataFrame:
+    """One row a piece: windows of a document, then its rest; ``task`` and ``number`` count the pieces of equal length in a task.
+
+    Ids have two bytes where the vocabulary allows it. Windows, which are never
+    cut, carry theirs only if asked to.
+    """
     path = vocabulary or default_vocabulary()
     context = docs.sparkSession.sparkContext
     spec = context.broadcast(open(path, encoding="utf-8").read())
@@ -240,6 +249,7 @@ def encoded(docs: DataFrame, text: str, key: str, window: int, end: int, vocabul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(path, spec.value)
+        kept = _kind(max(machine.width, end + 1))
         task = TaskContext.get().partitionId()
         met = np.zeros(window + 1, np.int64)
         for chunk in arrow_chunks(batches, "text", CHUNK):
@@ -264,6 +274,9 @@ def encoded(docs: DataFrame, text: str, key: str, window: int, end: int, vocabul
             raw = full.astype("<u4").tobytes()
             view = memoryview(raw)
             pieces = [view[4 * a : 4 * b] for a, b in zip(at.tolist(), (at + length).tolist())]
+            short = memoryview(full.astype(kept).tobytes())
+            wide = np.dtype(kept).itemsize
+            held = [short[wide * a : wide * b] if with_windows or b - a < window else None for a, b in zip(at.tolist(), (at + length).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     whole(chunk.column("key")).take(pa.array(row)),
@@ -273,11 +286,11 @@ def encoded(docs: DataFrame, text: str, key: str, window: int, end: int, vocabul
                     pa.array(size[row]),
                     pa.array(np.full(len(row), task), pa.int32()),
                     pa.array(number),
-                    pa.array(pieces, pa.binary()),
+                    pa.array(held, pa.binary()),
                 ],
                 names=shape.names,
             )
-        give_back()
+            give_back()
 
     return docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).mapInArrow(run, shape)
 
@@ -322,7 +335,7 @@ def pack(
     Only pieces of lengths that the plan cuts (or all, if ids are asked for)
     carry their ids past the encoding.
     """
-    pieces = stored(encoded(docs, text, key, window, end, vocabulary))
+    pieces = stored(encoded(docs, text, key, window, end, vocabulary, with_ids))
     held = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``window`` rows
     made = Plan(histogram, window, grain, depth, least)
@@ -347,9 +360,11 @@ def pack(
             ids = batch.column(6)
             slices = {}
             for k in range(len(row)) if with_ids else part:
-                slices[k] = ids[int(row[k])].as_buffer()[4 * int(start[k]) : 4 * int(start[k] + size[k])]
+                raw = ids[int(row[k])].as_buffer()
+                held = np.frombuffer(raw, f"<u{len(raw) // int(length[row[k]])}")
+                slices[k] = held[int(start[k]) : int(start[k] + size[k])].astype("<u4")
             for k in part:
-                crc[k] = zlib.crc32(slices[k])
+                crc[k] = zlib.crc32(slices[k].tobytes())
             columns = [
                 batch.column(0).take(pa.array(row)),
                 pa.array(batch.column(1).to_numpy()[row] + start),
@@ -360,7 +375,7 @@ def pack(
                 pa.array(rows["offset"][at]),
             ]
             if with_ids:
-                columns.append(pa.array([np.frombuffer(slices[k], "<u4").astype(np.int32) for k in range(len(row))], pa.list_(pa.int32())))
+                columns.append(pa.array([slices[k].astype(np.int32) for k in range(len(row))], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=shape.names)
 
     return rests.mapInArrow(run, shape)
