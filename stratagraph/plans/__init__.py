@@ -1,3 +1,3 @@
 """Registered queries and their SQL."""
 
-from . import catalogue, extended  # noqa: F401
+from . import catalogue, extended, searches  # noqa: F401
