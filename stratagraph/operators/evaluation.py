@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cosine, dot
-from . import ranking, sampling, similarity
+from . import blocks, ranking, sampling, similarity
 
 
 def _scored(pairs: DataFrame, side: DataFrame, unit: bool) -> DataFrame:
@@ -54,7 +54,7 @@ def reconstruction_all(edges: DataFrame, side: DataFrame, k: int = 50, purpose:
     m, n = near.count(), side.count()
     ends = [F.floor(uniform(f"{purpose}:{c}", F.col("id")) * n).cast("bigint").alias(c) for c in "uv"]
     rows = _scored(_labelled(near, side.sparkSession.range(min(3 * m, 10_000)).select("id", *ends)), side, True)
-    best = similarity.pairs(side, side).filter("a <> b").select("a", "b", F.round("sim", 9).alias("sim")).orderBy(F.desc("sim"), "a", "b").limit(min(k, m))
+    best = blocks.best_pairs(side, side, max(1, min(k, m)), 9, others=True).limit(min(k, m))
     known = near.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("hit"))
     known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "hit"))
     return ranking.auc(rows).crossJoin(best.join(known, ["a", "b"], "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("precision")))
@@ -81,7 +81,7 @@ def roles(a: DataFrame, wa: DataFrame, b: DataFrame, wb: DataFrame, ratio: float
     at = parts.groupBy("pos").pivot("part", ["ah", "ap", "bh", "bp"]).agg(F.avg("x"))
     cos = lambda p, q: F.sum(F.col(p) * F.col(q)) / F.nullif(F.sqrt(F.sum(F.col(p) * F.col(p)) * F.sum(F.col(q) * F.col(q))), F.lit(0.0))
     row = at.agg(cos("ah", "bh").alias("hub_center_sim"), cos("ap", "bp").alias("periph_center_sim"), cos("ah", "ap").alias("own"), cos("bh", "bp").alias("its"))
-    best = similarity.pairs(*hubs).groupBy("a").agg(F.max("sim").alias("sim")).agg(F.avg("sim").alias("hub_max_sim"))
+    best = blocks.best_of_each(*hubs, 1).agg(F.avg("sim").alias("hub_max_sim"))
     return row.crossJoin(best).select("hub_center_sim", "hub_max_sim", "periph_center_sim", (1.0 - (F.col("own") + F.col("its")) / 2).alias("separation"), (F.col("hub_center_sim") - F.col("own")).alias("hub_separation"))
 
 
@@ -91,7 +91,7 @@ def rank_agreement(a: DataFrame, wa: DataFrame, b: DataFrame, wb: DataFrame) ->
     First by the formula over squared differences of ordinal ranks, kept within
     -1 and 1; then as the correlation of average ranks, 0 where undefined.
     """
-    match = similarity.translation(similarity.pairs(a, b).withColumn("sim", F.round("sim", 9)))
+    match = similarity.translation(a, b, 9)
     rank = lambda w, c: ranking.ordinal(w.select(F.col("idx").alias("id"), "w"), "w", f"r{c}").withColumnRenamed("w", f"w{c}").withColumnRenamed("id", c)
     rows = match.join(rank(wa, "a"), "a").join(rank(wb, "b"), "b")
     n, d = F.count("*").cast("double"), (F.col("ra") - F.col("rb")).cast("double")

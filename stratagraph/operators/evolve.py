@@ -34,11 +34,6 @@ def population(spark: SparkSession, n: int, w1: DataFrame, w2: DataFrame, k1: in
     return one.join(two, "id")
 
 
-def aligned_pairs(sims: DataFrame, top: int = 150) -> DataFrame:
-    """The most similar pairs across layers, best first (top is the feature: a report of so many pairs)."""
-    return sims.orderBy(F.desc("sim"), "a", "b").limit(top)
-
-
 def repair(genes: Column, n: int, k: int) -> Column:
     """In range, without repeats, order kept; filled up with the smallest unused ids, cut to k."""
     good = F.array_distinct(F.filter(genes, lambda x: (x >= 0) & (x < n)))
@@ -101,7 +96,7 @@ def tempered(weights: DataFrame, temperature: float = 1.0, excluded: DataFrame |
 def matched(spark: SparkSession, n: int, pairs: DataFrame, k: int, purpose: str) -> DataFrame:
     """(id, seeds_l1, seeds_l2): for each of n ids the reported pairs (a, b) in a hashed order, each taken whose nodes aren't taken yet, up to k.
 
-    ``pairs`` is a report of bounded length (``aligned_pairs``): an id's pairs fit a row.
+    ``pairs`` is a report of bounded length (``blocks.best_pairs``): an id's pairs fit a row.
     """
     dealt = spark.range(n).crossJoin(F.broadcast(pairs.select("a", "b")))
     order = F.array_sort(F.collect_list(F.struct(uniform(purpose, F.col("id"), F.col("a"), F.col("b")).alias("key"), "a", "b"))).alias("order")

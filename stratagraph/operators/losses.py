@@ -1,26 +1,31 @@
-"""Alignment losses as aggregates over embedding sides (idx, z) with weights (idx, w). See ``similarity.crossed`` for the pairs."""
+"""Alignment losses as aggregates over embedding sides (idx, z) with weights (idx, w). Pairs stay inside ``blocks``."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dot
-from . import similarity
+from ..functions import cosine, dot
+from ..session import stored
+from . import blocks
 from .ranking import equal_bins, ordinal
 
 SIGMAS = (1.0, 2.0, 4.0, 8.0, 16.0)
 
 
 def _kernel_mean(a: DataFrame, wa: DataFrame, b: DataFrame, wb: DataFrame, name: str) -> DataFrame:
-    x = a.join(wa, "idx").select(F.col("z").alias("x"), F.col("w").alias("u"))
-    y = b.join(wb, "idx").select(F.col("z").alias("y"), F.col("w").alias("v"))
-    d2 = F.aggregate(F.zip_with("x", "y", lambda p, q: F.pow(p.cast("double") - q.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, t: s + t)
-    rows = similarity.crossed(x, y).select("u", "v", d2.alias("d2"))
-    k = sum((F.exp(-F.col("d2") / (2 * s * s)) for s in SIGMAS), F.lit(0.0)) / len(SIGMAS)
-    return rows.agg(F.sum(F.col("u") * F.col("v") * k).alias(name))
+    """Weighted mean kernel over all pairs: one number a pair of blocks leaves its task."""
+
+    def reduce(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        p, q = (np.stack(f["z"].to_numpy()) for f in (x, y))
+        d2 = np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2.0 * p @ q.T, 0.0)
+        k = sum(np.exp(-d2 / (2 * s * s)) for s in SIGMAS) / len(SIGMAS)
+        return pd.DataFrame({"part": [float(x["w"].to_numpy(float) @ k @ y["w"].to_numpy(float))]})
+
+    side = lambda z, w: z.join(w, "idx").select("idx", F.col("z").cast("array<double>").alias("z"), F.col("w").cast("double").alias("w"))
+    return blocks.by_blocks(side(a, wa), side(b, wb), reduce, "part double").agg(F.sum("part").alias(name))
 
 
 def weighted_discrepancy(a: DataFrame, wa: DataFrame, b: DataFrame, wb: DataFrame) -> DataFrame:
@@ -29,14 +34,27 @@ def weighted_discrepancy(a: DataFrame, wa: DataFrame, b: DataFrame, wb: DataFram
     return rows.select((F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("ammd"))
 
 
-def info_nce(sims: DataFrame, temperature: float = 0.1) -> DataFrame:
-    """(loss): symmetric contrastive loss; the positive of each id is its own on the other side."""
-    logit = F.col("sim") / temperature
-    parts = []
-    for by in ("a", "b"):
-        rows = sims.groupBy(by).agg(F.log(F.sum(F.exp(logit))).alias("lse"), F.max(F.when(F.col("a") == F.col("b"), logit)).alias("pos"))
-        parts.append(rows.filter("pos is not null").agg(F.avg(F.col("lse") - F.col("pos")).alias(by)))
-    return parts[0].crossJoin(parts[1]).select(((F.col("a") + F.col("b")) / 2).alias("loss"))
+def info_nce(a: DataFrame, b: DataFrame, temperature: float = 0.1) -> DataFrame:
+    """(loss): symmetric contrastive loss; the positive of each id is its own on the other side.
+
+    A block leaves its maximum and its sum of exponentials a row.
+    """
+
+    def reduce(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        logit = blocks.unit(x["z"]) @ blocks.unit(y["z"]).T / temperature
+        out = []
+        for by, m, f in (("a", logit, x), ("b", logit.T, y)):
+            top = m.max(1)
+            out.append(pd.DataFrame({"by": by, "idx": f["idx"], "top": top, "mass": np.exp(m - top[:, None]).sum(1)}))
+        return pd.concat(out)
+
+    parts = blocks.by_blocks(a.select("idx", "z"), b.select("idx", "z"), reduce, "by string, idx bigint, top double, mass double")
+    top = F.max("top").over(Window.partitionBy("by", "idx"))
+    rows = parts.withColumn("most", top).groupBy("by", "idx").agg((F.first("most") + F.log(F.sum(F.col("mass") * F.exp(F.col("top") - F.col("most"))))).alias("lse"))
+    own = a.select("idx", F.col("z").alias("x")).join(b.select("idx", F.col("z").alias("y")), "idx")
+    own = own.select("idx", (F.coalesce(cosine(F.col("x"), F.col("y")), F.lit(0.0)) / temperature).alias("pos"))
+    means = rows.join(own, "idx").groupBy("by").agg(F.avg(F.col("lse") - F.col("pos")).alias("l"))
+    return means.agg((F.sum("l") / 2).alias("loss"))
 
 
 def reconstruction(pairs: DataFrame, side: DataFrame, scale: float = 5.0) -> DataFrame:
@@ -59,12 +77,22 @@ def reconstruction(pairs: DataFrame, side: DataFrame, scale: float = 5.0) -> Dat
     return per.agg(F.sum("l").alias("loss"))
 
 
-def hub_margin(sims: DataFrame, hubs_a: DataFrame, hubs_b: DataFrame, margin: float = 0.2) -> DataFrame:
-    """(loss): mean similarity of pairs with exactly one hub, less that of pairs of hubs, plus a margin; at least 0."""
-    rows = sims.join(hubs_a.select(F.col("idx").alias("a"), F.lit(1).alias("ha")), "a", "left").join(hubs_b.select(F.col("idx").alias("b"), F.lit(1).alias("hb")), "b", "left")
-    n = F.coalesce("ha", F.lit(0)) + F.coalesce("hb", F.lit(0))
-    means = rows.agg(F.avg(F.when(n == 2, F.col("sim"))).alias("pos"), F.avg(F.when(n == 1, F.col("sim"))).alias("neg"))
-    return means.select(F.greatest(F.col("neg") - F.col("pos") + margin, F.lit(0.0)).alias("loss"))
+def hub_margin(a: DataFrame, b: DataFrame, hubs_a: DataFrame, hubs_b: DataFrame, margin: float = 0.2, temperature: float = 1.0) -> DataFrame:
+    """(loss): mean similarity of pairs with exactly one hub, less that of pairs of hubs, plus a margin; at least 0.
+
+    A sum of inner products is the inner product of sums, so no pair is formed.
+    """
+
+    def sums(side: DataFrame, hubs: DataFrame, c: str) -> DataFrame:
+        marked = side.join(hubs.select("idx", F.lit(True).alias("hub")), "idx", "left").select(F.coalesce("hub", F.lit(False)).alias("hub"), F.col("z").cast("array<double>").alias("z"))
+        scaled = marked.select("hub", F.posexplode(F.expr("transform(z, x -> coalesce(x / nullif(sqrt(aggregate(z, 0.0D, (s, y) -> s + y * y)), 0.0D), 0.0D))")).alias("pos", "x"))
+        return scaled.groupBy("pos", "hub").agg(F.sum("x").alias(f"x{c}"), F.count("*").alias(f"n{c}")).withColumnRenamed("hub", f"hub_{c}")
+
+    both = sums(a, hubs_a, "a").join(sums(b, hubs_b, "b"), "pos")
+    by = both.groupBy("hub_a", "hub_b").agg(F.sum(F.col("xa") * F.col("xb")).alias("sum"), F.max(F.col("na") * F.col("nb")).alias("n"))
+    n = F.col("hub_a").cast("int") + F.col("hub_b").cast("int")
+    mean = lambda k: F.sum(F.when(n == k, F.col("sum"))) / F.nullif(F.sum(F.when(n == k, F.col("n"))), F.lit(0)) / temperature
+    return by.agg(F.greatest(mean(1) - mean(2) + margin, F.lit(0.0)).alias("loss"))
 
 
 def rank_matches(wa: DataFrame, wb: DataFrame) -> DataFrame:
@@ -98,16 +126,83 @@ def prototypes(side: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("bin", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("value"))
 
 
-def schedule(epochs: int, warmup: int, align: tuple[float, float], recon: tuple[float, float], mode: str = "fixed") -> list[tuple[int, float, float]]:
-    """[(epoch, align, recon)] from epoch 1: reconstruction alone while warming up, then fixed ends or a linear or cosine course."""
-    last = max(epochs - warmup - 1, 0)  # epochs after the first that aligns
-    course = {"linear": lambda t: t, "cosine": lambda t: math.sin(math.pi * t / 2) ** 2}.get(mode, lambda t: 1.0)
-    share = lambda e: course((e - warmup - 1) / last) if last else 1.0
-    mixed = lambda ends, t: ends[0] * (1.0 - t) + ends[1] * t
-    early = [(e, 0.0, recon[0]) for e in range(1, min(warmup, epochs) + 1)]
-    if mode not in ("linear", "cosine") or not last:
-        return early + [(e, align[1], recon[0]) for e in range(warmup + 1, epochs + 1)]
-    return early + [(e, mixed(align, share(e)), mixed(recon, share(e))) for e in range(warmup + 1, epochs + 1)]
+def _units(side: DataFrame) -> DataFrame:
+    z = side.select("idx", F.col("z").cast("array<double>").alias("z"))
+    return z.select("idx", F.expr("transform(z, x -> coalesce(x / nullif(sqrt(aggregate(z, 0.0D, (s, y) -> s + y * y)), 0.0D), 0.0D))").alias("z"))
+
+
+def _row_sums(a: DataFrame, b: DataFrame, temperature: float, width: float | None) -> DataFrame:
+    """(idx, lse, mean, z, d, s) of each row of ``a`` over all rows of ``b``, from block products.
+
+    ``lse`` is the log of the sum of exponentials of the logits and ``mean`` their
+    mean; with a ``width``, t = exp(-|difference of ranks| / width) and ``z``, ``d``,
+    ``s`` sum t, t * difference and t * logit.
+    """
+
+    def reduce(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        logit = blocks.unit(x["z"]) @ blocks.unit(y["z"]).T / temperature
+        top = logit.max(1)
+        gap = np.abs(x["r"].to_numpy()[:, None] - y["r"].to_numpy()[None, :])
+        t = np.exp(-gap / (width or 1.0))
+        sums = {"z": t.sum(1), "d": (t * gap).sum(1), "s": (t * logit).sum(1)}
+        return pd.DataFrame({"idx": x["idx"], "top": top, "mass": np.exp(logit - top[:, None]).sum(1), "total": logit.sum(1), "n": len(y), **sums})
+
+    parts = blocks.by_blocks(a, b, reduce, "idx bigint, top double, mass double, total double, n bigint, z double, d double, s double")
+    parts = parts.withColumn("most", F.max("top").over(Window.partitionBy("idx")))
+    lse = F.first("most") + F.log(F.sum(F.col("mass") * F.exp(F.col("top") - F.col("most"))))
+    return parts.groupBy("idx").agg(lse.alias("lse"), (F.sum("total") / F.sum("n")).alias("mean"), *[F.sum(c).alias(c) for c in ("z", "d", "s")])
+
+
+def _placed(side: DataFrame, weights: DataFrame) -> DataFrame:
+    """(idx, z, w, at, r): place by descending weight from 0, and over the last place."""
+    n = weights.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("n"))
+    ranked = ordinal(weights.select(F.col("idx").alias("id"), F.col("w").cast("double").alias("w")), "w", "at").crossJoin(F.broadcast(n))
+    return _units(side).join(ranked.select(F.col("id").alias("idx"), "w", (F.col("at") - 1).alias("at"), ((F.col("at") - 1) / F.col("n")).alias("r")), "idx")
+
+
+def role_alignment(
+    a: DataFrame,
+    wa: DataFrame,
+    b: DataFrame,
+    wb: DataFrame,
+    temperature: float = 0.1,
+    width: float = 0.15,
+    ratio: float = 0.1,
+    least: int = 5,
+    most: int = 50,
+    bins: int = 3,
+    weights: tuple[float, float, float] = (1.0, 1.0, 0.5),
+) -> DataFrame:
+    """(loss_hub, loss_match, loss_prototype, loss_role): do nodes of like weight lie alike on both sides?
+
+    ``loss_hub``: distance of the hubs' centres, and half the distance of hub
+    logits from an even spread.  ``loss_match``: divergence of the logits from
+    nearness of weight ranks, and half the mean distance to the row of nearest
+    rank.  ``loss_prototype``: mean distance of the weighted centroids of equal
+    bins of weight.  All rows take part.  Too few rows for a part give 0.
+    """
+    a, wa, b, wb = (stored(x) for x in (a.select("idx", "z"), wa.select("idx", "w"), b.select("idx", "z"), wb.select("idx", "w")))
+    n = {k: side.count() for k, side in (("a", a), ("b", b))}
+    hubs = min(max(least, min(most, int(n["a"] * ratio))), max(least, min(most, int(n["b"] * ratio))), *n.values())
+    left, right = stored(_placed(a, wa)), stored(_placed(b, wb))
+    first = lambda side: side.filter(F.col("at") < hubs)
+    mean = lambda side, c: first(side).select(F.posexplode("z").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias(c))
+    near = lambda x, y: F.sum(F.col(x) * F.col(y)) / F.nullif(F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col(y) * F.col(y))), F.lit(0.0))
+    centre = mean(left, "x").join(mean(right, "y"), "pos").agg((1.0 - F.coalesce(near("x", "y"), F.lit(0.0))).alias("centre"))
+    spread = _row_sums(first(left).select("idx", "z", "r"), first(right).select("idx", "z", "r"), temperature, None).agg(F.avg(F.col("lse") - F.col("mean")).alias("spread"))
+    hub = centre.crossJoin(spread).select(F.when(F.lit(hubs >= 2), F.col("centre") + 0.5 * F.col("spread")).otherwise(0.0).alias("loss_hub"))
+    sums = _row_sums(left.select("idx", "z", "r"), right.select("idx", "z", "r"), temperature, width)
+    # sum of t / z * (log(t / z) - logit + lse) with log t = -difference / width
+    diverge = sums.agg(F.avg(-F.col("d") / F.col("z") / width - F.log("z") - F.col("s") / F.col("z") + F.col("lse")).alias("kl"))
+    matched = rank_matches(wa, wb).join(left.select(F.col("idx").alias("a"), F.col("z").alias("x")), "a").join(right.select(F.col("idx").alias("b"), F.col("z").alias("y")), "b")
+    direct = matched.agg((1.0 - F.avg(dot(F.col("x"), F.col("y")))).alias("direct"))
+    enough = F.lit(min(n.values()) >= 5)
+    match = diverge.crossJoin(direct).select(F.when(enough, F.col("kl") + 0.5 * F.col("direct")).otherwise(0.0).alias("loss_match"))
+    centroids = prototypes(_units(a), wa, bins).withColumnRenamed("value", "x").join(prototypes(_units(b), wb, bins).withColumnRenamed("value", "y"), ["bin", "pos"])
+    distance = centroids.groupBy("bin").agg((1.0 - F.coalesce(near("x", "y"), F.lit(0.0))).alias("d")).agg(F.avg("d").alias("d"))
+    proto = distance.select(F.when(F.lit(min(n.values()) >= bins), F.col("d")).otherwise(0.0).alias("loss_prototype"))
+    rows = hub.crossJoin(match).crossJoin(proto)
+    return rows.withColumn("loss_role", weights[0] * F.col("loss_hub") + weights[1] * F.col("loss_match") + weights[2] * F.col("loss_prototype"))
 
 
 def total(parts: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:

@@ -1,18 +1,18 @@
 """Embeddings of two sides: cosine tables, top-k retrieval, alignment quality.
 
-Sides are DataFrames (idx, z) of any size: ``crossed`` broadcasts a right side
-whose size it has checked and deals a larger one by blocks; ``top_k_blocks``
-keeps the best of each row, one block product at a time.
+Sides are DataFrames (idx, z) of any size.  Retrieval goes through ``blocks``;
+``pairs`` makes the whole table where all of it is wanted: ``crossed`` broadcasts
+a right side whose size it has checked and deals a larger one by blocks.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dot
+from ..session import stored
+from . import blocks
 
 #: Rows of the right side up to which it is broadcast.
 MAX_RIGHT = 20_000
@@ -24,14 +24,14 @@ def crossed(left: DataFrame, right: DataFrame) -> DataFrame:
     n = right.count()
     if n <= MAX_RIGHT:
         return left.crossJoin(F.broadcast(right))
-    blocks = -(-n // BLOCK)
-    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
-    spread = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    parts = -(-n // BLOCK)
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(parts)))
+    spread = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
     return spread.join(dealt.hint("shuffle_hash"), "_block").drop("_block")
 
 
 def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, sim): cosine of every pair; ``top_k_blocks`` keeps a few a row without forming all."""
+    """(a, b, sim): cosine of every pair; ``blocks`` keeps a few a row without forming all."""
     # vectors are scaled once, so each pair costs one inner product
     unit = lambda df, c, z: df.select(F.col("idx").alias(c), F.transform("z", lambda x: x.cast("double")).alias("_v")).select(c, F.expr("transform(_v, x -> x / nullif(sqrt(aggregate(_v, 0.0D, (s, y) -> s + y * y)), 0.0D))").alias(z))
     return crossed(unit(left, "a", "za"), unit(right, "b", "zb")).select("a", "b", F.coalesce(dot(F.col("za"), F.col("zb")), F.lit(0.0)).alias("sim"))
@@ -43,52 +43,25 @@ def top_k(sims: DataFrame, k: int, by: str = "a", of: str = "b") -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def top_k_blocks(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(a, b, sim, rank) for sides of any size: the right side is cut into blocks, and a block's best k of each row go on."""
-    n = right.count()
-    blocks = max(1, -(-n // BLOCK))
-    packed = right.select(F.pmod(F.xxhash64("idx"), F.lit(blocks)).alias("block"), "idx", F.transform("z", lambda x: x.cast("double")).alias("z"))
-    packed = packed.groupBy("block").agg(F.collect_list(F.struct("idx", "z")).alias("rows"))
-    spread = left.select("idx", F.transform("z", lambda x: x.cast("double")).alias("z")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        rows = b["rows"].iloc[0]
-        ids = np.array([r["idx"] for r in rows])
-        x, y = np.stack(a["z"].to_numpy()), np.stack([r["z"] for r in rows])
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        out = []
-        for lo in range(0, len(x), 1024):
-            s = x[lo : lo + 1024] @ y.T
-            for i, row in enumerate(s):
-                best = np.lexsort((ids, -row))[:k]
-                out.append(pd.DataFrame({"a": a["idx"].iloc[lo + i], "b": ids[best], "sim": row[best]}))
-        return pd.concat(out)
-
-    found = spread.groupBy("block").cogroup(packed.groupBy("block")).applyInPandas(run, "a bigint, b bigint, sim double")
-    return top_k(found, k)
-
-
-def translation(sims: DataFrame) -> DataFrame:
+def translation(left: DataFrame, right: DataFrame, digits: int = 12) -> DataFrame:
     """(a, b): the most similar node of the other side, the smallest id among equals."""
-    return sims.groupBy("a").agg(F.max_by("b", F.struct("sim", -F.col("b"))).alias("b"))
+    return blocks.best_of_each(left, right, 1, digits).select("a", "b")
 
 
 def knn(side: DataFrame, k: int) -> DataFrame:
     """(a, b, sim, rank): cosine neighbours within one side, itself left out."""
-    return top_k(pairs(side, side).filter("a <> b"), k)
+    return blocks.best_of_each(side, side, k, others=True)
 
 
-def mutual(sims: DataFrame, k: int) -> DataFrame:
+def mutual(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(mutual_rate, mean_top1, mean_topk): how often a's best partner has a among its k best."""
-    best = top_k(sims, 1).select("a", "b", "sim")
-    back = top_k(sims, k, "b", "a").select("a", "b", F.lit(1.0).alias("hit"))
-    first = best.join(back, ["a", "b"], "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("mutual_rate"), F.avg("sim").alias("mean_top1"))
-    return first.crossJoin(top_k(sims, k).agg(F.avg("sim").alias("mean_topk")))
+    forth = stored(blocks.best_of_each(left, right, k))
+    back = blocks.best_of_each(right, left, k).select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1.0).alias("hit"))
+    first = forth.filter("rank = 1").join(back, ["a", "b"], "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("mutual_rate"), F.avg("sim").alias("mean_top1"))
+    return first.crossJoin(forth.agg(F.avg("sim").alias("mean_topk")))
 
 
-def recall(sims: DataFrame, k: int) -> DataFrame:
+def recall(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(recall): share of ids that are among the k best of their own."""
-    hit = top_k(sims, k).groupBy("a").agg(F.max((F.col("a") == F.col("b")).cast("double")).alias("hit"))
+    hit = blocks.best_of_each(left, right, k).groupBy("a").agg(F.max((F.col("a") == F.col("b")).cast("double")).alias("hit"))
     return hit.agg(F.avg("hit").alias("recall"))

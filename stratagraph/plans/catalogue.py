@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import r6
-from ..operators import centrality, evolve, graph, influence, losses, ranking, search, similarity, spectral, walks
+from ..operators import blocks, centrality, evolve, graph, influence, losses, ranking, search, similarity, spectral, walks
 from ..sources import edgelist, generators
 from ..sources.layers import Layers
 from . import sql
@@ -387,24 +387,19 @@ def _sides(x: Layers) -> tuple[DataFrame, DataFrame]:
     return e.filter("side = 0").drop("side"), e.filter("side = 1").drop("side")
 
 
-def _sims(x: Layers) -> DataFrame:
-    a, b = _sides(x)
-    return similarity.pairs(a, b)
-
-
 @register(sql.query("SELECT a, b, round(sim, 6) AS sim, rank FROM (SELECT *, (row_number() OVER (PARTITION BY a ORDER BY sim DESC, b))::INT AS rank FROM sims) WHERE rank <= 3"))
 def s_align_topk(x: Layers) -> DataFrame:
-    return _r6(similarity.top_k(_sims(x), 3), "sim")
+    return _r6(blocks.best_of_each(*_sides(x), 3), "sim")
 
 
 @register(sql.query("SELECT a, b, round(sim, 6) AS sim, rank FROM (SELECT *, (row_number() OVER (PARTITION BY a ORDER BY sim DESC, b))::INT AS rank FROM sims) WHERE rank <= 2"))
 def s_align_topk_blocks(x: Layers) -> DataFrame:
-    return _r6(similarity.top_k_blocks(*_sides(x), 2).select("a", "b", "sim", "rank"), "sim")
+    return _r6(blocks.best_of_each(*_sides(x), 2), "sim")
 
 
 @register(sql.query("SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM sims) WHERE r = 1"))
 def gene_translation(x: Layers) -> DataFrame:
-    return similarity.translation(_sims(x))
+    return similarity.translation(*_sides(x))
 
 
 @register(sql.query("SELECT a, b, round(sim, 6) AS sim, rank FROM (SELECT a.idx AS a, b.idx AS b, list_cosine_similarity(a.z, b.z) AS sim, (row_number() OVER (PARTITION BY a.idx ORDER BY list_cosine_similarity(a.z, b.z) DESC, b.idx))::INT AS rank FROM emb_a a JOIN emb_a b ON a.idx <> b.idx) WHERE rank <= 5"))
@@ -417,12 +412,12 @@ _TOPS = "ta AS (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim
 
 @register(sql.query("SELECT round((SELECT avg(CASE WHEN tb.r <= 5 THEN 1.0::DOUBLE ELSE 0 END) FROM ta JOIN tb USING (a, b) WHERE ta.r = 1), 6) AS mutual_rate, round((SELECT avg(sim) FROM ta WHERE r = 1), 6) AS mean_top1, round((SELECT avg(sim) FROM ta WHERE r <= 5), 6) AS mean_topk", _TOPS))
 def mutual_knn(x: Layers) -> DataFrame:
-    return _r6(similarity.mutual(_sims(x), 5), "mutual_rate", "mean_top1", "mean_topk")
+    return _r6(similarity.mutual(*_sides(x), 5), "mutual_rate", "mean_top1", "mean_topk")
 
 
 @register(sql.query("SELECT round((SELECT count(*) FROM ta WHERE a = b AND r <= 10) / (SELECT count(DISTINCT a) FROM ta)::DOUBLE, 6) AS recall", _TOPS))
 def topk_recall(x: Layers) -> DataFrame:
-    return _r6(similarity.recall(_sims(x), 10), "recall")
+    return _r6(similarity.recall(*_sides(x), 10), "recall")
 
 
 def _side_weights(side: DataFrame) -> DataFrame:
@@ -443,7 +438,7 @@ def ammd(x: Layers) -> DataFrame:
 
 @register(sql.query("SELECT round(((SELECT avg(l - p) FROM (SELECT ln(sum(exp(sim / 0.1::DOUBLE))) AS l, max(CASE WHEN a = b THEN sim / 0.1::DOUBLE END) AS p FROM sims GROUP BY a)) + (SELECT avg(l - p) FROM (SELECT ln(sum(exp(sim / 0.1::DOUBLE))) AS l, max(CASE WHEN a = b THEN sim / 0.1::DOUBLE END) AS p FROM sims GROUP BY b))) / 2, 6) AS loss"))
 def infonce_id(x: Layers) -> DataFrame:
-    return _r6(losses.info_nce(_sims(x)), "loss")
+    return _r6(losses.info_nce(*(s.drop("label") for s in _sides(x))), "loss")
 
 
 _REC = (
@@ -466,7 +461,7 @@ def recon_bce(x: Layers) -> DataFrame:
 @register(sql.query("SELECT round(greatest((SELECT avg(sim) FROM hs WHERE n = 1) - (SELECT avg(sim) FROM hs WHERE n = 2) + 0.2::DOUBLE, 0), 6) AS loss", "hs AS (SELECT s.sim, (a.label >= 7)::INT + (b.label >= 7)::INT AS n FROM sims s JOIN emb_a a ON a.idx = s.a JOIN emb_b b ON b.idx = s.b)"))
 def hub_preserving(x: Layers) -> DataFrame:
     a, b = _sides(x)
-    return _r6(losses.hub_margin(_sims(x), a.filter("label >= 7"), b.filter("label >= 7")), "loss")
+    return _r6(losses.hub_margin(a, b, a.filter("label >= 7"), b.filter("label >= 7")), "loss")
 
 
 @register(
@@ -499,12 +494,6 @@ def role_prototype(x: Layers) -> DataFrame:
     return _r6(losses.prototypes(a.drop("label"), _side_weights(a), 4), "value")
 
 
-@register("SELECT e::INT AS epoch, round(CASE WHEN e <= 3 THEN 0 ELSE 0.1 + (1 - cos(pi() * (e - 4) / 6.0)) / 2 * 0.9 END::DOUBLE, 6) AS align, round(CASE WHEN e <= 3 THEN 1 ELSE 1 - (1 - cos(pi() * (e - 4) / 6.0)) / 2 * 0.9 END::DOUBLE, 6) AS recon FROM range(1, 11) t(e)")
-def lambda_schedule(x: Layers) -> DataFrame:
-    rows = losses.schedule(10, 3, (0.1, 1.0), (1.0, 0.1), "cosine")
-    return _r6(x.spark.createDataFrame(rows, "epoch int, align double, recon double"), "align", "recon")
-
-
 # --- ranking, normalisation, metrics ---------------------------------------
 
 
@@ -643,7 +632,7 @@ def init_random(x: Layers) -> DataFrame:
 
 @register(sql.query("SELECT a, b, round(sim, 6) AS sim FROM sims ORDER BY sims.sim DESC, a, b LIMIT 150"))
 def aligned_pairs(x: Layers) -> DataFrame:
-    return _r6(evolve.aligned_pairs(_sims(x)), "sim")
+    return _r6(blocks.best_pairs(*_sides(x), 150), "sim")
 
 
 @register(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import centrality, evaluation, evolve, graph, influence, losses, ranking, sampling, search, seeds, similarity, walks
+from ..operators import blocks, centrality, evaluation, evolve, graph, influence, losses, ranking, sampling, search, seeds, similarity, walks
 from ..sources import tables
 from ..sources.layers import Layers
 from . import sql
-from .catalogue import _arcs, _candidates, _mmd, _POP, _r6, _REC, _sample_sql, _side_weights, _sides, _sims, recon_bce, register
+from .catalogue import _arcs, _candidates, _mmd, _POP, _r6, _REC, _sample_sql, _side_weights, _sides, recon_bce, register
 
 # --- seeds and weights ----------------------------------------------------------
 
@@ -191,7 +191,7 @@ def hub_periphery(x: Layers) -> DataFrame:
 def hub_preserving_quantile(x: Layers) -> DataFrame:
     a, b = _sides(x)
     hubs = [sampling.quantile_hubs(_side_weights(s), 0.8) for s in (a, b)]
-    return _r6(losses.hub_margin(_sims(x).withColumn("sim", F.col("sim") / 0.1), *hubs), "loss")
+    return _r6(losses.hub_margin(*_sides(x), *hubs, temperature=0.1), "loss")
 
 
 # --- evaluation -----------------------------------------------------------------------------
@@ -303,7 +303,7 @@ _NCE = " + ".join(f"(SELECT avg(l - p) FROM (SELECT ln(sum(exp(sim / 0.1::DOUBLE
 def total_loss(x: Layers) -> DataFrame:
     a, b = _sides(x)
     align = losses.weighted_discrepancy(a.drop("label"), _side_weights(a), b.drop("label"), _side_weights(b))
-    rows = losses.total({"align": align, "recon": recon_bce(x), "contrastive": losses.info_nce(_sims(x)), "role": align}, {"align": 1.0, "recon": 0.5, "contrastive": 0.1, "role": 0.0})
+    rows = losses.total({"align": align, "recon": recon_bce(x), "contrastive": losses.info_nce(*(s.drop("label") for s in _sides(x))), "role": align}, {"align": 1.0, "recon": 0.5, "contrastive": 0.1, "role": 0.0})
     return _r6(rows, *rows.columns)
 
 
@@ -335,7 +335,7 @@ def init_tempered(x: Layers) -> DataFrame:
     )
 )
 def init_aligned(x: Layers) -> DataFrame:
-    rows = evolve.matched(x.spark, 6, evolve.aligned_pairs(_sims(x)), 5, "pair")
+    rows = evolve.matched(x.spark, 6, blocks.best_pairs(*_sides(x), 150), 5, "pair")
     return rows.select("id", F.array_join("seeds_l1", ",").alias("seeds_l1"), F.array_join("seeds_l2", ",").alias("seeds_l2"))
 
 

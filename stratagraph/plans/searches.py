@@ -1,14 +1,15 @@
-"""Registered queries of the searches that take every node as a candidate."""
+"""Registered queries of searches over all nodes, and of the alignment of roles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import celf, centrality, graph, influence, search, swaps
+from ..operators import celf, centrality, graph, influence, losses, search, swaps
 from ..sources.layers import Layers
 from . import sql
-from .catalogue import _both, register
+from .catalogue import _both, _side_weights, register
+from .catalogue import _sides as _vectors
 
 
 @register()
@@ -58,3 +59,38 @@ def gap_filling(x: Layers) -> DataFrame:
 def two_swap_within(x: Layers) -> DataFrame:
     """The best exchange of two seeds for two nodes; tests hold it against all pairs."""
     return swaps.two_swap_within(_sides(x)[0])
+
+
+def _roles_sql() -> str:
+    """Ranks, unit vectors, hubs and thirds of both sides; all pairs with their target."""
+    parts = []
+    for k in "ab":
+        parts += [
+            f"rk{k} AS (SELECT idx, w, row_number() OVER (ORDER BY w DESC, idx) - 1 AS spot, count(*) OVER () AS n FROM w_{k})",
+            f"un{k} AS (SELECT r.idx, r.w, r.spot, r.spot / greatest(r.n - 1, 1)::DOUBLE AS r, least(r.spot // (r.n // 3), 2) AS bin, list_transform(e.z, lambda x: x / sqrt(list_dot_product(e.z, e.z))) AS u FROM rk{k} r JOIN emb_{k} e USING (idx))",
+            f"hb{k} AS (SELECT idx, u FROM un{k} WHERE spot < (SELECT greatest(5, least(50, floor(count(*) * 0.1::DOUBLE))) FROM w_{k}))",
+            f"hc{k} AS (SELECT pos, avg(v) AS v FROM (SELECT unnest(u) AS v, unnest(range(0, 64)) AS pos FROM hb{k}) GROUP BY pos)",
+            f"pc{k} AS (SELECT bin, pos, sum(w * v) / sum(w) AS v FROM (SELECT bin, w, unnest(u) AS v, unnest(range(0, 64)) AS pos FROM un{k}) GROUP BY bin, pos)",
+        ]
+    return ", ".join(parts) + (
+        ", hl AS (SELECT avg(ln(e) - m) AS spread FROM (SELECT a.idx, sum(exp(list_dot_product(a.u, b.u) / 0.1::DOUBLE)) AS e, avg(list_dot_product(a.u, b.u) / 0.1::DOUBLE) AS m FROM hba a, hbb b GROUP BY a.idx))"
+        ", tg AS (SELECT a.idx AS a, b.idx AS b, list_dot_product(a.u, b.u) AS sim, abs(a.r - b.r) AS gap, exp(-abs(a.r - b.r) / 0.15::DOUBLE) AS t FROM una a, unb b)"
+        ", tz AS (SELECT a, sum(t) AS z, ln(sum(exp(sim / 0.1::DOUBLE))) AS lse FROM tg GROUP BY a)"
+        ", kl AS (SELECT avg(k) AS kl FROM (SELECT a, sum(t / z * (ln(t / z) - sim / 0.1::DOUBLE + lse)) AS k FROM tg JOIN tz USING (a) GROUP BY a))"
+        ", dm AS (SELECT 1 - avg(sim) AS direct FROM (SELECT a, arg_min(sim, (gap, b)) AS sim FROM tg GROUP BY a))"
+        ", cd AS (SELECT 1 - sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS centre FROM hca a JOIN hcb b USING (pos))"
+        ", pd AS (SELECT avg(d) AS proto FROM (SELECT 1 - sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS d FROM pca a JOIN pcb b USING (bin, pos) GROUP BY bin))"
+    )
+
+
+@register(
+    sql.query(
+        "SELECT round(centre + 0.5::DOUBLE * spread, 6) AS loss_hub, round(kl + 0.5::DOUBLE * direct, 6) AS loss_match, round(proto, 6) AS loss_prototype,"
+        " round(centre + 0.5::DOUBLE * spread + kl + 0.5::DOUBLE * direct + 0.5::DOUBLE * proto, 6) AS loss_role FROM cd, hl, kl, dm, pd",
+        _roles_sql(),
+    )
+)
+def role_losses(x: Layers) -> DataFrame:
+    a, b = _vectors(x)
+    rows = losses.role_alignment(a, _side_weights(a), b, _side_weights(b))
+    return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])
