@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship
 from .common import Words, arrow_chunks, plain, rolling, whole
@@ -233,12 +234,13 @@ def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def find_passages(docs: DataFrame, items: DataFrame, k: int = SHINGLE, min_similarity: float = MIN_SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, start_word, end_word, similarity): every passage of ``docs`` that is an item of ``items``."""
+    """(doc_id, item_id, start_word, end_word, similarity): every passage of ``docs`` that is an item of ``items``; ids are of any type."""
     spark = docs.sparkSession
     ship(spark)
     items = plain(items, "item_id", "text")
     docs = plain(docs, "doc_id", "text")
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start_word long, end_word long, similarity double"
+    kind = to_arrow_type(items.schema["item_id"].dataType)
     total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).collect()[0][0] or 0
     n_blocks = max(1, -(-total // ITEM_BYTES))
     shared = spark.sparkContext.broadcast(_shared(items, k) if n_blocks > 1 else None)
@@ -255,7 +257,7 @@ def find_passages(docs: DataFrame, items: DataFrame, k: int = SHINGLE, min_simil
                 hits = index.search(_words(whole(part.column("text"))))
                 ids = whole(part.column("doc_id"))
                 row, item, a, b, s = zip(*hits) if hits else ((), (), (), (), ())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "item_id", "start_word", "end_word", "similarity"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array([index.ids[i] for i in item], kind), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "item_id", "start_word", "end_word", "similarity"])
 
         part = docs.mapInArrow(run, shape)
         found = part if found is None else found.union(part)

@@ -194,6 +194,15 @@ def test_equal_texts_of_differing_labels(spark):
         assert [(r["doc_id"], r["label"]) for r in got] == [(ids[0], ids[0] % 2)]
 
 
+def test_decontamination_with_text_ids(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    d = spark.createDataFrame([("one", f"before {item} after", 5), ("two", "nothing of it", 6), (None, item, 7)], "doc_id string, text string, item_id int")
+    b = spark.createDataFrame([("first", item), ("second", None)], "item_id string, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontam.find_passages(d, b).collect()]
+    assert sorted(got, key=str) == [("one", "first"), (None, "first")] or sorted(got, key=str) == [(None, "first"), ("one", "first")]
+    assert {r["doc_id"] for r in decontam.clean(d, b).collect()} == {"two", None}
+
+
 def test_decontamination(spark):
     item = " ".join(f"item{i}" for i in range(20))
     near = item.replace("item19", "other")
