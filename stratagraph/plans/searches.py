@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import celf, centrality, graph, influence, losses, search, swaps
+from ..operators import alias, celf, centrality, graph, influence, losses, search, swaps, walks
 from ..sources.layers import Layers
 from . import sql
 from .catalogue import _both, _side_weights, register
@@ -94,3 +94,17 @@ def role_losses(x: Layers) -> DataFrame:
     a, b = _vectors(x)
     rows = losses.role_alignment(a, _side_weights(a), b, _side_weights(b))
     return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])
+
+
+@register()
+def alias_walks(x: Layers) -> DataFrame:
+    """Second-order walks over arcs weighted by their end; tests hold tables and steps against exact frequencies."""
+    arcs = graph.symmetric(x.l1)
+    weighted = arcs.join(centrality.alpha(x.nodes, arcs).select(F.col("node").alias("dst"), "w"), "dst").select("src", "dst", "w")
+    return alias.walks(x.nodes, alias.Tables(weighted), 2, 5, 0.5, 2.0).select("start", "walk", F.array_join("path", ",").alias("path"))
+
+
+@register()
+def biased_walk_embedding(x: Layers) -> DataFrame:
+    """Skip-gram vectors over second-order walks."""
+    return walks.node_vectors(alias.walks(x.nodes, alias.Tables(graph.symmetric(x.l1)), 2, 5, 0.5, 2.0))
