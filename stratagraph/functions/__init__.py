@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TWO_32 = 4294967296.0
@@ -31,3 +31,27 @@ def cosine(a: Column, b: Column) -> Column:
 def r6(c: Column) -> Column:
     """Rounded to six places, the precision of all reported numbers."""
     return F.round(c, 6) + F.lit(0.0)
+
+
+def softmax(df: DataFrame, value: str, by: list[str], temperature: float = 1.0, log: bool = False, name: str = "share") -> DataFrame:
+    """Adds each row's soft-max share of ``value`` among the rows of equal ``by`` (none: all rows), or its logarithm.
+
+    The maximum is taken off first. Groups are summed before they meet their rows,
+    so that one large group is no single task's work. Null values have no share;
+    null keys make a group of their own.
+    """
+    x = F.col(value).cast("double") / temperature
+    keys = [F.col(c).alias(f"_by_{c}") for c in by]
+    top = df.groupBy(*keys).agg(F.max(x).alias("_top"))
+
+    def met(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        if not by:
+            return rows.crossJoin(F.broadcast(groups))  # one row
+        same = [rows[c].eqNullSafe(groups[f"_by_{c}"]) for c in by]
+        return rows.join(groups, same, "left").drop(*[f"_by_{c}" for c in by])
+
+    shifted = met(df, top).withColumn("_x", x - F.col("_top")).drop("_top")
+    sums = shifted.groupBy(*keys).agg(F.log(F.sum(F.exp("_x"))).alias("_lse"))
+    out = met(shifted, sums)
+    share = F.col("_x") - F.col("_lse")
+    return out.withColumn(name, share if log else F.exp(share)).drop("_x", "_lse")

@@ -35,6 +35,12 @@ def balanced(first: DataFrame, second: DataFrame, weight: float = 0.5) -> DataFr
     return both.select("p1", "p2", (F.col("p1") + F.col("p2") - weight * F.abs(F.col("p1") - F.col("p2"))).alias("fitness"))
 
 
+def top_candidates(values: DataFrame, own: DataFrame, k: int = 20) -> DataFrame:
+    """(node, value): of the ``k`` nodes worth most, smaller ids first among equals, those outside the own set (k is the feature: a short list)."""
+    best = values.orderBy(F.desc("value"), "node").limit(k)
+    return best.join(own.select("node").distinct(), "node", "left_anti").select("node", "value")
+
+
 def best_swap(own: DataFrame, gains: DataFrame, values: DataFrame) -> DataFrame:
     """(out_node, in_node, delta): the best single exchange by gain of what comes in less value of what goes; at most one row."""
     come = gains.select(F.col("node").alias("in_node"), "gain").orderBy(F.desc("gain"), "in_node").limit(1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import softmax
 from ..operators import alias, celf, centrality, graph, influence, losses, search, swaps, walks
 from ..sources.layers import Layers
 from . import sql
@@ -49,6 +50,39 @@ def two_swap_across(x: Layers) -> DataFrame:
     return swaps.two_swap_across(*_sides(x)).withColumn("fitness", F.round("fitness", 8))
 
 
+_VALUE = "vl AS (SELECT p.node, p.potential * a.w AS value FROM pot1 p JOIN alpha1 a USING (node))"
+
+
+@register(sql.query("SELECT node, round(value, 9) AS value FROM (SELECT node, value FROM vl ORDER BY value DESC, node LIMIT 20) WHERE node NOT IN (SELECT node FROM sa)", _VALUE))
+def swap_candidates(x: Layers) -> DataFrame:
+    """The twenty nodes worth most, without the seeds."""
+    arcs = graph.symmetric(x.l1)
+    worth = influence.potential(x.nodes, arcs).join(centrality.alpha(x.nodes, arcs), "node")
+    values = worth.select("node", (F.col("potential") * F.col("w")).alias("value"))
+    return search.top_candidates(values, x.top_degree(x.l1)).withColumn("value", F.round("value", 9))
+
+
+_LOGITS = "lg AS (SELECT e.src, e.dst, ln(1 + a.deg) - ln(1 + b.deg) AS x FROM e1 e JOIN d1 a ON a.node = e.src JOIN d1 b ON b.node = e.dst)"
+
+
+def _logits(x: Layers) -> DataFrame:
+    """What an arc's two degrees make of it, as attention would score it."""
+    arcs = graph.symmetric(x.l1)
+    deg = graph.degree(x.nodes, arcs)
+    rows = arcs.join(deg.toDF("src", "ds"), "src").join(deg.toDF("dst", "dd"), "dst")
+    return rows.select("src", "dst", (F.log(1.0 + F.col("ds")) - F.log(1.0 + F.col("dd"))).alias("x"))
+
+
+@register(sql.query("SELECT src, dst, round(exp(x / 0.5::DOUBLE) / sum(exp(x / 0.5::DOUBLE)) OVER (PARTITION BY dst), 9) AS share FROM lg", _LOGITS))
+def softmax_by_destination(x: Layers) -> DataFrame:
+    return softmax(_logits(x), "x", ["dst"], 0.5).select("src", "dst", F.round("share", 9).alias("share"))
+
+
+@register(sql.query("SELECT src, dst, round(x - ln(sum(exp(x)) OVER ()), 8) AS share FROM lg", _LOGITS))
+def log_softmax_all(x: Layers) -> DataFrame:
+    return softmax(_logits(x), "x", [], log=True).select("src", "dst", F.round("share", 8).alias("share"))
+
+
 @register()
 def gap_filling(x: Layers) -> DataFrame:
     """Exchanges until none helps; tests hold it against a search that recomputes everything."""

@@ -1,10 +1,12 @@
 """Searches over all nodes against sequential and recomputing twins."""
 
+import math
 import random
 from itertools import combinations
 
 import pytest
 
+from stratagraph.functions import softmax
 from stratagraph.operators import celf, graph, search, swaps, walks
 
 
@@ -134,3 +136,16 @@ def test_small_sides(spark):
     assert swaps.two_swap_within(single).count() == 0
     with pytest.raises(ValueError):
         swaps.fill_gaps(full, full, weight=2.0)
+
+
+def test_softmax(spark):
+    rows = [("a", 1000.0), ("a", 1001.0), ("b", -5.0), (None, 2.0), (None, 2.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {}
+    for r in softmax(df, "x", ["k"]).collect():
+        got.setdefault(r["k"], []).append(r["share"])
+    assert sorted(got["a"]) == pytest.approx([1 / (1 + math.e), math.e / (1 + math.e)]) and got["b"] == [1.0]
+    assert got[None] == pytest.approx([0.5, 0.5]) and got["c"] == [None]
+    whole = [r["share"] for r in softmax(df.filter("x > 0"), "x", [], temperature=10.0, log=True).collect()]
+    assert sum(math.exp(v) for v in whole) == pytest.approx(1.0)
+    assert softmax(df.limit(0), "x", ["k"]).count() == 0
