@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import softmax
-from ..operators import alias, celf, centrality, graph, influence, losses, search, swaps, walks
+from ..operators import alias, celf, centrality, graph, influence, krylov, losses, search, swaps, walks
 from ..sources.layers import Layers
 from . import sql
 from .catalogue import _both, _side_weights, register
@@ -142,3 +142,10 @@ def alias_walks(x: Layers) -> DataFrame:
 def biased_walk_embedding(x: Layers) -> DataFrame:
     """Skip-gram vectors over second-order walks."""
     return walks.node_vectors(alias.walks(x.nodes, alias.Tables(graph.symmetric(x.l1)), 2, 5, 0.5, 2.0))
+
+
+@register()
+def eigenvector_converged(x: Layers) -> DataFrame:
+    """Centrality by the leading eigenvector, to its residual; tests hold it against a dense solver."""
+    vector, _, _ = krylov.leading(x.nodes, graph.symmetric(x.l1))
+    return vector.select("node", F.round("x", 6).alias("eigenvector"))
