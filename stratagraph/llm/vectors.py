@@ -118,7 +118,12 @@ def _compare(table: pa.Table, least: float) -> pa.Table:
 
 
 def near_vectors(vectors: DataFrame, least: float = MIN_COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of ``vectors(vec_id, embedding, label, ...)``; vec_id is a bigint."""
+    """(vec_id, n_links, component_id, kept) of every row of ``vectors(vec_id, embedding, label, ...)``; vec_id is a bigint.
+
+    Rows that repeat a vec_id with other vectors or labels are one member with
+    several vectors: the links of all of them are added, and what any of them
+    reaches is one component.
+    """
     ship(vectors.sparkSession)
     rows = plain(vectors, "vec_id", "embedding", "label")
     finite = "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"

@@ -231,3 +231,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert "abcdef0123456789" not in d.filter("doc_id = 15").collect()[0]["text"]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == left[3] and "ids_sha256" in out.columns
+
+
+def test_repeated_ids_of_vectors(spark):
+    """One id with two vectors, each near another row's: its links are added, all three ids are one component."""
+    rows = [(1, [1.0, 0.0], 0, "x"), (1, [0.0, 1.0], 0, "x"), (2, [1.0, 0.001], 0, "x"), (3, [0.001, 1.0], 0, "x"), (4, [-1.0, 0.0], 0, "x")]
+    given = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, kept string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(given).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
