@@ -1,4 +1,4 @@
-"""Registered queries of searches over all nodes, and of the alignment of roles."""
+"""Registered queries of searches over all nodes, of the alignment of roles, and of kept features."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import softmax
-from ..operators import alias, celf, centrality, graph, influence, krylov, losses, search, swaps, walks
+from ..operators import alias, blocks, celf, centrality, generations, graph, influence, krylov, losses, search, similarity, swaps, walks
+from ..session import shared_dir
+from ..sources import features
 from ..sources.layers import Layers
 from . import sql
 from .catalogue import _both, _side_weights, register
 from .catalogue import _sides as _vectors
+from .extended import _TWO, _networks, _pop
 
 
 @register()
@@ -149,3 +152,76 @@ def eigenvector_converged(x: Layers) -> DataFrame:
     """Centrality by the leading eigenvector, to its residual; tests hold it against a dense solver."""
     vector, _, _ = krylov.leading(x.nodes, graph.symmetric(x.l1))
     return vector.select("node", F.round("x", 6).alias("eigenvector"))
+
+
+def _scores_sql(p: str = "0.01::DOUBLE") -> str:
+    """Both sides of every candidate on their layers: genes, arcs out of them, and who else is there."""
+    return (
+        "gn AS (SELECT id, 0 AS side, unnest(seeds) AS node FROM sm UNION ALL SELECT id, 1, unnest(seeds) FROM sm2)"
+        ", ar AS (SELECT 0 AS side, src, dst FROM e1 UNION ALL SELECT 1, src, dst FROM e2)"
+        ", dg AS (SELECT side, src AS node, count(*) AS deg FROM ar GROUP BY ALL)"
+        ", hp AS (SELECT g.id, g.side, g.node AS s, a.dst AS node FROM gn g JOIN ar a ON a.side = g.side AND a.src = g.node)"
+        ", mt AS (SELECT g.id, a.side, a.dst AS node, count(*) AS m FROM gn g JOIN ar a ON a.side = 1 - g.side AND a.src = g.node GROUP BY ALL)"
+        f", fr AS (SELECT h.id, h.side, sum(CASE WHEN r.node IS NULL THEN {p} * (1 + {p} * (d.deg - coalesce(t.m, 0))) - CASE WHEN o.node IS NULL THEN 0 ELSE {p} * (1 + {p} * floor(d.deg / pow(2, coalesce(t.m, 0)))) END ELSE 0 END) AS met, sum(CASE WHEN o.node IS NULL THEN {p} * (1 + {p} * d.deg) ELSE 0 END) AS alone"
+        " FROM hp h JOIN dg d ON d.side = h.side AND d.node = h.node LEFT JOIN mt t ON t.id = h.id AND t.side = h.side AND t.node = h.node LEFT JOIN gn r ON r.id = h.id AND r.side = 1 - h.side AND r.node = h.node LEFT JOIN gn o ON o.id = h.id AND o.side = h.side AND o.node = h.node GROUP BY ALL)"
+        ", ts AS (SELECT g.id, g.side, count(*) + coalesce(max(f.met), 0) AS t, count(*) + coalesce(max(f.alone), 0) AS alone FROM gn g LEFT JOIN fr f ON f.id = g.id AND f.side = g.side GROUP BY g.id, g.side)"
+        f", pt AS (SELECT id, side, node, {p} AS x FROM hp UNION ALL SELECT h.id, h.side, a.dst, {p} * {p} FROM hp h JOIN ar a ON a.side = h.side AND a.src = h.node AND a.dst <> h.s UNION ALL SELECT id, side, node, 1.0::DOUBLE FROM gn)"
+        ", pb AS (SELECT id, side, node, least(1.0::DOUBLE, sum(x)) AS pr FROM pt GROUP BY ALL)"
+        ", jn AS (SELECT id, sum(q) AS joint FROM (SELECT id, node, 1 - (1 - coalesce(max(pr) FILTER (side = 0), 0)) * (1 - coalesce(max(pr) FILTER (side = 1), 0)) AS q FROM pb GROUP BY id, node) GROUP BY id)"
+        ", tt AS (SELECT id, max(t) FILTER (side = 0) AS t1, max(t) FILTER (side = 1) AS t2, sum(alone) AS alone FROM ts GROUP BY id)"
+    )
+
+
+@register(sql.query("SELECT id, round(t1, 8) AS t1, round(t2, 8) AS t2, round(joint / (alone + 1e-12::DOUBLE) * 2 * t1 * t2 / (t1 + t2 + 1e-12::DOUBLE), 8) AS t3 FROM tt JOIN jn USING (id)", _TWO + ", " + _scores_sql()))
+def population_scores(x: Layers) -> DataFrame:
+    """Influence of both sides of every candidate and their synergy, all candidates in one join a layer."""
+    rows = generations.scores(_pop(x), graph.symmetric(x.l1), graph.symmetric(x.l2))
+    return rows.select("id", *[F.round(t, 8).alias(t) for t in ("t1", "t2", "t3")])
+
+
+def _guide(x: Layers) -> tuple[generations.Guide, DataFrame]:
+    """Weights of both layers, counterparts and neighbours by the embeddings, and the best aligned pairs."""
+    a, b = (s.select("idx", "z") for s in _vectors(x))
+    weights = tuple(centrality.alpha(x.nodes, graph.symmetric(e)) for e in (x.l1, x.l2))
+    guide = generations.Guide(weights, (similarity.translation(a, b), similarity.translation(b, a)), tuple(similarity.knn(s, 5).select("a", "b") for s in (a, b)))
+    return guide, blocks.best_pairs(a, b, 150)
+
+
+@register()
+def guided_search(x: Layers) -> DataFrame:
+    """Three generations of a hundred candidates with fifteen seeds a side; tests hold each step against a plain twin."""
+    guide, pairs = _guide(x)
+    one, two = graph.symmetric(x.l1), graph.symmetric(x.l2)
+    begin = generations.start(guide, 100, (15, 15), pairs, 30)
+    history, _ = generations.search(guide, lambda pop: generations.scores(pop, one, two), begin, 100, (15, 15), 3)
+    return history
+
+
+FEATURES = [
+    features.Feature("clustering", graph.clustering),
+    features.Feature("h_index", lambda nodes, edges: centrality.h_index(nodes, graph.symmetric(edges))),
+    features.Feature("around", lambda nodes, edges: centrality.average_neighbour_degree(nodes, graph.symmetric(edges))),
+]
+
+_KEPT = (
+    "nw AS (SELECT g, l, u, v FROM l2, (SELECT unnest(['a', 'b', 'c']) AS g, unnest([2, 2, 4]) AS l) UNION ALL SELECT g, l, u, v FROM l1, (SELECT unnest(['b', 'b', 'c']) AS g, unnest([1, 3, 1]) AS l))"
+    ", aw AS (SELECT g, l, u AS src, v AS dst FROM nw UNION ALL SELECT g, l, v, u FROM nw)"
+    ", dw AS (SELECT g, l, src AS node, count(*) AS deg FROM aw GROUP BY ALL)"
+    ", nb AS (SELECT a.g, a.l, a.src AS node, d.deg, row_number() OVER (PARTITION BY a.g, a.l, a.src ORDER BY d.deg DESC) AS rn FROM aw a JOIN dw d ON d.g = a.g AND d.l = a.l AND d.node = a.dst)"
+    ", hw AS (SELECT g, l, node, max(CASE WHEN deg >= rn THEN rn ELSE 0 END) AS h, avg(deg) AS around FROM nb GROUP BY ALL)"
+    ", tw AS (SELECT a.g, a.l, a.src AS node, count(*) AS t FROM aw a JOIN aw b ON b.g = a.g AND b.l = a.l AND b.src = a.dst JOIN aw c ON c.g = a.g AND c.l = a.l AND c.src = b.dst AND c.dst = a.src GROUP BY ALL)"
+)
+
+
+@register(
+    sql.query(
+        "SELECT g AS graph, l::BIGINT AS layer, node, deg, round(CASE WHEN deg < 2 THEN 0 ELSE coalesce(t, 0) / (deg * (deg - 1))::DOUBLE END, 6) AS cc, h AS h_index, round(around, 6) AS around FROM dw JOIN hw USING (g, l, node) LEFT JOIN tw USING (g, l, node)",
+        _KEPT,
+    )
+)
+def kept_features(x: Layers) -> DataFrame:
+    """Features of six layers made in one pass each and read from their store."""
+    store = features.Store(x.spark, shared_dir(x.spark))
+    got, _ = store.get(_networks(x), FEATURES)
+    rows = got["clustering"].join(got["h_index"], ["graph", "layer", "node"]).join(got["around"], ["graph", "layer", "node"])
+    return rows.select("graph", "layer", "node", "deg", F.round("cc", 6).alias("cc"), "h_index", F.round("avg_nbr_deg", 6).alias("around"))

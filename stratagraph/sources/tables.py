@@ -1,25 +1,14 @@
-"""Parameter grids, networks in one table (graph, layer, u, v), results as JSON, and features kept between runs."""
+"""Parameter grids, networks in one table (graph, layer, u, v), and results as JSON."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Attack:
-    """Settings of an attack: how it ranks nodes, and how many it removes (a number, else a share, else all)."""
-
-    mode: str = "2hop"
-    steps: int | None = None
-    ratio: float | None = None
-
-
 def grid(spark: SparkSession, graphs: int, **choices: Iterable) -> DataFrame:
     """One row for each combination of the choices and each of ``graphs`` numbers; choices are lists of settings."""
     rows = spark.range(graphs).withColumnRenamed("id", "graph")
@@ -49,30 +38,6 @@ def results(best: DataFrame, key: str) -> DataFrame:
     return best.select(key, F.to_json(F.struct(*[c for c in best.columns if c != key])).alias("json"))
 
 
-def kept(spark: SparkSession, path: str, build: Callable[[], DataFrame], columns: list[str]) -> DataFrame:
-    """The table at ``path``; built and written there where it is missing or lacks one of the columns."""
-    try:
-        found = spark.read.parquet(path)
-        if set(columns) <= set(found.columns):
-            return found.select(*columns)
-    except AnalysisException:
-        pass
-    build().select(*columns).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def optional(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame | None]:
-    """The tables that exist, None for those that don't."""
-
-    def read(path: str) -> DataFrame | None:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            return None
-
-    return {name: read(path) for name, path in paths.items()}
-
-
 def union(layers: dict[tuple[str, int], DataFrame]) -> DataFrame:
     """(graph, layer, u, v) of edges by graph and layer."""
     return reduce(DataFrame.unionByName, [e.select(F.lit(g).alias("graph"), F.lit(k).alias("layer"), "u", "v") for (g, k), e in layers.items()])
