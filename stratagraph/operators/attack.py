@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .influence import rescaled
+from .influence import activation, rescaled, two_hop
 
 #: Candidates of a round; its square bounds what the driver holds.
 WIDTH = 256
@@ -127,8 +127,28 @@ def mean_influence(own: DataFrame, other: DataFrame, nodes: DataFrame, arcs: Dat
     return rows.agg((F.coalesce(F.sum("x"), F.lit(0.0)) / steps).alias(name))
 
 
-def robust(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame, steps: int, p: float = 0.01, weights_a: DataFrame | None = None, weights_b: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
-    """(r_a, r_b): both sides' mean influence over an attack of ``steps`` removals."""
+def robust(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame, p: float = 0.01, steps: int = 5, weights_a: DataFrame | None = None, weights_b: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
+    """(total, a, b): mean competitive influence over an attack of ``steps`` removals; each removes first and is measured then."""
     gone = stored(removals(a, b, nodes, arcs, steps, width))
-    one = mean_influence(a, b, nodes, arcs, gone, steps, p, weights_a, "r_a")
-    return one.crossJoin(mean_influence(b, a, nodes, arcs, gone, steps, p, weights_b, "r_b"))  # a row each
+    one = mean_influence(a, b, nodes, arcs, gone, steps, p, weights_a, "a")
+    both = one.crossJoin(mean_influence(b, a, nodes, arcs, gone, steps, p, weights_b, "b"))  # a row each
+    return both.select((F.col("a") + F.col("b")).alias("total"), "a", "b")
+
+
+def synergy(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs1: DataFrame, arcs2: DataFrame, p: float = 0.01, steps: int = 5, weights1: DataFrame | None = None, weights2: DataFrame | None = None) -> DataFrame:
+    """(r1, r2, r_cr): robustness of side a on layer 1 and of side b on layer 2, and their joint score.
+
+    Joint probability over both sides' single influences, times twice the
+    harmonic mean of the robust scores.
+    """
+    tiny = 1e-12
+    r1 = robust(a, b, nodes, arcs1, p, steps, weights_a=weights1).select(F.col("a").alias("r1"))
+    r2 = robust(b, a, nodes, arcs2, p, steps, weights_a=weights2).select(F.col("a").alias("r2"))
+    p1 = activation(a, nodes, arcs1, p).withColumnRenamed("prob", "p1")
+    p2 = activation(b, nodes, arcs2, p).withColumnRenamed("prob", "p2")
+    joint = p1.join(p2, "node").agg(F.sum(1.0 - (1.0 - F.col("p1")) * (1.0 - F.col("p2"))).alias("joint"))
+    s1 = two_hop(a, nodes, arcs1, p).withColumnRenamed("influence", "s1")
+    s2 = two_hop(b, nodes, arcs2, p).withColumnRenamed("influence", "s2")
+    ratio = F.col("joint") / (F.col("s1") + F.col("s2") + tiny)
+    mean = 2.0 * F.col("r1") * F.col("r2") / (F.col("r1") + F.col("r2") + tiny)
+    return joint.crossJoin(s1).crossJoin(s2).crossJoin(r1).crossJoin(r2).select("r1", "r2", (ratio * mean).alias("r_cr"))

@@ -143,7 +143,7 @@ def layer_csr(arcs: DataFrame, n: int) -> Csr:
     """A layer for the tasks' memory; its number of arcs is checked first."""
     m = arcs.count()
     if m > MAX_ARCS:
-        raise ValueError(f"{m} arcs; a layer of more than {MAX_ARCS} isn't sent to tasks, use influence.robust")
+        raise ValueError(f"{m} arcs; a layer of more than {MAX_ARCS} isn't sent to tasks, use attack.robust")
     rows = arcs.toPandas()
     return Csr(n, rows["src"].to_numpy(), rows["dst"].to_numpy())
 

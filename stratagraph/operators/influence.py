@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import uniform
-from ..session import ship, stored
+from ..session import stored
 from . import graph
-from .kernel import Csr
-from .kernel import robust as kernel_robust
 
-#: Arcs of a layer up to which it is sent to a task whole (16 bytes an arc).
+#: Arcs of a layer up to which some operators send it to a task whole (16 bytes an arc).
 MAX_ARCS = 20_000_000
 
 
@@ -150,7 +144,7 @@ def attacked(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame, step
     """(step, node): who is removed at each of the first steps; the best score, the smallest id among equals.
 
     One short job a step (the chosen node is a scalar of the loop); meant for
-    few steps.  ``robust`` runs whole attacks in one pass.
+    few steps.  ``attack.removals`` takes rounds of many steps.
     """
     spark = nodes.sparkSession
     gone: list[int] = []
@@ -163,35 +157,8 @@ def attacked(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame, step
     return spark.createDataFrame([(i + 1, g) for i, g in enumerate(gone)], "step int, node bigint")
 
 
-def robust(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame, p: float = 0.01, steps: int = 5, weights_a: DataFrame | None = None, weights_b: DataFrame | None = None) -> DataFrame:
-    """(total, a, b): mean competitive influence over ``steps`` two-hop attacks; each removes first and is measured then.
-
-    The steps depend on each other, so a whole attack runs in one task over
-    the layer in memory; the layer's number of arcs is checked, and larger
-    ones take ``robust_plan``.
-    """
-    if arcs.count() > MAX_ARCS:
-        return robust_plan(a, b, nodes, arcs, p, steps, weights_a, weights_b)
-    spark = nodes.sparkSession
-    ship(spark)
-    ids = np.sort(nodes.toPandas()["node"].to_numpy())
-    pairs = arcs.toPandas()
-    layer = Csr(len(ids), np.searchsorted(ids, pairs["src"].to_numpy()), np.searchsorted(ids, pairs["dst"].to_numpy()))
-    lists = [np.searchsorted(ids, [r["node"] for r in s.select("node").collect()]).tolist() for s in (a, b)]
-    weights = [None if w is None else nodes.join(w, "node").orderBy("node").toPandas()["w"].to_numpy() for w in (weights_a, weights_b)]
-    held = spark.sparkContext.broadcast((layer, *lists, *weights))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _ in parts:
-            g, x, y, wx, wy = held.value
-            ra, rb = kernel_robust(g, x, y, p, steps, wx, wy)
-            yield pd.DataFrame({"total": [ra + rb], "a": [ra], "b": [rb]})
-
-    return spark.range(0, 1, 1, 1).mapInPandas(run, "total double, a double, b double")
-
-
 def robust_plan(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame, p: float, steps: int, weights_a: DataFrame | None = None, weights_b: DataFrame | None = None) -> DataFrame:
-    """``robust`` as plans over the layer as a table, some jobs a step."""
+    """(total, a, b) of ``attack.robust``, step by step: some jobs a step, the plain form that it is held against."""
     path = attacked(a, b, nodes, arcs, steps).orderBy("step").collect()
     spark = nodes.sparkSession
     out = None
@@ -202,22 +169,3 @@ def robust_plan(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame, p
     if out is None:
         return spark.createDataFrame([(0.0, 0.0, 0.0)], "total double, a double, b double")
     return out.agg(*[F.avg(c).alias(c) for c in ("total", "a", "b")])
-
-
-def synergy(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs1: DataFrame, arcs2: DataFrame, p: float = 0.01, steps: int = 5, weights1: DataFrame | None = None, weights2: DataFrame | None = None) -> DataFrame:
-    """(r1, r2, r_cr): robustness of side a on layer 1 and of side b on layer 2, and their joint score.
-
-    Joint probability over both sides' single influences, times twice the
-    harmonic mean of the robust scores.
-    """
-    tiny = 1e-12
-    r1 = robust(a, b, nodes, arcs1, p, steps, weights_a=weights1).select(F.col("a").alias("r1"))
-    r2 = robust(b, a, nodes, arcs2, p, steps, weights_a=weights2).select(F.col("a").alias("r2"))
-    p1 = activation(a, nodes, arcs1, p).withColumnRenamed("prob", "p1")
-    p2 = activation(b, nodes, arcs2, p).withColumnRenamed("prob", "p2")
-    joint = p1.join(p2, "node").agg(F.sum(1.0 - (1.0 - F.col("p1")) * (1.0 - F.col("p2"))).alias("joint"))
-    s1 = two_hop(a, nodes, arcs1, p).withColumnRenamed("influence", "s1")
-    s2 = two_hop(b, nodes, arcs2, p).withColumnRenamed("influence", "s2")
-    ratio = F.col("joint") / (F.col("s1") + F.col("s2") + tiny)
-    mean = 2.0 * F.col("r1") * F.col("r2") / (F.col("r1") + F.col("r2") + tiny)
-    return joint.crossJoin(s1).crossJoin(s2).crossJoin(r1).crossJoin(r2).select("r1", "r2", (ratio * mean).alias("r_cr"))

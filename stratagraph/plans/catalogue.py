@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import r6
-from ..operators import blocks, centrality, evolve, graph, influence, losses, ranking, search, similarity, spectral, walks
+from ..operators import attack, blocks, centrality, evolve, graph, influence, losses, ranking, search, similarity, spectral, walks
 from ..sources import edgelist, generators
 from ..sources.layers import Layers
 from . import sql
@@ -339,13 +339,13 @@ def attack_trajectory_k5(x: Layers) -> DataFrame:
 
 @register(sql.query(f"SELECT round({sql.robust('star_a', 'star_b', 'ones', 3)}, 6) AS a, round({sql.robust('star_b', 'star_a', 'ones', 3)}, 6) AS b", sql.attacks("star_a", "star_b", "e1", 3)))
 def r_cs_k3(x: Layers) -> DataFrame:
-    return _r6(influence.robust(*x.stars(), x.nodes, _arcs(x).cache(), steps=3).select("a", "b"), "a", "b")
+    return _r6(attack.robust(*x.stars(), x.nodes, _arcs(x).cache(), steps=3).select("a", "b"), "a", "b")
 
 
 @register(sql.query(f"SELECT round({sql.robust('star_a', 'star_b', 'mean1', 3)}, 6) AS a", sql.attacks("star_a", "star_b", "e1", 3)))
 def r_cs_attn_k3(x: Layers) -> DataFrame:
     a = _arcs(x).cache()
-    return _r6(influence.robust(*x.stars(), x.nodes, a, steps=3, weights_a=centrality.alpha(x.nodes, a)).select("a"), "a")
+    return _r6(attack.robust(*x.stars(), x.nodes, a, steps=3, weights_a=centrality.alpha(x.nodes, a)).select("a"), "a")
 
 
 _RCR = sql.attacks("star_a", "star_b", "e1", 2) + ", " + sql.attacks("star_b", "star_a", "e2", 2, "z") + (
@@ -359,7 +359,7 @@ _RCR = sql.attacks("star_a", "star_b", "e1", 2) + ", " + sql.attacks("star_b", "
 @register(sql.query("SELECT round(r1, 6) AS r1, round(r2, 6) AS r2, round((SELECT sum(1 - (1 - p1) * (1 - p2)) FROM jp) / (s1 + s2 + 1e-12) * 2 * r1 * r2 / (r1 + r2 + 1e-12), 6) AS r_cr FROM rr", _RCR))
 def r_cr_k2(x: Layers) -> DataFrame:
     a, b = x.stars()
-    rows = influence.synergy(a, b, x.nodes, _arcs(x).cache(), graph.symmetric(x.l2).cache(), steps=2)
+    rows = attack.synergy(a, b, x.nodes, _arcs(x).cache(), graph.symmetric(x.l2).cache(), steps=2)
     return _r6(rows, "r1", "r2", "r_cr")
 
 

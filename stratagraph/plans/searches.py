@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import softmax
-from ..operators import alias, blocks, celf, centrality, generations, graph, influence, krylov, losses, search, similarity, swaps, walks
-from ..session import shared_dir
+from ..operators import alias, attack, blocks, celf, centrality, generations, graph, influence, krylov, losses, search, similarity, swaps, walks
+from ..session import shared_dir, stored
 from ..sources import features
 from ..sources.layers import Layers
 from . import sql
@@ -225,3 +225,35 @@ def kept_features(x: Layers) -> DataFrame:
     got, _ = store.get(_networks(x), FEATURES)
     rows = got["clustering"].join(got["h_index"], ["graph", "layer", "node"]).join(got["around"], ["graph", "layer", "node"])
     return rows.select("graph", "layer", "node", "deg", F.round("cc", 6).alias("cc"), "h_index", F.round("avg_nbr_deg", 6).alias("around"))
+
+
+@register()
+def attack_trajectory_ratio(x: Layers) -> DataFrame:
+    """A tenth of all nodes removed in turn; tests hold the order against one removal at a time."""
+    return attack.removals(*x.stars(), x.nodes, _l1(x), influence.steps_of(x.nodes.count(), ratio=0.1))
+
+
+@register()
+def r_cs_ratio(x: Layers) -> DataFrame:
+    """Robustness of both sides while a tenth of all nodes goes, plain and weighted; tests hold it against the kernel's loop."""
+    arcs, steps = _l1(x), influence.steps_of(x.nodes.count(), ratio=0.1)
+    a, b = x.stars()
+    gone = stored(attack.removals(a, b, x.nodes, arcs, steps))
+    weights = centrality.alpha(x.nodes, arcs)
+    sides = [attack.mean_influence(p, q, x.nodes, arcs, gone, steps, weights=w, name=n) for p, q, w, n in ((a, b, None, "a"), (b, a, None, "b"), (a, b, weights, "a_weighted"), (b, a, weights, "b_weighted"))]
+    rows = sides[0]
+    for more in sides[1:]:
+        rows = rows.crossJoin(more)  # a row each
+    return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])
+
+
+@register()
+def r_cr_ratio(x: Layers) -> DataFrame:
+    """Joint robustness of both layers while a tenth of all nodes goes from each."""
+    a, b = x.stars()
+    rows = attack.synergy(a, b, x.nodes, _l1(x), stored(graph.symmetric(x.l2)), steps=influence.steps_of(x.nodes.count(), ratio=0.1))
+    return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])
+
+
+def _l1(x: Layers) -> DataFrame:
+    return stored(graph.symmetric(x.l1))

@@ -52,7 +52,7 @@ def test_mean_influence(spark, weighted):
     rng = np.random.default_rng(1)
     w = [rng.random(N) + 0.1 for _ in range(2)] if weighted else [None, None]
     frames = [None if x is None else spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "node bigint, w double") for x in w]
-    got = attack.robust(seeds(a), seeds(b), nodes, arcs, steps, 0.2, *frames, width=4).collect()[0]
+    got = attack.robust(seeds(a), seeds(b), nodes, arcs, 0.2, steps, *frames, width=4).select("a", "b").collect()[0]
     g = kernel.Csr(N, *(np.array([x for e in edges for x in (e[i], e[1 - i])]) for i in (0, 1)))
     assert tuple(got) == pytest.approx(kernel.robust(g, a, b, 0.2, steps, *w), abs=1e-9)
 
@@ -61,5 +61,5 @@ def test_nothing_to_attack(spark):
     nodes, none = spark.range(3).withColumnRenamed("id", "node"), spark.createDataFrame([], "src bigint, dst bigint")
     seeds = spark.createDataFrame([(1,)], "node bigint")
     assert [tuple(r) for r in attack.removals(seeds, seeds, nodes, none, 3).collect()] == [(1, 0)]
-    assert tuple(attack.robust(seeds, seeds.limit(0), nodes, none, 0).collect()[0]) == (0.0, 0.0)
+    assert tuple(attack.robust(seeds, seeds.limit(0), nodes, none, steps=0).collect()[0]) == (0.0, 0.0, 0.0)
     assert attack.removals(seeds, seeds, nodes.limit(0), none, 3).count() == 0

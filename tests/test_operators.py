@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from stratagraph.operators import centrality, evolve, graph, influence, ranking, search
+from stratagraph.operators import attack, centrality, evolve, graph, influence, ranking, search
 from stratagraph.operators.kernel import Csr, robust
 from stratagraph.sources import edgelist
 
@@ -78,7 +78,7 @@ def test_competition_and_attacks_match_twins(spark):
     src = np.array([x for x, y in pairs] + [y for x, y in pairs])
     dst = np.array([y for x, y in pairs] + [x for x, y in pairs])
     mean = influence.robust_plan(seeds(spark, a), seeds(spark, b), nodes(spark, n), arcs, 0.1, 3).collect()[0]
-    one = influence.robust(seeds(spark, a), seeds(spark, b), nodes(spark, n), arcs, 0.1, steps=3).collect()[0]
+    one = attack.robust(seeds(spark, a), seeds(spark, b), nodes(spark, n), arcs, 0.1, steps=3).collect()[0]
     assert tuple(one) == pytest.approx(tuple(mean))
     got = robust(Csr(n, src, dst), a, b, 0.1, 3)
     assert got == pytest.approx((mean["a"], mean["b"]))
