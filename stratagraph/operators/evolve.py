@@ -78,9 +78,13 @@ def mutate(df: DataFrame, weights: DataFrame, rate: float, purpose: str) -> Data
     genes = df.select("id", F.posexplode("genes").alias("pos", "node"))
     hit = genes.filter(uniform(f"{purpose}:hit", F.col("id"), F.col("pos")) < rate).select("id", "pos")
     ladder = ranking.running(weights.select("node", "w"), [F.asc("node")], hi=F.col("w"))
-    size = weights.agg(F.sum("w").alias("all"))
-    drawn = hit.crossJoin(size).withColumn("x", uniform(f"{purpose}:node", F.col("id"), F.col("pos")) * F.col("all"))
-    new = drawn.join(ladder, (F.col("x") >= F.col("hi") - F.col("w")) & (F.col("x") < F.col("hi"))).select("id", "pos", F.col("node").alias("new"))
+    size = F.broadcast(weights.agg(F.sum("w").alias("all"), F.count("*").alias("n")))  # one row
+    # as many cells as nodes: a draw looks at the rungs of its cell only, a rung stands in each cell that it reaches
+    cell = lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / F.col("all"))) * F.col("n"))
+    drawn = hit.crossJoin(size).withColumn("x", uniform(f"{purpose}:node", F.col("id"), F.col("pos")) * F.col("all")).withColumn("cell", cell(F.col("x")))
+    rungs = ladder.crossJoin(size).select("node", "w", "hi", F.explode(F.sequence(cell(F.col("hi") - F.col("w")), cell(F.col("hi")))).alias("cell"))
+    met = drawn.join(rungs, "cell").filter((F.col("x") >= F.col("hi") - F.col("w")) & (F.col("x") < F.col("hi")))
+    new = met.groupBy("id", "pos").agg(F.min("node").alias("new"))
     new = new.join(genes.select("id", F.col("node").alias("new")), ["id", "new"], "left_anti")
     new = new.groupBy("id", "new").agg(F.min("pos").alias("pos"))
     out = genes.join(new, ["id", "pos"], "left").select("id", "pos", F.coalesce("new", "node").alias("node"))

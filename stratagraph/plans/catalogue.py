@@ -648,23 +648,42 @@ def crossover_single_point(x: Layers) -> DataFrame:
     return kids.select("pair_id", F.array_join("c1", ",").alias("raw1"), F.array_join("c2", ",").alias("raw2"))
 
 
-@register()
+_ROUNDS = (
+    "tn AS (SELECT id, fitness, row_number() OVER (ORDER BY id) - 1 AS slot FROM sk), dr AS (SELECT round, n, floor(" + sql.uniform("'t'", "'0'", "round") + " * n)::BIGINT AS one, floor(" + sql.uniform("'t'", "'1'", "round") + " * greatest(n - 1, 1))::BIGINT AS more FROM range(0, 20) r(round), (SELECT count(*) AS n FROM sk))"
+)
+
+
+@register(sql.query("SELECT round, CASE WHEN b.fitness > a.fitness THEN b.id ELSE a.id END AS id FROM dr JOIN tn a ON a.slot = one JOIN tn b ON b.slot = (one + 1 + more) % n", _POP + ", " + _ROUNDS))
 def tournament(x: Layers) -> DataFrame:
     return evolve.tournament(_candidates(x), 20, "t")
 
 
-@register()
+_GENES = _sample_sql("alpha1", "x", 8, 5, "sm") + ", ge AS (SELECT id, unnest(range(0, 5)) AS pos, unnest(seeds) AS node FROM sm)"
+_INJECTED = (
+    _GENES + ", " + _sample_sql("alpha1", "y", 8, 5, "sm2") + ", dn AS (SELECT id, unnest(range(0, 5)) AS pos, unnest(seeds) AS node FROM sm2)"
+    ", bd AS (SELECT d.id, d.node FROM dn d JOIN alpha1 a USING (node) QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY a.w DESC, d.pos) <= 2)"
+    ", ow AS (SELECT g.id, g.node FROM ge g JOIN alpha1 a USING (node) WHERE NOT EXISTS (SELECT 1 FROM bd b WHERE b.id = g.id AND b.node = g.node) QUALIFY row_number() OVER (PARTITION BY g.id ORDER BY a.w DESC, g.pos) <= 3)"
+)
+
+
+@register(sql.query("SELECT id, string_agg(node, ',' ORDER BY node) AS seeds FROM (SELECT * FROM bd UNION ALL SELECT * FROM ow) GROUP BY id", _INJECTED))
 def gene_injection(x: Layers) -> DataFrame:
     w = centrality.alpha(x.nodes, _arcs(x))
     a = evolve.sample(x.spark, 8, w, 5, "x").withColumnRenamed("seeds", "genes")
     b = evolve.sample(x.spark, 8, w, 5, "y").withColumnRenamed("seeds", "donors")
-    return evolve.inject(a.join(b, "id"), w, 2)
+    return _joined(evolve.inject(a.join(b, "id"), w, 2))
 
 
-@register()
+_MUTATED = (
+    _GENES + ", ld AS (SELECT node, w, sum(w) OVER (ORDER BY node ROWS UNBOUNDED PRECEDING) AS hi FROM alpha1), ht AS (SELECT *, " + sql.uniform("'m:node'", "id", "pos") + " * (SELECT sum(w) FROM alpha1) AS x FROM ge WHERE " + sql.uniform("'m:hit'", "id", "pos") + " < 0.3::DOUBLE)"
+    ", nw AS (SELECT h.id, l.node AS new, min(h.pos) AS pos FROM ht h JOIN ld l ON h.x >= l.hi - l.w AND h.x < l.hi WHERE NOT EXISTS (SELECT 1 FROM ge g WHERE g.id = h.id AND g.node = l.node) GROUP BY ALL)"
+)
+
+
+@register(sql.query("SELECT g.id, string_agg(coalesce(n.new, g.node), ',' ORDER BY g.pos) AS seeds FROM ge g LEFT JOIN nw n ON n.id = g.id AND n.pos = g.pos GROUP BY g.id", _MUTATED))
 def mutation(x: Layers) -> DataFrame:
     w = centrality.alpha(x.nodes, _arcs(x))
-    return evolve.mutate(evolve.sample(x.spark, 8, w, 5, "x").withColumnRenamed("seeds", "genes"), w, 0.3, "m")
+    return _joined(evolve.mutate(evolve.sample(x.spark, 8, w, 5, "x").withColumnRenamed("seeds", "genes"), w, 0.3, "m"))
 
 
 _GAIN = "zn AS (SELECT src, dst FROM h2 UNION ALL SELECT node, node FROM nodes), zo AS (SELECT DISTINCT dst FROM zn WHERE src IN (SELECT node FROM star_b)), zm AS (SELECT DISTINCT dst FROM zn WHERE src IN (SELECT node FROM star_a)), gn AS (SELECT z.src AS node, max(p.potential) * max(a.w) * (1 - 0.5::DOUBLE * count(o.dst) / count(*) - 0.3::DOUBLE * count(m.dst) / count(*)) AS gain FROM zn z LEFT JOIN zo o ON o.dst = z.dst LEFT JOIN zm m ON m.dst = z.dst JOIN pot1 p ON p.node = z.src JOIN alpha1 a ON a.node = z.src WHERE z.src NOT IN (SELECT node FROM star_a) GROUP BY z.src)"
