@@ -172,11 +172,10 @@ def _scores_sql(p: str = "0.01::DOUBLE") -> str:
     )
 
 
-@register(sql.query("SELECT id, round(t1, 8) AS t1, round(t2, 8) AS t2, round(joint / (alone + 1e-12::DOUBLE) * 2 * t1 * t2 / (t1 + t2 + 1e-12::DOUBLE), 8) AS t3 FROM tt JOIN jn USING (id)", _TWO + ", " + _scores_sql()))
+@register(sql.query("SELECT id, round(t1, 9) AS t1, round(t2, 9) AS t2, round(joint / (alone + 1e-12::DOUBLE) * 2 * t1 * t2 / (t1 + t2 + 1e-12::DOUBLE), 9) AS t3 FROM tt JOIN jn USING (id)", _TWO + ", " + _scores_sql()))
 def population_scores(x: Layers) -> DataFrame:
     """Influence of both sides of every candidate and their synergy, all candidates in one join a layer."""
-    rows = generations.scores(_pop(x), graph.symmetric(x.l1), graph.symmetric(x.l2))
-    return rows.select("id", *[F.round(t, 8).alias(t) for t in ("t1", "t2", "t3")])
+    return generations.scores(_pop(x), graph.symmetric(x.l1), graph.symmetric(x.l2)).select("id", "t1", "t2", "t3")
 
 
 def _guide(x: Layers) -> tuple[generations.Guide, DataFrame]:
