@@ -3,8 +3,11 @@
 Tokens are words in lower case (A-Z only) and one end for each text.  Word
 counts cover all training documents; words meet by a 64-bit hash, their length and their first
 eight bytes.  Listed
-words are the most frequent ones, at most HEAD (a bound on what is broadcast);
-all others are one last class and are drawn from it by their smoothed counts.
+words are the most frequent ones seen twice or more, at most HEAD (a bound on
+what is broadcast); all others are one last class and are drawn from it by
+their discounted counts.  What discounting takes off goes to the unknown word,
+which is one outcome here as in the base: words seen once teach the classes
+where unknown words stand.
 
 The model factors a token into its class (words by rank of frequency, classes
 of about equal mass) and the word in its class.  Both are soft-maxes over
@@ -16,7 +19,9 @@ hashed features of the two words before:
 Words beyond the listed ones are features all the same, by a hash of 30 bits,
 and words of equal hash share their features' weights.  Weights start from
 discounted counts and are moved by PASSES gradient updates, each over all
-training tokens.  Normalisation is exact: outside of the n-grams that
+training tokens, and a share of 1 - BLEND of each probability is the words' own
+frequency: counts of copied texts make contexts look surer than they are.
+Normalisation is exact: outside of the n-grams that
 were seen after a context the prior holds, so sums run over what was seen.
 
 Gradients are distributed by context: contexts are dealt to shards by the
@@ -64,7 +69,9 @@ DAMPING = 0.5
 #: What discounting takes off a count at least.
 LEAST_DISCOUNT = 0.1
 #: Training tokens that the prior of a class counts for beside a word's own followers.
-PRIOR = 2.0
+PRIOR = 40.0
+#: Share of the features' model in a probability; the rest is the words' own frequencies.
+BLEND = 0.7
 
 _END = (0x1F83D9ABFB41BD6B, 0x2545F4914F6CDD1D)
 _BEGIN = (1 << 31) - 1
@@ -105,12 +112,14 @@ class Slots:
 class Vocabulary:
     """Counts of the listed words by rank, their classes and priors, and how contexts are dealt to shards."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, shards: int, tokens: int):
-        self.total, self.distinct, self.shards = total, distinct, shards
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, shards: int, tokens: int, discount: float = 0.5):
+        self.total, self.distinct, self.shards, self.discount = total, distinct, shards, discount
         order = np.lexsort((hashes, -counts))
         self.slots, self.counts = Slots(hashes[order]), counts[order]
         self.listed = len(counts)
-        self.rest = float(total - int(counts.sum()) + distinct - self.listed + 1)
+        # the last class: what discounting takes off its words goes to the one unknown word
+        self.rest = float(total - int(counts.sum()) + 1)
+        self.unknown = discount * (distinct - self.listed) + 1.0
         mass = np.cumsum(self.counts) - self.counts / 2
         cls = np.minimum(mass * CLASSES / max(1, self.counts.sum()), CLASSES - 1).astype(np.int64)
         self.cls = np.concatenate([cls, [CLASSES]])
@@ -122,6 +131,10 @@ class Vocabulary:
         parts = np.ceil(4.0 * self.counts * max(1.0, tokens / max(1, total)) / SHARD)
         self.parts = np.clip(parts, 1, shards).astype(np.int64)
 
+    def rare(self, times: np.ndarray) -> np.ndarray:
+        """log10 P(word | last class) of words seen so often, the unknown word at 0."""
+        return np.log10(np.where(times > 0, times - self.discount, self.unknown) / self.rest)
+
     def shard(self, before: np.ndarray, skipped: np.ndarray) -> np.ndarray:
         parts = np.ones(len(before), np.int64)
         known = before < self.listed
@@ -203,7 +216,10 @@ class Tokens:
 
 def _discount(n: np.ndarray) -> float:
     """What absolute discounting takes off a count, from the numbers of features seen once and twice."""
-    once, twice = int((n == 1).sum()), int((n == 2).sum())
+    return _taken(int((n == 1).sum()), int((n == 2).sum()))
+
+
+def _taken(once: int, twice: int) -> float:
     return min(0.95, max(LEAST_DISCOUNT, once / max(1, once + 2 * twice)))
 
 
@@ -246,7 +262,8 @@ class Shard:
         self.before, self.skipped = both >> np.int64(32), both & np.int64(0xFFFFFFFF)
         self.word = _spread(_runs(self.before), len(both))
         self.cls = v.cls[self.o]
-        self.log = self._classes() + self._words()
+        own = np.log(v.class_prior)[self.cls] + np.log(np.append(v.prior, 1.0))[self.o]
+        self.log = np.logaddexp(self._classes() + self._words() + np.log(BLEND), own + np.log1p(-BLEND))
 
     def _classes(self) -> np.ndarray:
         """log P(class | context) of each event."""
@@ -375,13 +392,14 @@ def _vocabulary(counts: DataFrame, learned_share: float) -> tuple[Vocabulary, Da
     distinct, total = (sum(x[i] for x in sizes.values()) for i in (0, 1))
     cut, held = max(sizes, default=0) + 1, 0
     for b in sorted(sizes, reverse=True):  # whole bins, so that the listed words don't depend on ties
-        if held + sizes[b][0] > HEAD:
+        # words seen once stand for those not seen yet
+        if b == 0 or held + sizes[b][0] > HEAD:
             break
         cut, held = b, held + sizes[b][0]
     head = binned.filter(F.col("bin") >= cut).select("h", "n").toArrow()
     tokens = int(total / max(learned_share, 0.05))
     shards = max(1, -(-tokens // SHARD))
-    v = Vocabulary(head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy(), total, distinct, shards, tokens)
+    v = Vocabulary(head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy(), total, distinct, shards, tokens, _taken(*(sizes.get(b, (0, 0))[0] for b in (0, _BINS))))
     return v, binned.filter(F.col("bin") < cut).select(F.pmod("h2", F.lit(shards)).alias("key"), "h", "h2", "n")
 
 
@@ -508,7 +526,7 @@ def _added(sent: pa.Table, answers: pa.Table, v: Vocabulary) -> pa.Table:
     row, index = _listed(far_data, n, s2)
     times = counts[index]
     extra = np.bincount(row, np.log10(times + 1.0), n)
-    score += extra - np.bincount(row, minlength=n) * np.log10(v.rest)
+    score += np.bincount(row, v.rare(times), n)
     known = known + np.bincount(row, times > 0, n).astype(np.int64)
     docs = sent.column("docs").combine_chunks().flatten()
     return pa.table([docs, pa.array(tokens), pa.array(known), pa.array(weight + extra), pa.array(score)], names=["doc_id", "n", "known", "weight", "logs"])
