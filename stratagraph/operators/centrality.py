@@ -231,19 +231,6 @@ def whole_closeness(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     return nodes.select(F.col("node").cast("bigint").alias("node")).repartition(parts, "node").mapInArrow(run, "node bigint, closeness double, harmonic double")
 
 
-def walk_probabilities(nodes: DataFrame, arcs: DataFrame, k: int = 3) -> DataFrame:
-    """(src, dst, p1..pk): probabilities of a random walk to be at dst after 1..k steps, for the pairs with an arc."""
-    deg = graph.degree(nodes, arcs)
-    step = arcs.join(deg.withColumnRenamed("node", "src"), "src").select("src", "dst", (1.0 / F.col("deg")).alias("p"))
-    out = step.withColumnRenamed("p", "p1")
-    power = step
-    for i in range(2, k + 1):
-        nxt = power.select("src", F.col("dst").alias("mid"), F.col("p").alias("a")).join(step.select(F.col("src").alias("mid"), "dst", F.col("p").alias("b")), "mid")
-        power = nxt.groupBy("src", "dst").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
-        out = out.join(power.withColumnRenamed("p", f"p{i}"), ["src", "dst"], "left").fillna(0.0, [f"p{i}"])
-    return out
-
-
 def normalized_laplacian(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """(row, col, value) of I - D^-1/2 A D^-1/2, non-zero entries; isolated nodes keep a unit diagonal."""
     deg = graph.degree(nodes, arcs)

@@ -7,21 +7,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cosine, dot
-from ..session import stored
+from ..functions import cosine, dot, uniform
+from ..session import ship, stored
 from . import blocks
 from .ranking import equal_bins, ordinal
 
 SIGMAS = (1.0, 2.0, 4.0, 8.0, 16.0)
 
 
+def _kernels(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Mean over the widths of the kernel of every two rows."""
+    d2 = np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2.0 * p @ q.T, 0.0)
+    return sum(np.exp(-d2 / (2 * s * s)) for s in SIGMAS) / len(SIGMAS)
+
+
 def _kernel_mean(a: DataFrame, wa: DataFrame, b: DataFrame, wb: DataFrame, name: str) -> DataFrame:
     """Weighted mean kernel over all pairs: one number a pair of blocks leaves its task."""
 
     def reduce(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         p, q = (np.stack(f["z"].to_numpy()) for f in (x, y))
-        d2 = np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2.0 * p @ q.T, 0.0)
-        k = sum(np.exp(-d2 / (2 * s * s)) for s in SIGMAS) / len(SIGMAS)
+        k = _kernels(p, q)
         return pd.DataFrame({"part": [float(x["w"].to_numpy(float) @ k @ y["w"].to_numpy(float))]})
 
     side = lambda z, w: z.join(w, "idx").select("idx", F.col("z").cast("array<double>").alias("z"), F.col("w").cast("double").alias("w"))
@@ -34,6 +39,70 @@ def weighted_discrepancy(a: DataFrame, wa: DataFrame, b: DataFrame, wb: DataFram
     return rows.select((F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("ammd"))
 
 
+def _graph_shares(side: DataFrame, most: int, mode: str, purpose: str) -> DataFrame:
+    """(graph, idx, z, w): weights below 0 as 0, over their graph's sum (all equal where that is 0), then at most ``most`` rows a graph."""
+    if mode not in ("topk", "weighted"):
+        raise ValueError(f"unknown sample mode {mode!r}")
+    w = F.greatest(F.coalesce(F.col("w").cast("double"), F.lit(0.0)), F.lit(0.0))
+    side = side.select("graph", "idx", F.col("z").cast("array<double>").alias("z"), w.alias("w")).filter("graph is not null and z is not null")
+    total = side.groupBy("graph").agg(F.sum("w").alias("_t"), F.count("*").alias("_n"))
+    side = side.join(total, "graph").withColumn("w", F.when(F.col("_t") > 0, F.col("w") / F.col("_t")).otherwise(1.0 / F.col("_n")))
+    if most > 0:
+        key = F.col("w") if mode == "topk" else F.when(F.col("w") > 0, F.log(F.greatest(uniform(purpose, F.col("graph"), F.col("idx")), F.lit(1e-12))) / F.col("w"))
+        order = Window.partitionBy("graph").orderBy(F.desc_nulls_last(key), "idx")
+        # at most so many rows a graph leave each partition before the shuffle
+        side = side.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
+    return stored(side.select("graph", "idx", "z", "w"))
+
+
+def _graph_kernels(a: DataFrame, b: DataFrame, sign: float) -> DataFrame:
+    """(graph, part): ``sign`` times the weighted kernel sums of every graph. A large graph is many tasks, small ones share one."""
+    n, m = (s.groupBy("graph").agg(F.ceil(F.count("*") / blocks.BLOCK).alias(c)) for s, c in ((a, "_n"), (b, "_m")))
+    sizes = n.join(m, "graph")
+    shelves = F.lit(int(-(-max(a.count(), b.count()) // blocks.BLOCK) or 1))
+    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    shelf = F.pmod(F.xxhash64("graph"), shelves).alias("shelf")
+    left = a.join(sizes, "graph").withColumn("l", F.pmod(F.xxhash64("idx"), F.col("_n"))).withColumn("r", numbers("_m")).select(shelf, "l", "r", "graph", "z", "w")
+    right = b.join(sizes, "graph").withColumn("r", F.pmod(F.xxhash64("idx"), F.col("_m"))).withColumn("l", numbers("_n")).select(shelf, "l", "r", "graph", "z", "w")
+    right = right.select(*[F.col(c).alias(f"_{c}") for c in right.columns])  # both sides may be one table
+
+    def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y.columns = [c[1:] for c in y.columns]
+        met, out = dict(list(y.groupby("graph"))), []
+        for graph, rows in x.groupby("graph"):
+            if graph in met:
+                other = met[graph]
+                k = _kernels(np.stack(rows["z"].to_numpy()), np.stack(other["z"].to_numpy()))
+                out.append((graph, sign * float(rows["w"].to_numpy() @ k @ other["w"].to_numpy())))
+        return pd.DataFrame(out, columns=["graph", "part"])
+
+    kind = a.schema["graph"].dataType.simpleString()
+    keys = ("shelf", "l", "r")
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"_{c}" for c in keys])).applyInPandas(run, f"graph {kind}, part double")
+
+
+def discrepancy_of_graphs(a: DataFrame, b: DataFrame, most: int = 0, mode: str = "topk") -> DataFrame:
+    """(graph, ammd): the squared kernel distance of each graph's two sides, rows (graph, idx, z, w) of vectors of one length.
+
+    Weights below 0 and null ones count as 0 and are divided by their graph's sum;
+    a graph without any has equal ones. With ``most`` a side is cut to its heaviest
+    rows (``topk``) or to a draw by weight (``weighted``), whose weights stay as
+    they are. Graphs that lack a side are left out, as are null graphs and vectors.
+    """
+    ship(a.sparkSession)
+    a, b = _graph_shares(a, most, mode, "graphs:a"), _graph_shares(b, most, mode, "graphs:b")
+    both = a.select("graph").distinct().intersect(b.select("graph"))
+    own = [s.join(both, "graph", "left_semi") for s in (a, b)]
+    parts = [_graph_kernels(own[0], own[0], 1.0), _graph_kernels(own[1], own[1], 1.0), _graph_kernels(own[0], own[1], -2.0)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("graph").agg(F.sum("part").alias("ammd"))
+
+
+def mean_discrepancy(a: DataFrame, b: DataFrame, most: int = 0, mode: str = "topk") -> DataFrame:
+    """(ammd, graphs): mean over the graphs that have both sides, 0 without any."""
+    rows = discrepancy_of_graphs(a, b, most, mode)
+    return rows.agg(F.coalesce(F.avg("ammd"), F.lit(0.0)).alias("ammd"), F.count("*").alias("graphs"))
+
+
 def info_nce(a: DataFrame, b: DataFrame, temperature: float = 0.1) -> DataFrame:
     """(loss): symmetric contrastive loss; the positive of each id is its own on the other side.
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import r6
-from ..operators import attack, blocks, centrality, evolve, graph, influence, losses, ranking, search, similarity, spectral, walks
+from ..operators import attack, blocks, centrality, evolve, graph, influence, losses, powers, ranking, search, similarity, spectral, walks
+from ..session import stored
 from ..sources import edgelist, generators
 from ..sources.layers import Layers
 from . import sql
@@ -256,7 +257,8 @@ def closeness_harmonic(x: Layers) -> DataFrame:
     )
 )
 def rrwp_k3(x: Layers) -> DataFrame:
-    return centrality.walk_probabilities(x.nodes, _arcs(x), 3).withColumns({c: F.round(c, 9) for c in ("p1", "p2", "p3")})
+    arcs = stored(_arcs(x))
+    return powers.of_pairs(arcs, arcs, 3).withColumns({c: F.round(c, 9) for c in ("p1", "p2", "p3")})
 
 
 @register(sql.query("SELECT e.src AS row, e.dst AS col, round(-1.0::DOUBLE / sqrt(a.deg * b.deg), 6) AS value FROM e1 e JOIN d1 a ON a.node = e.src JOIN d1 b ON b.node = e.dst UNION ALL SELECT node, node, 1.0::DOUBLE FROM nodes"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import softmax
-from ..operators import alias, attack, blocks, celf, centrality, generations, graph, influence, krylov, losses, search, similarity, swaps, walks
+from ..operators import alias, attack, blocks, celf, centrality, generations, graph, influence, krylov, losses, powers, search, similarity, swaps, walks
 from ..session import shared_dir, stored
 from ..sources import features
 from ..sources.layers import Layers
@@ -256,3 +256,59 @@ def r_cr_ratio(x: Layers) -> DataFrame:
 
 def _l1(x: Layers) -> DataFrame:
     return stored(graph.symmetric(x.l1))
+
+
+def _powers_sql(k: int) -> str:
+    """CTEs st1..stk (src, dst, p): powers of the step matrix."""
+    out = ["st1 AS (SELECT e.src, e.dst, 1.0::DOUBLE / d.deg AS p FROM e1 e JOIN d1 d ON d.node = e.src)"]
+    out += [f"st{i} AS (SELECT a.src, b.dst, sum(a.p * b.p) AS p FROM st{i - 1} a JOIN st1 b ON a.dst = b.src GROUP BY ALL)" for i in range(2, k + 1)]
+    return ", ".join(out)
+
+
+#: Probabilities are sums of products of 1 / degree: many lie on a tie of the last digit, unless moved a little.
+_OFF = 1e-13
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("src", "dst", *[F.round(F.col(c) + _OFF, 9).alias(c) for c in df.columns[2:]])
+
+
+@register(sql.query("SELECT src, dst, " + ", ".join(f"round(coalesce(sum(p) FILTER (i = {i}), 0) + {_OFF}::DOUBLE, 9) AS p{i}" for i in range(1, 4)) + " FROM (" + " UNION ALL ".join(f"SELECT {i} AS i, src, dst, p FROM st{i}" for i in range(1, 4)) + ") GROUP BY src, dst", _powers_sql(3)))
+def walk_powers_k3(x: Layers) -> DataFrame:
+    """Walk probabilities of all pairs."""
+    return _rounded(powers.all_pairs(_l1(x), 3))
+
+
+@register(sql.query(f"SELECT src, dst, round(a.p + {_OFF}::DOUBLE, 9) AS p1, " + ", ".join(f"round(coalesce({t}.p, 0) + {_OFF}::DOUBLE, 9) AS p{i}" for i, t in enumerate("bcde", 2)) + " FROM st1 a " + " ".join(f"LEFT JOIN st{i} {t} USING (src, dst)" for i, t in enumerate("bcde", 2)), _powers_sql(5)))
+def rrwp_k5(x: Layers) -> DataFrame:
+    """Five steps for the pairs with an arc, from powers up to the third."""
+    arcs = _l1(x)
+    return _rounded(powers.of_pairs(arcs, arcs, 5))
+
+
+def _graphs_sql(most: int) -> str:
+    kernel = " + ".join(f"exp(-d2 / {2 * s * s}::DOUBLE)" for s in losses.SIGMAS)
+    sides = []
+    for t in "ab":
+        share = f"SELECT label AS graph, idx, z, greatest(z[1], 0) AS w, sum(greatest(z[1], 0)) OVER (PARTITION BY label) AS t, count(*) OVER (PARTITION BY label) AS n FROM emb_{t} WHERE label IS NOT NULL"
+        cut = f" QUALIFY row_number() OVER (PARTITION BY graph ORDER BY w DESC, idx) <= {most}" if most else ""
+        sides.append(f"g{t} AS (SELECT graph, idx, z, w FROM (SELECT graph, idx, z, CASE WHEN t > 0 THEN w / t ELSE 1.0::DOUBLE / n END AS w FROM ({share})){cut})")
+    pairs = [f"SELECT graph, {s}::DOUBLE * sum(u * v * ({kernel}) / 5) AS part FROM (SELECT x.graph, x.w AS u, y.w AS v, pow(list_distance(x.z, y.z), 2) AS d2 FROM g{p} x JOIN g{q} y USING (graph)) GROUP BY graph" for p, q, s in (("a", "a", 1), ("b", "b", 1), ("a", "b", -2))]
+    both = "SELECT graph FROM ga INTERSECT SELECT graph FROM gb"
+    return sql.query("SELECT round(coalesce(avg(d), 0), 6) AS ammd, count(*) AS graphs FROM (SELECT graph, sum(part) AS d FROM (" + " UNION ALL ".join(pairs) + f") WHERE graph IN ({both}) GROUP BY graph)", ", ".join(sides))
+
+
+def _graph_sides(x: Layers) -> list[DataFrame]:
+    """Vectors of both sides by label, weighted by their first component (negative ones by 0)."""
+    return [s.select(F.col("label").alias("graph"), "idx", "z", F.element_at("z", 1).alias("w")) for s in _vectors(x)]
+
+
+@register(_graphs_sql(0))
+def ammd_graphs(x: Layers) -> DataFrame:
+    return losses.mean_discrepancy(*_graph_sides(x)).withColumn("ammd", F.round("ammd", 6))
+
+
+@register(_graphs_sql(8))
+def ammd_graphs_top8(x: Layers) -> DataFrame:
+    """Each side of a graph cut to its 8 heaviest vectors: the sampling of the loss."""
+    return losses.mean_discrepancy(*_graph_sides(x), most=8).withColumn("ammd", F.round("ammd", 6))
