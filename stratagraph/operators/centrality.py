@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, stored
-from . import graph
+from . import graph, krylov
 from .influence import MAX_ARCS
 from .ranking import ordinal
 
@@ -246,6 +246,47 @@ def bundle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "node"), parts)
 
 
+#: Columns of the feature matrix, in order; the first three, six or all twelve are computed.
+COLUMNS = ("deg", "h_index", "core", "pagerank", "nip", "si", "cc", "degree_centrality", "closeness", "harmonic", "avg_nbr_deg", "eigen")
+
+
+def columns(nodes: DataFrame, edges: DataFrame, count: object = 12) -> DataFrame:
+    """(node, ``count`` numbers): the features of COLUMNS, all double, for every node.
+
+    Below 6 the first three are computed, below 12 the first six; what is asked for
+    beyond them is ``pad_1``, ``pad_2``, ... of zeros, what is computed beyond
+    ``count`` is cut. A count that is no number means 3.  Degrees and clustering are
+    written once and meet along the arcs once, for four of the columns.
+    """
+    try:
+        count = int(count)
+    except (TypeError, ValueError):
+        count = 3
+    computed = 12 if count >= 12 else 6 if count >= 6 else 3
+    names = COLUMNS[: max(0, min(count, computed))]
+    arcs = stored(graph.symmetric(edges))
+    own = stored(graph.clustering(nodes, edges))
+    near = arcs.join(own.toDF("src", "deg", "cc"), "src").join(own.toDF("dst", "nbr_deg", "nbr_cc"), "dst")
+    near = stored(near.select(F.col("src").alias("node"), "deg", "nbr_deg", "nbr_cc"))
+    each = F.sqrt(F.col("deg") * F.col("deg") + F.col("nbr_deg") * F.col("nbr_deg"))
+    sums = near.groupBy("node").agg(F.avg("nbr_deg").alias("avg_nbr_deg"), F.avg(each).alias("si"), F.sum(F.col("nbr_deg") / (F.col("nbr_cc") + 1.0)).alias("x"))
+    n = own.count()
+    rows = own.join(sums, "node", "left").withColumn("nip", F.col("deg") + 2.0 / (F.col("cc") + 1.0) * F.col("x"))
+    rows = rows.withColumn("degree_centrality", F.col("deg") / F.lit(float(max(n - 1, 1))))
+    more = {
+        "h_index": lambda: _h_of(near, "nbr_deg", "h_index"),
+        "core": lambda: core_numbers(nodes, arcs),
+        "pagerank": lambda: pagerank(nodes, arcs).select("node", F.col("rank").alias("pagerank")),
+        "closeness": lambda: whole_closeness(nodes, arcs),
+        "eigen": lambda: krylov.leading(nodes, arcs)[0].withColumnRenamed("x", "eigen"),
+    }
+    for name in names:
+        if name in more:
+            rows = rows.join(more[name](), "node", "left")
+    out = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]
+    return rows.select("node", *out, *[F.lit(0.0).alias(f"pad_{i + 1}") for i in range(count - len(names))])
+
+
 def max_normalised(features: DataFrame, columns: list[str]) -> DataFrame:
     """Columns over their maximum; a column without positive values stays."""
     top = features.agg(*[F.max(c).cast("double").alias(f"max_{c}") for c in columns])

@@ -11,7 +11,7 @@ from ..session import shared_dir, stored
 from ..sources import features
 from ..sources.layers import Layers
 from . import sql
-from .catalogue import _both, _side_weights, register
+from .catalogue import _CORES, _both, _side_weights, pagerank_sql, register
 from .catalogue import _sides as _vectors
 from .extended import _TWO, _networks, _pop
 
@@ -312,3 +312,27 @@ def ammd_graphs(x: Layers) -> DataFrame:
 def ammd_graphs_top8(x: Layers) -> DataFrame:
     """Each side of a graph cut to its 8 heaviest vectors: the sampling of the loss."""
     return losses.mean_discrepancy(*_graph_sides(x), most=8).withColumn("ammd", F.round("ammd", 6))
+
+
+_COLUMNS_SQL = (
+    "SELECT d.node, d.deg::DOUBLE AS deg, coalesce(h.h, 0)::DOUBLE AS h_index, core.core::DOUBLE AS core, round(pr.rank, 9) AS pagerank, round(CASE WHEN d.deg = 0 THEN 0 ELSE d.deg + 2.0::DOUBLE / (d.cc + 1) * s.x END, 6) AS nip, round(coalesce(s.si, 0), 6) AS si, 0.0::DOUBLE AS pad_1, 0.0::DOUBLE AS pad_2"
+    " FROM cc1 d JOIN core USING (node) JOIN pr USING (node) LEFT JOIN hx h USING (node) LEFT JOIN sx s USING (node) WHERE pr.i = (SELECT max(i) FROM pr)"
+)
+_COLUMNS_MORE = (
+    _CORES + ", " + pagerank_sql("pr", "d1", "e1") + ","
+    " hx AS (SELECT node, max(CASE WHEN nbr_deg >= rn THEN rn ELSE 0 END) AS h FROM (SELECT node, nbr_deg, row_number() OVER (PARTITION BY node ORDER BY nbr_deg DESC) AS rn FROM nd1) GROUP BY node),"
+    " sx AS (SELECT e.src AS node, avg(sqrt(a.deg::DOUBLE * a.deg + b.deg::DOUBLE * b.deg)) AS si, sum(b.deg / (b.cc + 1)) AS x FROM e1 e JOIN cc1 a ON a.node = e.src JOIN cc1 b ON b.node = e.dst GROUP BY e.src)"
+)
+
+
+@register(sql.query(_COLUMNS_SQL, _COLUMNS_MORE, recursive=True))
+def centrality_columns_8(x: Layers) -> DataFrame:
+    """Six features and two columns of zeros, as eight asked for give."""
+    rows = centrality.columns(x.nodes, x.l1, 8)
+    return rows.withColumn("pagerank", F.round("pagerank", 9)).withColumns({c: F.round(c, 6) for c in ("nip", "si")})
+
+
+@register()
+def centrality_columns_12(x: Layers) -> DataFrame:
+    """All twelve features; tests hold them against dense matrices."""
+    return centrality.columns(x.nodes, x.l1, 12)
