@@ -5,8 +5,13 @@ of candidates bounds all other nodes. For the list, two small tables tell what a
 removal takes from whom: who is whose neighbour, and how many counted neighbours
 two candidates share. The order of removals is followed exactly from these
 numbers until the bound is met; then the next list is made. A round costs a few
-jobs, whatever the number of steps it yields. What seeds reach at every step then
-follows from how long each node lived, in one pass.
+jobs, whatever the number of steps it yields.
+
+More steps than a list holds go by contests: a node that is best of all within two
+arcs keeps its score until its turn comes, so all such nodes go in one round, and
+the order of removals is that of the scores they went with. Rounds follow the longest
+chain of nodes that wait for one another, not the number of steps. What seeds reach
+at every step then follows from how long each node lived, in one pass.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from . import ranking
 from .influence import activation, rescaled, two_hop
 
 #: Candidates of a round; its square bounds what the driver holds.
@@ -58,12 +64,67 @@ def _followed(top: list, near: list, shared: list, steps: int, width: int) -> li
     return out
 
 
+def _contest(live: DataFrame, span: int, most: int) -> DataFrame:
+    """(node, key, wins): every node's score and place in one number, and whether none within two arcs has a larger one."""
+    score = F.sum(F.when(F.col("counts"), 1 + F.col("deg")).otherwise(0)).over(Window.partitionBy("src"))
+    rows = live.select("src", "dst", (score * F.lit(span) + (F.lit(most) - F.col("src"))).alias("key"))
+    own = rows.groupBy(F.col("src").alias("node")).agg(F.max("key").alias("key"))
+    one = rows.groupBy(F.col("dst").alias("node")).agg(F.max("key").alias("near"))
+    near = own.join(one, "node").select("node", "key", F.greatest("key", "near").alias("near"))
+    two = live.select("src", "dst").join(near.select(F.col("node").alias("src"), "near"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("near").alias("far"))
+    wins = (F.col("key") >= F.col("near")) & (F.col("key") >= F.col("far")) & (F.col("key") >= F.lit(span))
+    return near.join(two, "node").select("node", "key", wins.alias("wins"))
+
+
+def _by_contests(live: DataFrame, steps: int) -> DataFrame:
+    """(node, score) of removed nodes, the first ``steps`` in order of score among them, or all that ever have a score."""
+    deg = live.groupBy("dst").agg(F.count("*").alias("deg"))
+    live = stored(live.join(deg, "dst").select("src", "dst", "counts", "deg"))
+    least, most, top = live.groupBy("src").agg(F.sum(1 + F.col("deg")).alias("score")).agg(F.min("src"), F.max("src"), F.max("score")).collect()[0]
+    if least is None:
+        return live.select(F.col("src").alias("node"), F.col("deg").alias("score"))
+    span = most - least + 1
+    if span * (top + 1) >= 1 << 62:  # ids too far apart to stand in a number beside a score: their places do
+        names = stored(ranking.running(live.select(F.col("src").alias("id")).distinct(), [F.asc("id")], place=F.lit(1).cast("bigint")))
+        named = live.join(names.toDF("src", "p"), "src").join(names.toDF("dst", "q"), "dst").select(F.col("p").alias("src"), F.col("q").alias("dst"), "counts")
+        return _by_contests(named, steps).join(names.toDF("node", "place").withColumnsRenamed({"node": "id", "place": "node"}), "node").select(F.col("id").alias("node"), "score")
+    gone, n = None, 0
+    while True:
+        found = stored(_contest(live, span, most))
+        won, left = found.agg(F.count_if("wins"), F.max(F.when(~F.col("wins"), F.col("key")))).collect()[0]
+        if not won:
+            break
+        winners = found.filter("wins").select("node", "key")
+        gone, n = winners if gone is None else gone.unionByName(winners), n + won
+        if n >= steps and gone.filter(F.col("key") > F.lit(left if left is not None else -1)).count() >= steps:
+            break  # whoever is left has less by now, and gets no more
+        lost = live.join(winners.select(F.col("node").alias("src")), "src").groupBy("dst").agg(F.count("*").alias("lost"))
+        rest = live.join(winners.select(F.col("node").alias("src")), "src", "left_anti").join(winners.select(F.col("node").alias("dst")), "dst", "left_anti").join(lost, "dst", "left")
+        live = stored(rest.select("src", "dst", "counts", (F.col("deg") - F.coalesce("lost", F.lit(0))).alias("deg")))
+    if gone is None:
+        return live.limit(0).select(F.col("src").alias("node"), F.col("deg").alias("score"))
+    return gone.select("node", F.floor(F.col("key") / F.lit(span)).alias("score"))
+
+
+def _many(nodes: DataFrame, live: DataFrame, steps: int) -> DataFrame:
+    """(step, node) of ``removals`` by contests; the removed nodes stay a table."""
+    gone = ranking.running(_by_contests(live, steps), [F.desc("score"), F.asc("node")], step=F.lit(1))
+    gone = stored(gone.filter(F.col("step") <= steps).select(F.col("step").cast("int").alias("step"), "node"))
+    n = gone.count()
+    if n == steps:
+        return gone
+    least = nodes.agg(F.min("node").alias("node")).filter("node is not null").join(gone.select("node"), "node", "left_anti")
+    return gone.unionByName(least.select(F.lit(n + 1).alias("step"), "node"))
+
+
 def removals(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs: DataFrame, steps: int, width: int = WIDTH) -> DataFrame:
     """(step, node): at each step the node of best two-hop score goes, the smallest id among equals.
 
     Where no score is left, the smallest node goes if it is still there, and later
     steps remove nothing: they have no row.
     """
+    if steps > width:
+        return _many(nodes, _marked(a, b, arcs), steps)
     live = stored(_marked(a, b, arcs))
     gone: list[int] = []
     while len(gone) < steps:

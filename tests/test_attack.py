@@ -63,3 +63,19 @@ def test_nothing_to_attack(spark):
     assert [tuple(r) for r in attack.removals(seeds, seeds, nodes, none, 3).collect()] == [(1, 0)]
     assert tuple(attack.robust(seeds, seeds.limit(0), nodes, none, steps=0).collect()[0]) == (0.0, 0.0, 0.0)
     assert attack.removals(seeds, seeds, nodes.limit(0), none, 3).count() == 0
+
+
+@pytest.mark.parametrize("apart", [1, 1 << 57])
+def test_many_removals_take_few_rounds(spark, monkeypatch, apart):
+    """Forty copies of a path with a fork, ids far apart as well: rounds follow the copies' chains, not the steps."""
+    one = [(0, 1), (1, 2), (2, 3), (3, 4), (2, 5)]
+    label = lambda v: v + (apart if v >= 120 else 0)
+    edges = [(label(6 * k + u), label(6 * k + v)) for k in range(40) for u, v in one]
+    nodes = spark.createDataFrame([(label(v),) for v in range(240)], "node bigint")
+    none, arcs = spark.createDataFrame([], "node bigint"), graph.symmetric(spark.createDataFrame(edges, "u bigint, v bigint"))
+    written = []
+    monkeypatch.setattr(attack, "stored", lambda df, keep=attack.stored: written.append(1) or keep(df))
+    got = [tuple(r) for r in attack.removals(none, none, nodes, arcs, 70, 2).orderBy("step").collect()]
+    # the fork goes first everywhere, then the smaller end of each pair that is left
+    assert got == [(i + 1, label(6 * i + 2)) for i in range(40)] + [(41 + i, label(3 * i)) for i in range(30)]
+    assert len(written) <= 12
