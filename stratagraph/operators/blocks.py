@@ -4,8 +4,12 @@
 is cut into cells around pivots; within a cell cosines are bounded by the angles
 to its pivot (the triangle inequality on the sphere).  Each row visits its own
 cell first, and then only cells whose bound comes up to its k-th best so far.
-Cells are cut into chunks, and a chunk with many visitors is dealt to several
-tasks, so that neither a crowded cell nor a sought one is one task's work.
+Small cells travel in groups, and a row that visits several cells of a group is
+sent there once, with their numbers; crowded cells are cut into chunks, and a group
+with many visitors is dealt to several tasks, so that neither a crowded cell nor a
+sought one is one task's work.  On evenly spread vectors all cells are visited; a
+task then still holds one group and one share of rows, and sends rows on in
+frames of a fixed size.
 """
 
 from __future__ import annotations
@@ -24,6 +28,11 @@ BLOCK = 4_096
 PIVOTS = 1_024
 #: Rows that a cell is meant to hold.
 CELL = 512
+#: Blocks of rows in a group of cells, and in the rows that visit it together.
+WIDE = 4
+#: Rows of a frame whose bounds are looked at together, and numbers of a matrix of products.
+SLICE = 1_024
+TILE = 1 << 21
 
 
 def unit(z: pd.Series) -> np.ndarray:
@@ -92,33 +101,68 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _grouped(held: dict[int, int]) -> dict[int, int]:
+    """The group of each cell: cells in turn, as long as they fit together."""
+    out, group, size = {}, -1, WIDE * BLOCK
+    for c in sorted(held):
+        if size + held[c] > WIDE * BLOCK:
+            group, size = group + 1, 0
+        out[c], size = group, size + held[c]
+    return out
+
+
+def _best_of(s: np.ndarray, ia: np.ndarray, ib: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest of each row of products, smaller ids first among equals; -inf is none."""
+    if s.shape[1] > k:
+        row, at = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+    else:
+        row, at = np.divmod(np.arange(s.size), s.shape[1])
+    sim = s[row, at]
+    order = np.lexsort((ib[at], -sim, row))
+    order = order[np.isfinite(sim[order])]
+    begin = np.searchsorted(row[order], np.arange(len(s)))
+    order = order[np.arange(len(order)) - begin[row[order]] < k]
+    return ia[row[order]], ib[at[order]], sim[order]
+
+
 def _visits(queries: DataFrame, cells: DataFrame, held: dict[int, int], k: int, digits: int, others: bool) -> DataFrame:
-    """(a, b, sim): the k best of each visited chunk. ``queries(idx, z, cell)``, ``cells(idx, z, cell)``."""
-    wanted = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}  # a row a pivot at most
-    per_cell = lambda counts: F.element_at(F.create_map(*[F.lit(x) for c in held for x in (c, max(1, -(-counts.get(c, 0) // BLOCK)))]), F.col("cell"))
-    chunks, shares = per_cell(held), per_cell(wanted)
+    """(a, b, sim): the k best of each visited chunk. ``queries(idx, z, group, wanted)``, ``cells(idx, z, cell, group)``."""
+    rows: dict[int, int] = {}
+    for c, g in _grouped(held).items():
+        rows[g] = rows.get(g, 0) + held[c]
+    wanted = {r["group"]: r["count"] for r in queries.groupBy("group").count().collect()}  # a row a group at most
+    per_group = lambda counts: F.element_at(F.create_map(*[F.lit(x) for g in rows for x in (g, max(1, -(-counts.get(g, 0) // (WIDE * BLOCK))))]), F.col("group"))
+    chunks, shares = per_group(rows), per_group(wanted)
     right = cells.withColumn("chunk", F.pmod(F.xxhash64("idx"), chunks).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
     left = queries.withColumn("share", F.pmod(F.xxhash64("idx", F.lit(1)), shares).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": [], "sim": []})
         if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        b = b.sort_values("idx")
-        ia, ib = a["idx"].to_numpy(), b["idx"].to_numpy()
-        x, y = np.stack(a["z"].to_numpy()), np.stack(b["z"].to_numpy())
+            return none
+        parts = [(cell, part["idx"].to_numpy(), np.stack(part["z"].to_numpy())) for cell, part in b.groupby("cell")]
         out = []
-        for lo in range(0, len(x), 1024):
-            s = np.round(x[lo : lo + 1024] @ y.T, digits)
-            if others:
-                s[ia[lo : lo + 1024, None] == ib[None, :]] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # stable over ascending ids
-            row = np.repeat(np.arange(len(s)), best.shape[1])
-            sim = s[row, best.ravel()]
-            ok = np.isfinite(sim)
-            out.append(pd.DataFrame({"a": ia[lo + row][ok], "b": ib[best.ravel()][ok], "sim": sim[ok]}))
-        return pd.concat(out)
-
-    keys = ("cell", "chunk", "share")
+        for start in range(0, len(a), SLICE):  # a slice meets all cells and is cut to its best before the next one
+            some = a.iloc[start : start + SLICE]
+            ia, x = some["idx"].to_numpy(), np.stack(some["z"].to_numpy())
+            seen, of = np.concatenate(some["wanted"].to_numpy()), np.repeat(np.arange(len(some)), some["wanted"].str.len())
+            met = []
+            for cell, ib, y in parts:
+                mine = of[seen == cell]
+                step = max(1, TILE // len(y))
+                for lo in range(0, len(mine), step):
+                    at = mine[lo : lo + step]
+                    s = np.round(x[at] @ y.T, digits)
+                    if others:
+                        s[ia[at][:, None] == ib[None, :]] = -np.inf
+                    met.append(_best_of(s, ia[at], ib, k))
+            if met:
+                found = pd.DataFrame({c: np.concatenate(v) for c, v in zip(("a", "b", "sim"), zip(*met))})
+                found = found.sort_values(["a", "sim", "b"], ascending=[True, False, True], kind="stable")
+                out.append(found[found.groupby("a").cumcount() < k])
+        return pd.concat(out) if out else none
+
+    keys = ("group", "chunk", "share")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "a bigint, b bigint, sim double")
 
 
@@ -157,8 +201,12 @@ def best_of_each(left: DataFrame, right: DataFrame, k: int, digits: int = 12, ot
     mine = cells if left is right else stored(_doubles(left).mapInPandas(assign, placed))
     bounds = {r["cell"]: (r["n"], r["lo"], r["hi"], r["zero"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.max(F.forall("z", lambda v: v == 0)).alias("zero")).collect()}
     held = {c: b[0] for c, b in bounds.items()}
+    group = _grouped(held)
+    of_cell = F.element_at(F.create_map(*[F.lit(x) for c in group for x in (c, group[c])]), F.col("cell")).alias("group")
     home = mine.filter(F.col("cell").isin(list(held)))
-    first = stored(_best(_visits(home.select("idx", "z", "cell"), cells.select("idx", "z", "cell"), held, k, digits, others), k).drop("rank"))
+    own = home.select("idx", "z", of_cell, F.array("cell").alias("wanted"))
+    cells = cells.select("idx", "z", "cell", of_cell)
+    first = stored(_best(_visits(own, cells, held, k, digits, others), k).drop("rank"))
     floor = first.groupBy(F.col("a").alias("idx")).agg(F.min("sim").alias("low"), F.count("*").alias("n")).filter(F.col("n") >= k).select("idx", "low")
     asked = mine.join(floor, "idx", "left").select("idx", "z", "cell", "low")
     order = sorted(bounds)
@@ -168,20 +216,31 @@ def best_of_each(left: DataFrame, right: DataFrame, k: int, digits: int = 12, ot
     def others_worth(frames):
         p = sent.value[order]
         for f in frames:
-            x = np.stack(f["z"].to_numpy()) if len(f) else np.zeros((0, p.shape[1]))
-            angle = np.arccos(np.clip(x @ p.T, -1.0, 1.0))
-            gap = np.maximum(0.0, np.maximum(lo - angle, angle - hi))
-            top = np.cos(np.minimum(gap, np.pi))
-            blank = ~x.any(1)
-            top[blank] = 0.0
-            top[:, zero] = np.maximum(top[:, zero], 0.0)  # a zero vector's cosine is 0, whatever its angle
-            low = f["low"].fillna(-np.inf).to_numpy(dtype=float)
-            row, at = np.nonzero((top + 1e-9 >= low[:, None]) & (np.array(order)[None, :] != f["cell"].to_numpy()[:, None]))
-            yield pd.DataFrame({"idx": f["idx"].to_numpy()[row], "z": pd.Series([x[i] for i in row], dtype=object), "cell": np.array(order, np.int32)[at]})
-
-    further = stored(asked.mapInPandas(others_worth, "idx bigint, z array<double>, cell int"))
+            for start in range(0, len(f), SLICE):
+                yield from worth(f.iloc[start : start + SLICE], p)
+
+    groups = np.array([group[c] for c in order])
+    numbers = np.array(order, np.int32)
+
+    def worth(f, p):
+        x = np.stack(f["z"].to_numpy())
+        angle = np.arccos(np.clip(x @ p.T, -1.0, 1.0))
+        gap = np.maximum(0.0, np.maximum(lo - angle, angle - hi))
+        top = np.cos(np.minimum(gap, np.pi))
+        top[~x.any(1)] = 0.0
+        top[:, zero] = np.maximum(top[:, zero], 0.0)  # a zero vector's cosine is 0, whatever its angle
+        low = f["low"].fillna(-np.inf).to_numpy(dtype=float)
+        ok = (top + 1e-9 >= low[:, None]) & (numbers[None, :] != f["cell"].to_numpy()[:, None])
+        idx = f["idx"].to_numpy()
+        for g in np.unique(groups):  # a frame of one slice and group at a time
+            of = np.flatnonzero(groups == g)
+            row = np.flatnonzero(ok[:, of].any(1))
+            if len(row):
+                yield pd.DataFrame({"idx": idx[row], "z": pd.Series(list(x[row]), dtype=object), "group": np.int32(g), "wanted": pd.Series([numbers[of[ok[i, of]]] for i in row], dtype=object)})
+
+    further = stored(asked.mapInPandas(others_worth, "idx bigint, z array<double>, group int, wanted array<int>"))
     if share is not None:
-        seen = home.select("cell").unionByName(further.select("cell")).groupBy("cell").count().collect()
+        seen = home.select("cell").unionByName(further.select(F.explode("wanted").alias("cell"))).groupBy("cell").count().collect()
         share |= {"products": sum(r["count"] * held[r["cell"]] for r in seen), "pairs": mine.count() * m}
-    second = _visits(further, cells.select("idx", "z", "cell"), held, k, digits, others)
+    second = _visits(further, cells, held, k, digits, others)
     return _best(first.unionByName(second), k)

@@ -80,3 +80,17 @@ def test_losses_do_not_depend_on_blocks(spark, monkeypatch):
     one = measured()
     monkeypatch.setattr(blocks, "BLOCK", 7)
     assert np.allclose(one, measured()) and all(v > 0 for v in one)
+
+
+def test_rows_that_visit_all_cells_travel_once_a_group(spark, monkeypatch):
+    """Evenly spread vectors: no cell can be left out, and a row is still sent to a group of cells once."""
+    monkeypatch.setattr(blocks, "CELL", 10)
+    given = [(i, z) for i, z in enumerate(np.random.default_rng(5).normal(size=(200, 8)))]
+    a = side(spark, given)
+    sent = []
+    monkeypatch.setattr(blocks, "stored", lambda df, keep=blocks.stored: sent.append(keep(df)) or sent[-1])
+    got = sorted((r["a"], r["rank"], r["b"]) for r in blocks.best_of_each(a, a, 4, 9, True).collect())
+    want = sorted(table(given, given, True), key=lambda t: (t[0], -t[2], t[1]))
+    assert got == sorted((t[0], i % 199 + 1, t[1]) for i, t in enumerate(want) if i % 199 < 4)
+    rows_sent = [f.count() for f in sent if "wanted" in f.columns or "cell" in f.columns and "angle" not in f.columns]
+    assert rows_sent and max(rows_sent) <= 200
