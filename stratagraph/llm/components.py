@@ -1,42 +1,5 @@
-"""Connected components of a links table, all on the executors."""
+"""Connected components of a links table."""
 
-from __future__ import annotations
+from ..operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import stored
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each id of ``links(a, b)`` reaches.
-
-    Alternates two star operations until nothing changes: every larger
-    neighbour is hung on the smallest one around (large star), then every
-    smaller neighbour on the smallest (small star).  Rounds grow with the
-    logarithm of the longest chain.  Minima are combined before each shuffle,
-    and the joins back to the edges are plain equi-joins, whose large keys
-    adaptive execution splits.  Each round is written to the shared folder.
-    Nulls and self links are left out.
-    """
-    links = links.filter("a is not null and b is not null and a <> b")
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(edges)
-    while mark[0]:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(hung.union(least.select("a", F.col("m").alias("b"))).distinct())
-        last, mark = mark, _mark(edges)
-        if mark == last:
-            break
-    roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Number and an order-free digest of the edges: two equal marks mean that a round changed nothing."""
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).collect()[0]
-    return r["n"], r["s"]
+__all__ = ["components"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,11 +11,17 @@ from pyspark.sql import functions as F
 
 from ..session import ship, stored
 from . import graph, krylov
-from .influence import MAX_ARCS
+from .components import components
 from .ranking import ordinal
 
-#: Sources of one breadth-first search; each node holds a bit for each.
-SOURCES = 1024
+#: Sources of one breadth-first search at most; each node holds a bit for each, HELD bits in all where the component is large.
+SOURCES, HELD = 1024, 1 << 30
+#: Sources of a task, more where there would be over MAX_SHARES shares: a share holds the arcs of its component.
+SHARE, MAX_SHARES = 16_384, 64
+#: Neighbours that a search takes one by one, the j-th of all nodes together; those of hubs beyond them come in stretches.
+SLOTS, STRETCH = 32, 1 << 16
+#: Nodes that a search takes at a time, so that what it writes stays in the cache.
+ROWS = 8192
 
 
 def _neighbour_degrees(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -175,60 +180,105 @@ def closeness(nodes: DataFrame, arcs: DataFrame, sources: DataFrame, depth: int)
     return rows.select("node", F.coalesce(near, F.lit(0.0)).alias("closeness"), F.coalesce("harmonic", F.lit(0.0)).alias("harmonic"))
 
 
-def _spread(src: np.ndarray, dst: np.ndarray, n: int, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of nodes reached, sum of distances and of their inverses, for each source; one bit a source, arcs sorted by dst."""
-    k = len(sources)
+def _slots(to: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray], list[tuple[int, np.ndarray, np.ndarray]]]:
+    """(place, slots, more): nodes placed by falling degree; the j-th neighbour of all that have one, which are the first places; what hubs have beyond SLOTS, in stretches (first place, neighbours, where each node begins)."""
+    deg = np.bincount(own, minlength=n)
+    rank = np.argsort(-deg, kind="stable")
+    place = np.empty(n, np.int64)
+    place[rank] = np.arange(n)
+    deg = deg[rank]
+    to = place[to[np.argsort(place[own], kind="stable")]].astype(np.int32)
+    start = np.concatenate([[0], np.cumsum(deg)])
+    slots = [to[start[: np.searchsorted(-deg, -j)] + j] for j in range(min(int(deg[0]), SLOTS))]
+    hubs, more, lo = int(np.searchsorted(-deg, -SLOTS)), [], 0
+    while lo < hubs:
+        hi = max(lo + 1, min(int(np.searchsorted(start[: hubs + 1], start[lo] + STRETCH)) - 1, (lo // ROWS + 1) * ROWS))
+        sizes = deg[lo:hi] - SLOTS
+        begin = np.cumsum(sizes) - sizes
+        more.append((lo, to[np.repeat(start[lo:hi] + SLOTS - begin, sizes) + np.arange(sizes.sum())], begin))
+        lo = hi
+    return place, slots, more
+
+
+def _spread(slots: list, more: list, n: int, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place the number of sources that reach it, the sum of their distances and of the inverses; one bit a source."""
+    at, k = np.arange(len(sources)), len(sources)
     front = np.zeros((n, -(-k // 64)), np.uint64)
-    at = np.arange(k)
-    np.bitwise_or.at(front, (sources, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
-    seen = front.copy()
-    begin = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.zeros(0, np.int64)
-    reached, total, inverse = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k)
+    front[sources, at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
+    seen, new, held = front.copy(), np.empty_like(front), np.empty_like(front[:ROWS])
+    met = np.bitwise_count(front).sum(axis=1, dtype=np.int64)
+    reached, total, inverse = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    found = np.zeros(n, np.int64)
+    cuts = [(lo, min(n, lo + ROWS), [s[lo : lo + ROWS] for s in slots if len(s) > lo], [m for m in more if lo <= m[0] < lo + ROWS]) for lo in range(0, n, ROWS)]
     d = 0
-    while len(dst) and front.any():
+    while True:
         d += 1
-        new = np.zeros_like(front)
-        new[dst[begin]] = np.bitwise_or.reduceat(front[src], begin)
-        new &= ~seen
-        seen |= new
-        found = np.unpackbits(new.view(np.uint8), axis=1, bitorder="little", count=k).sum(axis=0, dtype=np.int64)
+        for lo, hi, near, beyond in cuts:
+            now, before = new[lo:hi], seen[lo:hi]
+            if met[lo:hi].min() == k:  # every source has been here
+                now[:] = 0
+                found[lo:hi] = 0
+                continue
+            np.take(front, near[0], axis=0, out=now, mode="clip")
+            for s in near[1:]:
+                got = held[: len(s)]
+                np.take(front, s, axis=0, out=got, mode="clip")
+                now[: len(s)] |= got
+            for first, s, begin in beyond:
+                now[first - lo : first - lo + len(begin)] |= np.bitwise_or.reduceat(front[s], begin, axis=0)
+            now &= ~before
+            before |= now
+            found[lo:hi] = np.bitwise_count(now).sum(axis=1)
+        if not found.any():
+            return reached, total, inverse
+        met += found
         reached += found
         total += d * found
         inverse += found / d
-        front = new
-    return reached, total, inverse
+        front, new = new, front
+
+
+def _searched(key: tuple, table: pa.Table) -> pa.Table:
+    """(node, reached, total, inverse) that the sources of one share add to every node of their component."""
+    share, shares = key[1].as_py(), table.column("shares")[0].as_py()
+    m = len(table)
+    ids, both = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
+    n = len(ids)
+    place, slots, more = _slots(both[m:], both[:m], n)
+    sums = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    width = max(64, min(SOURCES, HELD // n // 64 * 64))
+    mine = place[share::shares]
+    for lo in range(0, len(mine), width):
+        for s, x in zip(sums, _spread(slots, more, n, mine[lo : lo + width])):
+            s += x
+    return pa.table([pa.array(ids), *[pa.array(s[place]) for s in sums]], names=["node", "reached", "total", "inverse"])
 
 
 def whole_closeness(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(node, closeness, harmonic) of every node over all that it reaches; the arcs are sent to the tasks, their number is checked."""
-    spark = nodes.sparkSession
-    m = arcs.count()
-    if m > MAX_ARCS:
-        raise ValueError(f"{m} arcs; whole closeness takes a layer of up to {MAX_ARCS}")
-    t = arcs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).toArrow()
-    ids, both = np.unique(np.concatenate([t.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
-    src, dst = both[:m], both[m:]
-    order = np.argsort(dst, kind="stable")
-    ship(spark)
-    held = spark.sparkContext.broadcast((ids, src[order], dst[order]))
-    n = nodes.count()
+    """(node, closeness, harmonic) of every node over all that it reaches; arcs go both ways.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, a, b = held.value
-        for batch in batches:
-            node = batch.column(0).to_numpy()
-            at = np.searchsorted(known, node)
-            linked = np.isin(node, known)
-            r, total, inverse = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node))
-            mine = np.flatnonzero(linked)
-            for lo in range(0, len(mine), SOURCES):
-                some = mine[lo : lo + SOURCES]
-                r[some], total[some], inverse[some] = _spread(a, b, len(known), at[some])
-            near = r / np.maximum(total, 1) * r / max(n - 1, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near), pa.array(inverse)], names=["node", "closeness", "harmonic"])
-
-    parts = max(1, -(-n // SOURCES))
-    return nodes.select(F.col("node").cast("bigint").alias("node")).repartition(parts, "node").mapInArrow(run, "node bigint, closeness double, harmonic double")
+    Components are searched apart: a task holds one (small ones together), a large
+    one goes to several tasks with a share of its nodes as sources each.  Since
+    distances are the same both ways, a source adds to the nodes it reaches.
+    """
+    ship(nodes.sparkSession)
+    arcs = stored(arcs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).filter("src <> dst"))
+    part = stored(components(arcs.toDF("a", "b")))
+    sizes = part.groupBy("component").agg(F.count("*").alias("size"))
+    linked, small = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("size") <= SOURCES, F.col("size"))), F.lit(0))).collect()[0]
+    share = max(SHARE, -(-linked // MAX_SHARES))
+    few = F.col("size") <= SOURCES
+    group = F.when(few, -1 - F.pmod(F.xxhash64("component"), F.lit(max(1, small // (4 * SOURCES))))).otherwise(F.col("component"))
+    sizes = sizes.select("component", F.when(few, F.lit(False)).otherwise(True).alias("large"), group.alias("group"), F.when(few, 1).otherwise(F.ceil(F.col("size") / share)).cast("int").alias("shares"))
+    rows = arcs.join(part.join(sizes, "component").select(F.col("id").alias("src"), "large", "group", "shares"), "src")
+    rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    rows = rows.select("large", "group", "share", "shares", "src", "dst").repartition(max(1, min(4 * MAX_SHARES, 4 * linked // SOURCES)), "large", "group", "share")
+    found = rows.groupBy("large", "group", "share")
+    n = nodes.count()
+    sums = found.applyInArrow(lambda key, t: _searched(key[1:], t), "node bigint, reached bigint, total bigint, inverse double")
+    sums = sums.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("reached", "total", "inverse")])
+    near = F.col("reached") / F.col("total") * F.col("reached") / max(n - 1, 1)
+    return nodes.select(F.col("node").cast("bigint").alias("node")).join(sums, "node", "left").select("node", F.coalesce(near, F.lit(0.0)).alias("closeness"), F.coalesce("inverse", F.lit(0.0)).alias("harmonic"))
 
 
 def normalized_laplacian(nodes: DataFrame, arcs: DataFrame) -> DataFrame:

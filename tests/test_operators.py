@@ -159,6 +159,58 @@ def test_whole_closeness_by_search(spark):
         assert got[i]["harmonic"] == pytest.approx(sum(1 / d for d in far))
 
 
+def test_spread_in_stretches_and_blocks(monkeypatch):
+    for name, value in (("SLOTS", 3), ("STRETCH", 8), ("ROWS", 16)):
+        monkeypatch.setattr(centrality, name, value)
+    rng = np.random.default_rng(3)
+    a = np.triu(rng.random((70, 70)) < 0.06, 1)
+    a[5, 8:60] = True
+    a[np.arange(69), np.arange(1, 70)] = True
+    a |= a.T
+    own, to = np.nonzero(a)
+    place, slots, more = centrality._slots(to, own, 70)
+    got = [s[place] for s in centrality._spread(slots, more, 70, place[10:])]
+    dist = np.full((70, 70), 70)
+    walk = np.eye(70)
+    for d in range(70):
+        dist[(walk > 0) & (dist == 70)] = d
+        walk = ((walk @ a) > 0).astype(float)
+    far = dist[10:].astype(float)
+    far[far == 0] = np.inf
+    assert len(more) > 3
+    assert (got[0] == np.isfinite(far).sum(0)).all() and (got[1] == dist[10:].sum(0)).all() and np.allclose(got[2], (1 / far).sum(0))
+
+
+def test_whole_closeness_in_shares(spark, monkeypatch):
+    """A component in several shares, a hub, small components together."""
+    for name, value in (("SOURCES", 64), ("SHARE", 50)):
+        monkeypatch.setattr(centrality, name, value)
+    rng = np.random.default_rng(6)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 180, (260, 2)).tolist() if p[0] != p[1]} | {(7, i) for i in range(8, 90)}
+    pairs |= {(200 + 3 * i, 201 + 3 * i) for i in range(30)} | {(i, i + 1) for i in range(300, 420)}
+    adj = {i: set() for i in range(430)}
+    for a, b in pairs:
+        adj[a].add(b)
+        adj[b].add(a)
+    got = {r["node"]: r for r in centrality.whole_closeness(nodes(spark, 430), graph.symmetric(edges(spark, list(pairs)))).collect()}
+    for i in adj:
+        dist, front = {i: 0}, [i]
+        for a in front:
+            for b in adj[a] - dist.keys():
+                dist[b] = dist[a] + 1
+                front.append(b)
+        far = [d for d in dist.values() if d]
+        assert got[i]["closeness"] == pytest.approx(len(far) ** 2 / sum(far) / 429 if far else 0)
+        assert got[i]["harmonic"] == pytest.approx(sum(1 / d for d in far))
+
+
+def test_whole_closeness_has_no_limit_of_arcs(spark, monkeypatch):
+    monkeypatch.setattr(influence, "MAX_ARCS", 2)
+    monkeypatch.setattr(centrality, "MAX_ARCS", 2, raising=False)
+    got = {r["node"]: r["harmonic"] for r in centrality.whole_closeness(nodes(spark, 4), graph.symmetric(edges(spark, [(0, 1), (1, 2)]))).collect()}
+    assert got == {0: 1.5, 1: 2.0, 2: 1.5, 3: 0.0}
+
+
 def test_pairs_go_on_until_there_are_enough(spark):
     from stratagraph.operators import sampling
 
