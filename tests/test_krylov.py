@@ -30,3 +30,12 @@ def test_without_arcs(spark):
     x, value, _ = krylov.leading(nodes, arcs)
     assert value == 0.0 and [r["x"] for r in x.collect()] == [0.5] * 4
     assert krylov.leading(nodes.limit(0), arcs)[0].count() == 0
+
+
+def test_a_step_writes_once_and_deals_no_arcs_again(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(krylov, "stored", lambda df, keep=krylov.stored: written.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    arcs = graph.symmetric(spark.createDataFrame([(i, i + 1) for i in range(8)] + [(0, 5), (2, 7)], "u bigint, v bigint"))
+    x, value, _ = krylov.leading(spark.range(10).withColumnRenamed("id", "node"), arcs)
+    assert 1 < len(written) <= 10
+    assert "InMemoryTableScan" in written[-1]
