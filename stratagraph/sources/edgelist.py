@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import running
+
 
 def parse(lines: DataFrame) -> DataFrame:
     """(graph, layer, u, v) of ``lines(graph, line_no, line)``.
 
+    Lines are counted by ranges of their order, so that a graph may be of any size.
     Blank lines, lines before the first header and lines without exactly two
     tokens are left out; a token that is no integer is an error.  Edges are
     undirected and count once.
     """
-    w = Window.partitionBy("graph").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     line = F.trim("line")
-    rows = lines.withColumn("head", line.startswith("layer:")).withColumn("layer", F.sum(F.col("head").cast("int")).over(w))
+    rows = lines.withColumn("head", line.startswith("layer:"))
+    rows = running(rows, [F.asc("graph"), F.asc("line_no")], _upto=F.col("head").cast("int"))
+    first = rows.groupBy("graph").agg((F.min("_upto") - F.min_by(F.col("head").cast("int"), "line_no")).alias("_before"))  # heads of earlier graphs
+    rows = rows.join(first, "graph").withColumn("layer", F.col("_upto") - F.col("_before"))
     parts = F.split(line, r"\s+")
     rows = rows.filter(~F.col("head") & (F.col("layer") > 0) & (F.size(parts) == 2) & (line != ""))
     ends = rows.select("graph", F.col("layer").cast("int").alias("layer"), parts[0].cast("bigint").alias("x"), parts[1].cast("bigint").alias("y"))

@@ -141,6 +141,20 @@ def test_core_numbers_by_peeling(spark):
     assert got == want
 
 
+def test_lines_of_a_graph_go_to_many_tasks(spark):
+    """Layers of graphs whose lines are far apart; no window over a graph."""
+    rows = [(g, i, "x" if i == 0 else f"layer:{i // 50} nodes=9 edges=9" if i % 50 == g else f"{i} {i + 1}") for g in range(3) for i in range(400)]
+    lines = spark.createDataFrame([(str(g), i, s) for g, i, s in rows], "graph string, line_no int, line string").repartition(5)
+    want, layer = set(), {}
+    for g, i, s in rows:
+        layer[g] = layer.get(g, 0) + s.startswith("layer:")
+        if layer[g] and len(s.split()) == 2:
+            want.add((str(g), layer[g], i, i + 1))
+    got = edgelist.parse(lines)
+    assert {tuple(r) for r in got.collect()} == want
+    assert "windowspecdefinition(graph" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_whole_closeness_by_search(spark):
     """Every node, and all distances: a chain far beyond three hops, a random part and isolated nodes."""
     rng = np.random.default_rng(5)
