@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 from .influence import MAX_ARCS
 
+#: Rows of a batch that the task gives back.
+BATCH = 10_000
+
 
 def positions(nodes: DataFrame, arcs: DataFrame, k: int = 4, rounds: int = 300, seed: int = 11) -> DataFrame:
     """(node, position): k smoothest non-trivial eigenvectors of the normalised Laplacian, by subspace iteration in one task.
@@ -24,13 +29,17 @@ def positions(nodes: DataFrame, arcs: DataFrame, k: int = 4, rounds: int = 300,
         raise ValueError(f"{m} arcs; spectral positions take a layer of up to {MAX_ARCS}")
     spark = nodes.sparkSession
     ship(spark)
-    ids = np.sort(nodes.toPandas()["node"].to_numpy())
-    pairs = arcs.toPandas()
-    held = spark.sparkContext.broadcast((ids, np.searchsorted(ids, pairs["src"].to_numpy()), np.searchsorted(ids, pairs["dst"].to_numpy())))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _ in parts:
-            ids, src, dst = held.value
+    # nodes and arcs go to the task as rows of one table, not through the driver; a node is an arc without an end
+    rows = nodes.select(F.col("node").cast("bigint").alias("src"), F.lit(None).cast("bigint").alias("dst")).unionByName(arcs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
+        end = t.column("dst").is_valid()
+        ids = np.sort(t.filter(pc.invert(end)).column("src").to_numpy())
+        pairs = t.filter(end).sort_by([("src", "ascending"), ("dst", "ascending")])
+        src, dst = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("src", "dst"))
+        del t, pairs
+        if len(ids):
             n = len(ids)
             deg = np.bincount(src, minlength=n).astype(float)
             live = deg > 0
@@ -48,6 +57,7 @@ def positions(nodes: DataFrame, arcs: DataFrame, k: int = 4, rounds: int = 300,
                 x = (x @ turn)[:, np.argsort(-value)][:, 1:] * live[:, None]
             out = np.zeros((n, k))
             out[:, : max(0, width - 1)] = x[:, :k] if width else 0
-            yield pd.DataFrame({"node": ids, "position": list(out)})
+            for lo in range(0, n, BATCH):
+                yield pa.RecordBatch.from_pydict({"node": ids[lo : lo + BATCH], "position": list(out[lo : lo + BATCH])}, schema=pa.schema([("node", pa.int64()), ("position", pa.list_(pa.float64()))]))
 
-    return spark.range(0, 1, 1, 1).mapInPandas(run, "node bigint, position array<double>")
+    return rows.repartition(1).mapInArrow(run, "node bigint, position array<double>")

@@ -39,3 +39,23 @@ def test_a_step_writes_once_and_deals_no_arcs_again(spark, monkeypatch):
     x, value, _ = krylov.leading(spark.range(10).withColumnRenamed("id", "node"), arcs)
     assert 1 < len(written) <= 10
     assert "InMemoryTableScan" in written[-1]
+
+
+def test_positions_without_the_layer_on_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from stratagraph.operators import spectral
+
+    rng = random.Random(3)
+    pairs = sorted({tuple(sorted(rng.sample(range(25), 2))) for _ in range(70)} | {(i, i + 1) for i in range(24)})
+    arcs = graph.symmetric(spark.createDataFrame(pairs, "u bigint, v bigint"))
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("through the driver"))
+    got = spectral.positions(spark.range(26).withColumnRenamed("id", "node"), arcs, 3, 2000).orderBy("node").collect()
+    x = np.array([r["position"] for r in got])
+    a = np.zeros((26, 26))
+    for u, v in pairs:
+        a[u, v] = a[v, u] = 1
+    scale = 1 / np.sqrt(np.maximum(a.sum(1), 1))
+    a = scale[:, None] * a * scale
+    values = np.sort(np.linalg.eigvalsh(a))[::-1][1:4]
+    assert (x[25] == 0).all() and np.allclose(x.T @ x, np.eye(3)) and np.allclose(a @ x, x * values, atol=1e-3)
