@@ -36,7 +36,7 @@ from .components import components
 #: Collections in each of the two groups, and minhashes in each collection.
 COLLECTIONS = 8
 HASHES = 2
-#: Star rounds before what still differs is compared.
+#: Star rounds at most before what still differs is compared; a round that settles less than half of the open buckets is the last one.
 STARS = 4
 #: Bytes of text that are worked on at once.
 CHUNK = 2 << 20
@@ -267,17 +267,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = COL
     buckets = stored(entries.join(shared, "key").join(heads, "id"))
     members = buckets.select("id").distinct()
     sets = stored(_sets(docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), k))
-    links = None
+    links, turn, before = None, 0, None
     labelled = buckets.withColumn("label", F.col("id"))
-    for turn in range(STARS + 1):
+    while turn <= STARS:
         # buckets in which not all is linked yet; the first star has the same middle in all
         # buckets of a group, later ones a middle for each bucket, as few texts are left
         order = F.xxhash64("id", F.lit(turn)) if not turn else F.xxhash64("id", "key", F.lit(turn))
         mark = F.struct("n", *[f"b{i}" for i in range(BITS // 64)])
         mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order, "id", mark.alias("mark"), "label")).alias("c")).filter("lo <> hi")
         mixed = stored(mixed.select("key", "c"))
-        if turn and not mixed.take(1):
+        still = mixed.count()
+        if turn and not still:
             break
+        if before is not None and 2 * still > before:
+            turn = STARS
+        before = still
         x = labelled.select("key", F.col("id").alias("a"), mark.alias("p"), F.col("label").alias("la"))
         if turn < STARS:
             y = mixed.select("key", F.col("c.id").alias("b"), F.col("c.mark").alias("q"), F.col("c.label").alias("lb"))
@@ -291,6 +295,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = COL
         if turn < STARS:
             labels = groups.select("id", F.col("component").alias("to"))
             labelled = stored(buckets.join(labels, "id", "left").withColumn("label", F.coalesce("to", "id")).drop("to"))
+        turn += 1
     heads = classes.select("d1", "d2", F.col("doc_id").alias("head"))
     heads = heads.join(groups.select(F.col("id").alias("head"), "component"), "head", "left").select("d1", "d2", F.coalesce("component", "head").alias("component"))
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(heads, ["d1", "d2"], "left")

@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import ship, stored
+
+#: Links that one group hangs together on average.
+LINKS = 1 << 18
+
+
+def _together(table: pa.Table) -> pa.Table:
+    """(a, b): each id that the links (a, b) of a group join to a smaller one, and the smallest that it reaches there."""
+    kind = table.schema.field("a").type
+    ids, at = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    top = np.arange(len(ids))
+    while True:
+        # the smaller of two tops takes the larger one; then all point to the end of their chain
+        p, q = top[x], top[y]
+        if (p == q).all():
+            break
+        np.minimum.at(top, np.maximum(p, q), np.minimum(p, q))
+        while (top[top] != top).any():
+            top = top[top]
+    moved = np.flatnonzero(top != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[moved], kind), "b": pa.array(ids[top[moved]], kind)})
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of ``links(a, b)`` reaches.
 
-    Alternates two star operations until nothing changes: every larger
-    neighbour is hung on the smallest one around (large star), then every
+    Links are dealt to groups of ``LINKS`` and hung together inside each; where
+    one group holds all, that is the answer. Otherwise two star operations
+    alternate until nothing changes: every larger neighbour is hung on the smallest one around (large star), then every
     smaller neighbour on the smallest (small star).  Rounds grow with the
     logarithm of the longest chain.  Minima are combined before each shuffle,
     and the joins back to the edges are plain equi-joins, whose large keys
@@ -21,7 +45,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.filter("a is not null and b is not null and a <> b")
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(edges)
+    ship(edges.sparkSession)
+    groups = max(1, -(-edges.count() // LINKS))
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(groups)))
+    edges = stored(dealt.groupBy("part").applyInArrow(lambda t: _together(t.select(["a", "b"])), edges.schema).distinct())
+    mark = _mark(edges) if groups > 1 else (0,)
     while mark[0]:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

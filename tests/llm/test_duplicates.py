@@ -259,3 +259,23 @@ def test_repeated_ids_of_vectors(spark):
     given = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, kept string")
     got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(given).collect())
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
+def test_components_by_groups(spark, monkeypatch):
+    """One group answers at once, without a round; several are joined by rounds; ids may be text."""
+    from stratagraph.operators import components as module
+
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    want = union_find(300, links)
+    want = {i: want[i] for pair in links for i in pair if pair[0] != pair[1]}
+    table = spark.createDataFrame(links, "a bigint, b bigint")
+    marks = []
+    mark = module._mark
+    monkeypatch.setattr(module, "_mark", lambda edges: marks.append(1) or mark(edges))
+    assert {r["id"]: r["component"] for r in components(table).collect()} == want and not marks
+    monkeypatch.setattr(module, "LINKS", 20)
+    assert {r["id"]: r["component"] for r in components(table).collect()} == want and marks
+    monkeypatch.setattr(module, "LINKS", 1 << 18)
+    text = components(spark.createDataFrame([("b", "é"), ("c", "b"), ("x", "z")], "a string, b string"))
+    assert {r["id"]: r["component"] for r in text.collect()} == {"b": "b", "é": "b", "c": "b", "x": "x", "z": "x"}
