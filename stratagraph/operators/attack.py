@@ -9,8 +9,9 @@ jobs, whatever the number of steps it yields.
 
 More steps than a list holds go by contests: a node that is best of all within two
 arcs keeps its score until its turn comes, so all such nodes go in one round, and
-the order of removals is that of the scores they went with. Rounds follow the longest
-chain of nodes that wait for one another, not the number of steps. What seeds reach
+the order of removals is that of the scores they went with. Only nodes that may still
+come down to a lowest score take part, with their arcs; then the next lowest is set. Rounds
+follow the longest chain of nodes that wait for one another, not the number of steps. What seeds reach
 at every step then follows from how long each node lived, in one pass.
 """
 
@@ -26,6 +27,8 @@ from .influence import activation, rescaled, two_hop
 
 #: Candidates of a round; its square bounds what the driver holds.
 WIDTH = 256
+#: Nodes by which a contest is larger than what is still to be removed, and nodes that all go to one contest.
+CONTEST, FEW = 2.0, 1 << 15
 
 
 def _marked(a: DataFrame, b: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -64,16 +67,23 @@ def _followed(top: list, near: list, shared: list, steps: int, width: int) -> li
     return out
 
 
-def _contest(live: DataFrame, span: int, most: int) -> DataFrame:
-    """(node, key, wins): every node's score and place in one number, and whether none within two arcs has a larger one."""
-    score = F.sum(F.when(F.col("counts"), 1 + F.col("deg")).otherwise(0)).over(Window.partitionBy("src"))
-    rows = live.select("src", "dst", (score * F.lit(span) + (F.lit(most) - F.col("src"))).alias("key"))
-    own = rows.groupBy(F.col("src").alias("node")).agg(F.max("key").alias("key"))
-    one = rows.groupBy(F.col("dst").alias("node")).agg(F.max("key").alias("near"))
-    near = own.join(one, "node").select("node", "key", F.greatest("key", "near").alias("near"))
-    two = live.select("src", "dst").join(near.select(F.col("node").alias("src"), "near"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("near").alias("far"))
-    wins = (F.col("key") >= F.col("near")) & (F.col("key") >= F.col("far")) & (F.col("key") >= F.lit(span))
-    return near.join(two, "node").select("node", "key", wins.alias("wins"))
+def _contest(arcs: DataFrame, span: int, most: int, least: int) -> DataFrame:
+    """(node, key, wins): score and place in one number of every node that scores ``least`` or more, and whether none of them within two arcs has a larger one."""
+    score = arcs.groupBy("src").agg(F.sum(F.when(F.col("counts"), 1 + F.col("deg")).otherwise(0)).alias("score"))
+    own = score.filter(F.col("score") >= least).select("src", (F.col("score") * F.lit(span) + (F.lit(most) - F.col("src"))).alias("key"))
+    rows = arcs.select("src", "dst").join(own, "src")
+    near = rows.select("dst", "key").unionByName(own.select(F.col("src").alias("dst"), "key")).groupBy("dst").agg(F.max("key").alias("near"))
+    met = rows.join(near, "dst").groupBy(F.col("src").alias("node")).agg(F.max("key").alias("key"), F.max("near").alias("near"))
+    return met.select("node", "key", (F.col("key") >= F.col("near")).alias("wins"))
+
+
+def _without(arcs: DataFrame, gone: DataFrame, taken: DataFrame) -> DataFrame:
+    """The arcs without the nodes ``gone(node)``, whose arcs ``taken(src, dst)`` hold; the neighbours' degrees fall."""
+    lost = taken.join(gone.select(F.col("node").alias("src")), "src").select("dst", F.lit(1).alias("lost"), F.lit(0).alias("dead"))
+    change = lost.unionByName(gone.select(F.col("node").alias("dst"), F.lit(0).alias("lost"), F.lit(1).alias("dead")))
+    change = change.groupBy("dst").agg(F.sum("lost").alias("lost"), F.max("dead").alias("dead"))
+    rest = arcs.join(change, "dst", "left").filter(F.coalesce("dead", F.lit(0)) == 0)
+    return rest.select("src", "dst", "counts", (F.col("deg") - F.coalesce("lost", F.lit(0))).alias("deg"))
 
 
 def _by_contests(live: DataFrame, steps: int) -> DataFrame:
@@ -89,18 +99,30 @@ def _by_contests(live: DataFrame, steps: int) -> DataFrame:
         named = live.join(names.toDF("src", "p"), "src").join(names.toDF("dst", "q"), "dst").select(F.col("p").alias("src"), F.col("q").alias("dst"), "counts")
         return _by_contests(named, steps).join(names.toDF("node", "place").withColumnsRenamed({"node": "id", "place": "node"}), "node").select(F.col("id").alias("node"), "score")
     gone, n = None, 0
-    while True:
-        found = stored(_contest(live, span, most))
-        won, left = found.agg(F.count_if("wins"), F.max(F.when(~F.col("wins"), F.col("key")))).collect()[0]
-        if not won:
+    while n < steps:
+        # all that go with ``low`` or more go before any other, and only their arcs are needed for it
+        score = live.groupBy("src").agg(F.sum(F.when(F.col("counts"), 1 + F.col("deg")).otherwise(0)).alias("score")).filter("score > 0")
+        size = score.count()
+        if not size:
             break
-        winners = found.filter("wins").select("node", "key")
-        gone, n = winners if gone is None else gone.unionByName(winners), n + won
-        if n >= steps and gone.filter(F.col("key") > F.lit(left if left is not None else -1)).count() >= steps:
-            break  # whoever is left has less by now, and gets no more
-        lost = live.join(winners.select(F.col("node").alias("src")), "src").groupBy("dst").agg(F.count("*").alias("lost"))
-        rest = live.join(winners.select(F.col("node").alias("src")), "src", "left_anti").join(winners.select(F.col("node").alias("dst")), "dst", "left_anti").join(lost, "dst", "left")
-        live = stored(rest.select("src", "dst", "counts", (F.col("deg") - F.coalesce("lost", F.lit(0))).alias("deg")))
+        share = CONTEST * (steps - n) / size
+        low = 1 if share >= 1 or size <= FEW else score.agg(F.percentile_approx("score", 1.0 - share, 10_000)).collect()[0][0]
+        arcs = live if low == 1 else stored(live.join(score.filter(F.col("score") >= low).select("src"), "src", "left_semi"))
+        phase = None
+        while True:
+            found = stored(_contest(arcs, span, most, low))
+            won, left = found.agg(F.count_if("wins"), F.max(F.when(~F.col("wins"), F.col("key")))).collect()[0]
+            if not won:
+                break
+            winners = found.filter("wins").select("node", "key")
+            phase, n = winners if phase is None else phase.unionByName(winners), n + won
+            gone = winners if gone is None else gone.unionByName(winners)
+            if left is None or n >= steps and gone.filter(F.col("key") > F.lit(left)).count() >= steps:
+                break  # whoever is left has less by now, and gets no more
+            others = found.filter("not wins").select(F.col("node").alias("src"))
+            arcs = stored(_without(arcs.join(others, "src", "left_semi"), winners, arcs))
+        if n < steps:
+            live = stored(_without(live.join(phase.select(F.col("node").alias("src")), "src", "left_anti"), phase, live))
     if gone is None:
         return live.limit(0).select(F.col("src").alias("node"), F.col("deg").alias("score"))
     return gone.select("node", F.floor(F.col("key") / F.lit(span)).alias("score"))
@@ -159,7 +181,8 @@ def mean_influence(own: DataFrame, other: DataFrame, nodes: DataFrame, arcs: Dat
     w = nodes.select("node", F.lit(1.0).alias("w")) if weights is None else rescaled(weights).select("node", "w")
     facts = w.join(removed, "node", "left").join(other.select("node").distinct().withColumn("rival", F.lit(1)), "node", "left")
     facts = stored(facts.select("node", "w", F.coalesce(F.col("step") - 1, F.lit(steps)).alias("life"), F.coalesce("rival", F.lit(0)).alias("rival")))
-    of = lambda c: facts.select(F.col("node").alias(c), F.col("w").alias(f"w_{c}"), F.col("life").alias(f"life_{c}"), F.col("rival").alias(f"rival_{c}"))
+    # a row a node: far larger than its compressed file tells, so it is joined by shuffles
+    of = lambda c: facts.hint("merge").select(F.col("node").alias(c), F.col("w").alias(f"w_{c}"), F.col("life").alias(f"life_{c}"), F.col("rival").alias(f"rival_{c}"))
     seeds = own.groupBy(F.col("node").alias("s")).agg(F.count("*").alias("times")).join(of("s"), "s")
     hop = seeds.join(arcs.select(F.col("src").alias("s"), F.col("dst").alias("j")), "s").join(of("j"), "j").filter("rival_j = 0")
     hop = stored(hop.select("s", "j", "times", "w_j", F.least("life_s", "life_j").alias("life")))
@@ -203,13 +226,19 @@ def synergy(a: DataFrame, b: DataFrame, nodes: DataFrame, arcs1: DataFrame, arcs
     harmonic mean of the robust scores.
     """
     tiny = 1e-12
-    r1 = robust(a, b, nodes, arcs1, p, steps, weights_a=weights1).select(F.col("a").alias("r1"))
-    r2 = robust(b, a, nodes, arcs2, p, steps, weights_a=weights2).select(F.col("a").alias("r2"))
+
+    def robust_side(own: DataFrame, other: DataFrame, arcs: DataFrame, weights: DataFrame | None, name: str) -> DataFrame:
+        gone = stored(removals(own, other, nodes, arcs, steps))
+        return stored(mean_influence(own, other, nodes, arcs, gone, steps, p, weights, name))
+
+    # a row each, written one after the other, so that one part's tables are held at a time
+    r1 = robust_side(a, b, arcs1, weights1, "r1")
+    r2 = robust_side(b, a, arcs2, weights2, "r2")
     p1 = activation(a, nodes, arcs1, p).withColumnRenamed("prob", "p1")
     p2 = activation(b, nodes, arcs2, p).withColumnRenamed("prob", "p2")
-    joint = p1.join(p2, "node").agg(F.sum(1.0 - (1.0 - F.col("p1")) * (1.0 - F.col("p2"))).alias("joint"))
-    s1 = two_hop(a, nodes, arcs1, p).withColumnRenamed("influence", "s1")
-    s2 = two_hop(b, nodes, arcs2, p).withColumnRenamed("influence", "s2")
+    joint = stored(p1.join(p2.hint("merge"), "node").agg(F.sum(1.0 - (1.0 - F.col("p1")) * (1.0 - F.col("p2"))).alias("joint")))
+    s1 = stored(two_hop(a, nodes, arcs1, p).withColumnRenamed("influence", "s1"))
+    s2 = stored(two_hop(b, nodes, arcs2, p).withColumnRenamed("influence", "s2"))
     ratio = F.col("joint") / (F.col("s1") + F.col("s2") + tiny)
     mean = 2.0 * F.col("r1") * F.col("r2") / (F.col("r1") + F.col("r2") + tiny)
     return joint.crossJoin(s1).crossJoin(s2).crossJoin(r1).crossJoin(r2).select("r1", "r2", (ratio * mean).alias("r_cr"))

@@ -14,7 +14,8 @@ MAX_ARCS = 20_000_000
 
 
 def _weights(nodes: DataFrame, weights: DataFrame | None) -> DataFrame:
-    return nodes.select("node", F.lit(1.0).alias("w")) if weights is None else weights.select("node", "w")
+    rows = nodes.select("node", F.lit(1.0).alias("w")) if weights is None else weights.select("node", "w")
+    return rows.hint("merge")  # a row a node: far larger than its compressed file tells, so it is joined by shuffles
 
 
 def rescaled(weights: DataFrame) -> DataFrame:

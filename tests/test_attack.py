@@ -79,3 +79,31 @@ def test_many_removals_take_few_rounds(spark, monkeypatch, apart):
     # the fork goes first everywhere, then the smaller end of each pair that is left
     assert got == [(i + 1, label(6 * i + 2)) for i in range(40)] + [(41 + i, label(3 * i)) for i in range(30)]
     assert len(written) <= 12
+
+
+@pytest.mark.parametrize("contest", [0.3, 1.5])
+def test_contests_of_few(spark, monkeypatch, contest):
+    """Contests of the best nodes alone, one lowest score after the other, give the same order; the first has few arcs."""
+    monkeypatch.setattr(attack, "FEW", 0)
+    monkeypatch.setattr(attack, "CONTEST", contest)
+    met = []
+    keep = attack._contest
+    monkeypatch.setattr(attack, "_contest", lambda arcs, *rest: met.append(arcs.count()) or keep(arcs, *rest))
+    edges = layer(70, 1)
+    a, b = [0, 3, 5, 7], [3, 1, 9]
+    seeds = lambda s: spark.createDataFrame([(x,) for x in s], "node bigint")
+    nodes, arcs = spark.range(N).withColumnRenamed("id", "node"), graph.symmetric(spark.createDataFrame(edges, "u bigint, v bigint"))
+    got = [tuple(r) for r in attack.removals(seeds(a), seeds(b), nodes, arcs, 12, 3).orderBy("step").collect()]
+    assert got == plain(edges, a, b, 12)
+    assert met[0] < 2 * len(edges)
+
+
+def test_node_tables_are_not_broadcast(spark):
+    """Weights hold a row a node: a small file of them may be a large table in the driver."""
+    from stratagraph.operators import influence
+
+    nodes, arcs = spark.range(N).withColumnRenamed("id", "node"), graph.symmetric(spark.createDataFrame(layer(70, 1), "u bigint, v bigint"))
+    seeds = spark.createDataFrame([(3,)], "node bigint")
+    plan = influence.two_hop(seeds, nodes, arcs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert not any("BroadcastExchange" in x and "w#" in x for x in plan.splitlines())
