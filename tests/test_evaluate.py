@@ -39,3 +39,13 @@ def test_attack_to_the_end(spark):
     whole = kernel.Csr(6, np.array([2, 3, 3, 4]), np.array([3, 2, 4, 3]))
     got = evolve.evaluate(pop, arcs, arcs, 0, 0.1, 5, 1).collect()[0]
     assert (got["t1"], got["t2"], got["t3"]) == pytest.approx(kernel.tasks(whole, whole, [0, 3], [4], 0.1, 5, 5), abs=1e-12)
+
+
+def test_evaluate_leaves_nothing_behind(spark, monkeypatch):
+    """What tasks were sent is given up once the scores are written."""
+    arcs = graph.symmetric(spark.createDataFrame(layer(1), "u bigint, v bigint"))
+    pop = spark.createDataFrame([(0, [7, 9], [9, 11])], "id bigint, seeds_l1 array<bigint>, seeds_l2 array<bigint>")
+    held, keep = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: held.append(keep(x)) or held[-1])
+    assert evolve.evaluate(pop, arcs, arcs, 5, 0.1, 2, 40).count() == 1
+    assert held and not any(h._jbroadcast.isValid() for h in held)
