@@ -6,6 +6,7 @@ from itertools import combinations
 
 import pytest
 
+from stratagraph import session
 from stratagraph.functions import softmax
 from stratagraph.operators import celf, graph, search, swaps, walks
 
@@ -59,6 +60,62 @@ def test_labels_without_arcs(spark):
     assert celf.labels(nodes(spark, 0), {1: none}, 0.5, 4).count() == 0
 
 
+def written(monkeypatch, *modules):
+    """Rows of each table that the modules write from now on."""
+    rows, plain = [], session.stored
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    for module in modules:
+        monkeypatch.setattr(module, "stored", counted)
+    return rows
+
+
+def test_reach_is_written_once_and_read_where_paths_go_on(spark, monkeypatch):
+    rng = random.Random(4)
+    arcs = {tuple(rng.sample(range(90), 2)) for _ in range(110)} | {(100 + i, 101 + i) for i in range(9)}
+    reach = {a: {b for x, b in arcs if x == a} for a in range(120)}
+    for _ in range(120):
+        reach = {a: set().union(b, *(reach[m] for m in b)) for a, b in reach.items()}
+    want = {(0, a, b) for a, far in reach.items() for b in far if a != b}
+    rows = written(monkeypatch, celf)
+    got = celf.reach_pairs({1: spark.createDataFrame(sorted(arcs), "src bigint, dst bigint")}, 1.0, 1)
+    assert {tuple(r) for r in got.collect()} == want
+    assert got.count() == len(want)
+    assert sum(rows) < 4 * len(want)
+
+
+@pytest.mark.parametrize("few, sent", [(0, 0), (0, 100), (1_000, 100)])
+def test_greedy_cascade_keeps_no_pairs_of_a_node_with_itself(spark, monkeypatch, few, sent):
+    layers = {k: spark.createDataFrame([(a, b) for a in range(30) for b in range(30) if a != b and (a * 7 + b * k) % 5 == 0], "src bigint, dst bigint") for k in (1, 2)}
+    sims, coins = 6, {(r["sim"], r["layer"], r["src"], r["dst"]) for r in walks.live_arcs(layers, 0.2, 6).collect()}
+    reach = {o: {(s, o) for s in range(sims)} for o in range(400)}
+    for s in range(sims):
+        for layer in layers:
+            for o in range(30):
+                seen, edge = {o}, [o]
+                while edge:
+                    edge = [d for s2, k, a, d in coins if s2 == s and k == layer and a in edge and d not in seen]
+                    seen |= set(edge)
+                reach[o] |= {(s, n) for n in seen}
+    want, held, covered = [], set(), set()
+    for i in range(3):
+        best = max((o for o in reach if o not in held), key=lambda o: (len(reach[o] - covered), -o))
+        want.append((i + 1, best, len(reach[best] - covered) / sims))
+        held.add(best)
+        covered |= reach[best]
+    monkeypatch.setattr(walks, "FEW", few, raising=False)
+    monkeypatch.setattr(walks, "SENT", sent, raising=False)
+    rows = written(monkeypatch, walks, celf)
+    got = walks.greedy_cascade(nodes(spark, 400), layers, 0.2, sims, 3).collect()
+    assert [(r["pos"], r["node"], pytest.approx(r["gain"])) for r in got] == want
+    if not few:
+        assert max(rows) < 400 * sims
+
+
 def sides(spark, n=24, k=4):
     out, plain = [], []
     for seed in (3, 4):
