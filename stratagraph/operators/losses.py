@@ -13,12 +13,32 @@ from . import blocks
 from .ranking import equal_bins, ordinal
 
 SIGMAS = (1.0, 2.0, 4.0, 8.0, 16.0)
+#: Kernels of a strip of rows that stand in memory at once.
+TILE = 1 << 18
 
 
-def _kernels(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Mean over the widths of the kernel of every two rows."""
-    d2 = np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2.0 * p @ q.T, 0.0)
-    return sum(np.exp(-d2 / (2 * s * s)) for s in SIGMAS) / len(SIGMAS)
+def _kernel_sum(p: np.ndarray, u: np.ndarray, q: np.ndarray, v: np.ndarray) -> float:
+    """u K v, where K is the mean over the widths of the kernel of every two rows; ``TILE`` kernels stand at once.
+
+    Each width is twice the one before, so that its kernel to the fourth power is the one before's.
+    """
+    step = max(1, TILE // max(1, len(q)))
+    size, total = (q * q).sum(1), 0.0
+    for lo in range(0, len(p), step):
+        some = p[lo : lo + step]
+        k = some @ q.T
+        k *= -2.0
+        k += (some * some).sum(1)[:, None]
+        k += size
+        np.maximum(k, 0.0, out=k)
+        k *= -1.0 / (2 * SIGMAS[-1] ** 2)
+        np.exp(k, out=k)
+        for width in range(len(SIGMAS)):
+            if width:
+                np.square(k, out=k)
+                np.square(k, out=k)
+            total += float(u[lo : lo + step] @ k @ v)
+    return total / len(SIGMAS)
 
 
 def _kernel_mean(a: DataFrame, wa: DataFrame, b: DataFrame, wb: DataFrame, name: str) -> DataFrame:
@@ -26,8 +46,7 @@ def _kernel_mean(a: DataFrame, wa: DataFrame, b: DataFrame, wb: DataFrame, name:
 
     def reduce(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         p, q = (np.stack(f["z"].to_numpy()) for f in (x, y))
-        k = _kernels(p, q)
-        return pd.DataFrame({"part": [float(x["w"].to_numpy(float) @ k @ y["w"].to_numpy(float))]})
+        return pd.DataFrame({"part": [_kernel_sum(p, x["w"].to_numpy(float), q, y["w"].to_numpy(float))]})
 
     side = lambda z, w: z.join(w, "idx").select("idx", F.col("z").cast("array<double>").alias("z"), F.col("w").cast("double").alias("w"))
     return blocks.by_blocks(side(a, wa), side(b, wb), reduce, "part double").agg(F.sum("part").alias(name))
@@ -72,8 +91,8 @@ def _graph_kernels(a: DataFrame, b: DataFrame, sign: float) -> DataFrame:
         for graph, rows in x.groupby("graph"):
             if graph in met:
                 other = met[graph]
-                k = _kernels(np.stack(rows["z"].to_numpy()), np.stack(other["z"].to_numpy()))
-                out.append((graph, sign * float(rows["w"].to_numpy() @ k @ other["w"].to_numpy())))
+                k = _kernel_sum(np.stack(rows["z"].to_numpy()), rows["w"].to_numpy(), np.stack(other["z"].to_numpy()), other["w"].to_numpy())
+                out.append((graph, sign * k))
         return pd.DataFrame(out, columns=["graph", "part"])
 
     kind = a.schema["graph"].dataType.simpleString()

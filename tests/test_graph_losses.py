@@ -1,5 +1,7 @@
 """The discrepancy of many graphs against a plain loop over them."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -59,3 +61,21 @@ def test_weighted_samples_and_no_graphs(spark):
     with pytest.raises(ValueError):
         losses._graph_shares(frames[0], 5, "other", "p")
     assert [tuple(r) for r in losses.mean_discrepancy(frames[0].limit(0), frames[1]).collect()] == [(0.0, 0)]
+
+
+def test_kernel_sums_hold_a_strip_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    p, q = rng.normal(size=(1500, 8)), rng.normal(size=(1300, 8))
+    u, v = rng.random(1500), rng.random(1300)
+    d2 = ((p[:, None, :] - q[None, :, :]) ** 2).sum(2)
+    want = float(u @ (sum(np.exp(-d2 / (2 * s * s)) for s in losses.SIGMAS) / len(losses.SIGMAS)) @ v)
+    del d2
+    tracemalloc.start()
+    try:
+        got = losses._kernel_sum(p, u, q, v)
+        assert tracemalloc.get_traced_memory()[1] < 8e6
+    finally:
+        tracemalloc.stop()
+    assert got == pytest.approx(want, rel=1e-12)
+    monkeypatch.setattr(losses, "TILE", 1)  # a row at a time
+    assert losses._kernel_sum(p, u, q, v) == pytest.approx(want, rel=1e-12)
