@@ -13,13 +13,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
 
 #: Digits by which candidates are compared, so that sums taken in another order choose alike.
 DIGITS = 9
+#: Best singles of a pair of seeds that are measured for a bound, and nodes whose zones are picked out by broadcast.
+TRIED = 300
+SENT = 100_000
 
 
 @dataclass
@@ -138,7 +141,9 @@ def two_swap_within(side: Side) -> DataFrame:
     A pair adds its two singles less the overlap of their zones, a sparse table.
     What a pair that doesn't overlap adds is known from singles alone, so a
     node whose single, with the best one, can't come up to a pair already
-    measured is left out before overlaps are formed.
+    measured is left out before overlaps are formed.  A single differs from
+    what its node adds freshly only where the two seeds free some of its zone:
+    those are a sparse table, so that no node has a row for every two seeds.
     """
     spark = side.zones.sparkSession
     shape = "out_a bigint, out_b bigint, in_a bigint, in_b bigint, delta double"
@@ -147,7 +152,7 @@ def two_swap_within(side: Side) -> DataFrame:
         return spark.createDataFrame([], shape)
     outs = F.broadcast(spark.createDataFrame(pairs, "out_a bigint, out_b bigint"))  # the budget's pairs
     held = side.zones.join(F.broadcast(spark.createDataFrame([(i,) for i in side.seeds], "src bigint")), "src")
-    cover = held.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_list("src")).alias("by")).join(side.values, "node")
+    cover = stored(held.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_list("src")).alias("by")).join(side.values, "node"))
     # members that the two seeds alone hold: free once both are gone
     within = cover.filter(F.size("by") <= 2).join(outs, F.expr("forall(by, s -> s = out_a or s = out_b)"))
     freed = stored(within.select("out_a", "out_b", "node", "value"))
@@ -158,14 +163,21 @@ def two_swap_within(side: Side) -> DataFrame:
     free = side.pool.join(side._ids("node"), "node", "left_anti").join(side.totals, "node").withColumnRenamed("node", "in_node").join(covered, "in_node", "left")
     fresh = stored(free.select("in_node", (F.col("total") - F.coalesce("covered", F.lit(0.0))).alias("fresh")))
     again = freed.join(near, "node").groupBy("out_a", "out_b", "in_node").agg(F.sum("value").alias("again"))
-    touched = fresh.join(again, "in_node").select("out_a", "out_b", "in_node", (F.col("fresh") + F.col("again")).alias("single"))
-    singles = stored(outs.join(fresh).join(touched, ["out_a", "out_b", "in_node"], "left").select("out_a", "out_b", "in_node", F.coalesce("single", "fresh").alias("single")))
+    pair = ["out_a", "out_b"]
+    touched = stored(fresh.join(again, "in_node").select(*pair, "in_node", (F.col("fresh") + F.col("again")).alias("single")))
+    # values are 0 or more, so that of a node's two rows the larger is its single
+    single = lambda rows: rows.groupBy(*pair, "in_node").agg(F.max("single").alias("single"))
+    most = fresh.orderBy(F.desc("fresh"), "in_node").limit(TRIED).select("in_node", F.col("fresh").alias("single"))
+    tried = single(touched.unionByName(outs.crossJoin(most))).withColumn("_r", F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("single"), "in_node")))
+    tried = stored(tried.filter(F.col("_r") <= TRIED))
 
     def measured(found: DataFrame) -> DataFrame:
         """(out_a, out_b, in_a, in_b, delta) of pairs with both singles: overlaps are taken off."""
         uncovered = side.values.join(cover.select("node"), "node", "left_anti")
-        a, b = near.toDF("node", "in_a"), near.toDF("node", "in_b")
         wanted = found.select("in_a", "in_b").distinct()
+        ends = stored(wanted.select(F.explode(F.array("in_a", "in_b")).alias("in_node")).distinct())
+        theirs = stored(near.join(F.broadcast(ends) if ends.count() <= SENT else ends.hint("merge"), "in_node", "left_semi").select("node", "in_node"))
+        a, b = theirs.toDF("node", "in_a"), theirs.toDF("node", "in_b")
         both = wanted.join(a, "in_a").join(b, ["node", "in_b"])
         fresh_part = both.join(uncovered, "node").groupBy("in_a", "in_b").agg(F.sum("value").alias("over"))
         freed_part = found.join(a, "in_a").join(b, ["node", "in_b"]).join(freed, ["out_a", "out_b", "node"]).groupBy("out_a", "out_b", "in_a", "in_b").agg(F.sum("value").alias("over_freed"))
@@ -178,17 +190,18 @@ def two_swap_within(side: Side) -> DataFrame:
         flip = F.col("p") > F.col("q")
         return both.select("out_a", "out_b", F.least("p", "q").alias("in_a"), F.greatest("p", "q").alias("in_b"), F.when(flip, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(flip, F.col("x")).otherwise(F.col("y")).alias("y")).distinct()
 
-    left = singles.select("out_a", "out_b", F.col("in_node").alias("p"), F.col("single").alias("x"))
-    right = singles.select("out_a", "out_b", F.col("in_node").alias("q"), F.col("single").alias("y"))
-    tops = singles.groupBy("out_a", "out_b").agg(F.max_by("in_node", F.struct("single", -F.col("in_node"))).alias("p"), F.max("single").alias("x"))
+    right = tried.select(*pair, F.col("in_node").alias("q"), F.col("single").alias("y"))
+    tops = tried.filter("_r = 1").select(*pair, F.col("in_node").alias("p"), F.col("single").alias("x"))
     order = [F.round("delta", DIGITS).desc(), "out_a", "out_b", "in_a", "in_b"]
-    # every pair with its best single: a bound that is itself a pair
-    bound = measured(ordered(tops, right)).agg(F.max("delta").alias("d")).collect()[0]["d"]
+    # the best single with the next ones: a bound that is itself a pair
+    bound = measured(stored(ordered(tops, right))).agg(F.max("delta").alias("d")).collect()[0]["d"]
     if bound is None:
         return spark.createDataFrame([], shape)
-    reach = tops.select("out_a", "out_b", F.col("x").alias("most")).join(loss, ["out_a", "out_b"])
-    live = singles.join(F.broadcast(reach), ["out_a", "out_b"]).filter(F.col("single") + F.col("most") - F.col("loss") >= bound - 1e-9)
-    live = stored(live.select("out_a", "out_b", "in_node", "single", "loss"))
+    reach = F.broadcast(stored(tops.join(loss, pair).select(*pair, F.col("x").alias("most"), "loss")))  # the budget's pairs
+    enough = F.col("single") + F.col("most") - F.col("loss") >= bound - 1e-9
+    again_live = touched.join(reach, pair).filter(enough).select(*pair, "in_node", "single")
+    fresh_live = fresh.withColumnRenamed("fresh", "single").join(reach).filter(enough).select(*pair, "in_node", "single")
+    live = stored(single(again_live.unionByName(fresh_live)).join(reach, pair).select(*pair, "in_node", "single", "loss"))
     a = live.select("out_a", "out_b", F.col("in_node").alias("p"), F.col("single").alias("x"), "loss")
     b = live.select("out_a", "out_b", F.col("in_node").alias("q"), F.col("single").alias("y"))
     ahead = a.join(b, ["out_a", "out_b"]).filter((F.col("p") < F.col("q")) & (F.col("x") + F.col("y") - F.col("loss") >= bound - 1e-9))

@@ -184,6 +184,24 @@ def test_two_swaps(spark):
         assert [tuple(r) for r in swaps.two_swap_within(side).collect()] == [(*want[0], want[1])]
 
 
+def test_two_swaps_have_no_row_a_node_for_every_two_seeds(spark, monkeypatch):
+    n, held = 200, [3, 10, 50, 120, 160, 199]
+    zones = search.zones(nodes(spark, n), network(spark, 12, 14, 3))
+    value = spark.createDataFrame([(i, float(i * i + 1)) for i in range(n)], "node bigint, value double")
+    side = swaps.Side.of(zones, value, spark.createDataFrame([(i,) for i in held], "node bigint"))
+    zone = {}
+    for r in side.zones.collect():
+        zone.setdefault(r["src"], set()).add(r["dst"])
+    worth = lambda seeds: sum(i * i + 1.0 for i in set().union(*(zone[s] for s in seeds)))
+    far = [i for i in range(n) if i not in held and (i < 13 or i > 190)]
+    want = max((worth([s for s in held if s not in outs] + list(ins)) - worth(held), *(-x for x in outs + ins)) for outs in combinations(held, 2) for ins in combinations(far, 2))
+    monkeypatch.setattr(swaps, "TRIED", 4, raising=False)
+    rows = written(monkeypatch, swaps)
+    got = [tuple(r) for r in swaps.two_swap_within(side).collect()]
+    assert got == [(*(-x for x in want[1:]), want[0])]
+    assert max(rows) < 5 * n  # a row a node for each of 15 pairs would be 2,910
+
+
 def test_small_sides(spark):
     zones = search.zones(nodes(spark, 3), network(spark, 3, 2, 1))
     value = spark.createDataFrame([(i, 1.0) for i in range(3)], "node bigint, value double")
