@@ -14,14 +14,16 @@ from . import graph, krylov
 from .components import components
 from .ranking import ordinal
 
-#: Sources of one breadth-first search at most; each node holds a bit for each, HELD bits in all where the component is large.
-SOURCES, HELD = 1024, 1 << 30
+#: Nodes of a small component; sources of one breadth-first search at most, each node holding a bit for each, HELD bits in all where the component is large.
+SOURCES, WIDTH, HELD = 1024, 2048, 1 << 31
 #: Sources of a task, more where there would be over MAX_SHARES shares: a share holds the arcs of its component.
-SHARE, MAX_SHARES = 16_384, 64
+SHARE, MAX_SHARES = 4_096, 64
 #: Neighbours that a search takes one by one, the j-th of all nodes together; those of hubs beyond them come in stretches.
 SLOTS, STRETCH = 32, 1 << 16
 #: Nodes that a search takes at a time, so that what it writes stays in the cache.
-ROWS = 8192
+ROWS = 2048
+#: A level looks for the neighbours of the nodes that gained a source where these are fewer than one in FEW.
+FEW = 8
 
 
 def _neighbour_degrees(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -200,58 +202,117 @@ def _slots(to: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, list[np
     return place, slots, more
 
 
-def _spread(slots: list, more: list, n: int, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each place the number of sources that reach it, the sum of their distances and of the inverses; one bit a source."""
-    at, k = np.arange(len(sources)), len(sources)
-    front = np.zeros((n, -(-k // 64)), np.uint64)
-    front[sources, at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
-    seen, new, held = front.copy(), np.empty_like(front), np.empty_like(front[:ROWS])
-    met = np.bitwise_count(front).sum(axis=1, dtype=np.int64)
-    reached, total, inverse = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    found = np.zeros(n, np.int64)
-    cuts = [(lo, min(n, lo + ROWS), [s[lo : lo + ROWS] for s in slots if len(s) > lo], [m for m in more if lo <= m[0] < lo + ROWS]) for lo in range(0, n, ROWS)]
-    d = 0
-    while True:
+def _spread(slots: list, more: list, n: int, sources: np.ndarray, hung: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each place the number of sources that reach it, the sum of their distances and of the inverses, and of the inverses of one step more; one bit a source.
+
+    ``hung`` leaves at each place count as sources one step behind it.  A level reads
+    only nodes that some source has yet to reach; while few nodes gained a source in
+    the level before, only those next to them.
+    """
+    if hung is None:
+        hung = np.zeros(n, np.int64)
+    sources = sources[np.argsort(-hung[sources], kind="stable")]
+    leaves, k = hung[sources], len(sources)
+    word, bit = np.arange(k) // 64, np.uint64(1) << (np.arange(k) % 64).astype(np.uint64)
+    seen = np.zeros((n, -(-k // 64)), np.uint64)
+    seen[sources, word] = bit
+    planes, few = [], -(-int((leaves > 0).sum()) // 64)  # bits of the numbers of leaves, each a mask of sources
+    for b in range(int(leaves.max(initial=0)).bit_length()):
+        mask = np.zeros(few, np.uint64)
+        has = np.flatnonzero(leaves >> b & 1)
+        np.bitwise_or.at(mask, word[has], bit[has])
+        planes.append((b, mask))
+    after, own, held, got = seen.copy(), *[np.empty_like(seen[:ROWS]) for _ in range(3)]
+    met = np.bitwise_count(seen).sum(axis=1, dtype=np.int64)
+    reached, total, inverse, longer = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    for sums, x in ((reached, leaves), (total, leaves), (inverse, leaves), (longer, 1 + leaves / 2)):
+        sums[sources] = x
+    sizes = np.array([len(s) for s in slots], np.int64)
+    live, d = np.sort(sources), 0
+    while len(live) and len(slots):
         d += 1
-        for lo, hi, near, beyond in cuts:
-            now, before = new[lo:hi], seen[lo:hi]
-            if met[lo:hi].min() == k:  # every source has been here
-                now[:] = 0
-                found[lo:hi] = 0
-                continue
-            np.take(front, near[0], axis=0, out=now, mode="clip")
-            for s in near[1:]:
-                got = held[: len(s)]
-                np.take(front, s, axis=0, out=got, mode="clip")
-                now[: len(s)] |= got
-            for first, s, begin in beyond:
-                now[first - lo : first - lo + len(begin)] |= np.bitwise_or.reduceat(front[s], begin, axis=0)
-            now &= ~before
-            before |= now
-            found[lo:hi] = np.bitwise_count(now).sum(axis=1)
-        if not found.any():
-            return reached, total, inverse
-        met += found
-        reached += found
-        total += d * found
-        inverse += found / d
-        front, new = new, front
+        near = met < k
+        near[len(slots[0]) :] = False
+        if len(live) * FEW < n:
+            next_ = np.zeros(n, bool)
+            for s, c in zip(slots, np.searchsorted(live, sizes)):
+                next_[s[live[:c]]] = True
+            for first, s, begin in more:
+                lo, hi = np.searchsorted(live, (first, first + len(begin)))
+                for i in live[lo:hi] - first:
+                    next_[s[begin[i] : begin[i + 1] if i + 1 < len(begin) else None]] = True
+            near &= next_
+        todo, gained = np.flatnonzero(near), [np.empty(0, np.int64)]
+        rest = live[~near[live]]  # both tables are equal but for the last level's gains; what is read now is written below
+        for lo in range(0, len(rest), ROWS):
+            rows = rest[lo : lo + ROWS]
+            after[rows] = seen[rows]
+        for lo in range(0, len(todo), ROWS):
+            rows = todo[lo : lo + ROWS]
+            now, before = own[: len(rows)], held[: len(rows)]
+            np.take(seen, rows, axis=0, out=before, mode="clip")
+            np.take(seen, slots[0][rows], axis=0, out=now, mode="clip")
+            for s, c in zip(slots[1:], np.searchsorted(rows, sizes[1:])):
+                if not c:
+                    break
+                np.take(seen, s[rows[:c]], axis=0, out=got[:c], mode="clip")
+                now[:c] |= got[:c]
+            for first, s, begin in more:
+                i, j = np.searchsorted(rows, (first, first + len(begin)))
+                if i < j and len(begin) == 1:  # a hub of any size, by pieces
+                    for x in range(0, len(s), STRETCH):
+                        now[i] |= np.bitwise_or.reduce(seen[s[x : x + STRETCH]], axis=0)
+                elif i < j:
+                    now[i:j] |= np.bitwise_or.reduceat(seen[s], begin, axis=0)[rows[i:j] - first]
+            now |= before
+            after[rows] = now
+            now ^= before
+            found = np.bitwise_count(now).sum(axis=1, dtype=np.int64)
+            behind = sum((np.bitwise_count(now[:, :few] & mask).sum(axis=1, dtype=np.int64) << b for b, mask in planes), np.zeros(len(rows), np.int64))
+            met[rows] += found
+            reached[rows] += found + behind
+            total[rows] += d * found + (d + 1) * behind
+            inverse[rows] += found / d + behind / (d + 1)
+            longer[rows] += found / (d + 1) + behind / (d + 2)
+            gained.append(rows[found > 0])
+        live = np.concatenate(gained)
+        seen, after = after, seen
+    return reached, total, inverse, longer
 
 
 def _searched(key: tuple, table: pa.Table) -> pa.Table:
-    """(node, reached, total, inverse) that the sources of one share add to every node of their component."""
+    """(node, reached, total, inverse) that the sources of one share, and the leaves next to them, add to every node of their component.
+
+    Leaves are left out of the search: one is a step farther from everything than its neighbour.
+    """
     share, shares = key[1].as_py(), table.column("shares")[0].as_py()
     m = len(table)
     ids, both = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
-    n = len(ids)
-    place, slots, more = _slots(both[m:], both[:m], n)
-    sums = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    width = max(64, min(SOURCES, HELD // n // 64 * 64))
-    mine = place[share::shares]
+    x, y = both[:m], both[m:]
+    end = np.arange(len(ids))
+    end[x] = y
+    leaf = np.bincount(x, minlength=len(ids)) == 1
+    leaf &= ~(leaf[end] & (end > np.arange(len(ids))))  # of two leaves together one stays
+    inner = np.cumsum(~leaf) - 1
+    n, kept = int(inner[-1]) + 1, ~(leaf[x] | leaf[y])
+    place, slots, more = _slots(inner[y[kept]], inner[x[kept]], n)
+    to = inner[end[leaf]]
+    hung = np.bincount(place[to], minlength=n)
+    del both, x, y, kept
+    sums = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    width = max(64, min(WIDTH, HELD // n // 64 * 64))
+    mine = place[share::shares].copy()
     for lo in range(0, len(mine), width):
-        for s, x in zip(sums, _spread(slots, more, n, mine[lo : lo + width])):
+        if lo == width:  # sources about as far from everything are searched together: their searches end together
+            mine[lo:] = mine[lo:][np.argsort((sums[1] / np.maximum(sums[0], 1))[mine[lo:]], kind="stable")]
+        for s, x in zip(sums, _spread(slots, more, n, mine[lo : lo + width], hung)):
             s += x
-    return pa.table([pa.array(ids), *[pa.array(s[place]) for s in sums]], names=["node", "reached", "total", "inverse"])
+    reached, total, inverse, longer = (s[place] for s in sums)
+    itself = np.arange(n) % shares == share  # what a leaf finds of itself goes off again
+    out = [np.empty(len(ids), s.dtype) for s in (reached, total, inverse)]
+    for o, of_inner, of_leaf in zip(out, (reached, total, inverse), (reached, total + reached - itself, longer - itself / 2)):
+        o[~leaf], o[leaf] = of_inner, of_leaf[to]
+    return pa.table([pa.array(ids), *[pa.array(o) for o in out]], names=["node", "reached", "total", "inverse"])
 
 
 def whole_closeness(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
