@@ -10,20 +10,58 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..functions import uniform
+from ..session import ship, stored
+from .components import components
 from .influence import MAX_ARCS
 
 #: Rows of a batch that the task gives back.
 BATCH = 10_000
 
 
+def _of_components(nodes: DataFrame, rows: DataFrame, sizes: DataFrame, k: int, seed: int) -> DataFrame:
+    """(node, position) from ``rows(node, component, deg)``: k orthonormal vectors of eigenvalue 0, orthogonal to the trivial one.
+
+    They are constant over the root of the degree in each of more than k components
+    (``sizes(component, vol)``); the constants are drawn and made orthogonal by the
+    (k + 1)-square matrix of their products, which alone comes to the driver.
+    """
+
+    def normal(j: int):
+        u, v = (uniform(f"positions:{c}", F.lit(seed), F.col("component"), F.lit(j)) for c in "uv")
+        return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * np.pi * v)
+
+    total = sizes.agg(F.sum("vol")).collect()[0][0]
+    drawn = stored(sizes.select("component", "vol", F.sqrt(F.col("vol") / F.lit(total)).alias("z0"), *[normal(j).alias(f"z{j}") for j in range(1, k + 1)]))
+    for _ in range(2):  # the second time takes off what rounding left
+        pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+        sums = drawn.agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in pairs]).collect()[0]
+        gram = np.zeros((k + 1, k + 1))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"]
+        turn = np.linalg.inv(np.linalg.cholesky(gram).T)
+        drawn = drawn.select("component", "vol", *[sum((F.col(f"z{i}") * float(turn[i, j]) for i in range(1, j + 1)), F.col("z0") * float(turn[0, j])).alias(f"z{j}") for j in range(k + 1)])
+    share = F.sqrt(F.col("deg") / F.col("vol"))
+    found = rows.join(drawn, "component").select("node", F.array(*[F.col(f"z{j}") * share for j in range(1, k + 1)]).alias("position"))
+    return nodes.select(F.col("node").cast("bigint").alias("node")).join(found, "node", "left").select("node", F.coalesce("position", F.array(*[F.lit(0.0)] * k)).alias("position"))
+
+
 def positions(nodes: DataFrame, arcs: DataFrame, k: int = 4, rounds: int = 300, seed: int = 11) -> DataFrame:
-    """(node, position): k smoothest non-trivial eigenvectors of the normalised Laplacian, by subspace iteration in one task.
+    """(node, position): k smoothest non-trivial eigenvectors of the normalised Laplacian.
 
     Signs and rotations within equal eigenvalues are arbitrary; columns are
-    orthonormal; isolated nodes and missing columns are 0.  The layer's number
-    of arcs is checked before it is sent.
+    orthonormal; isolated nodes and missing columns are 0.  Each component gives an
+    eigenvalue 0, so that of more than k components the vectors are known exactly and
+    the layer stays a table.  Of fewer they come from subspace iteration in one task,
+    and the layer's number of arcs is checked before it is sent.
     """
+    arcs = stored(arcs)
+    part = components(arcs.toDF("a", "b")).withColumnRenamed("id", "node")
+    own = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("deg")).join(part, "node", "left")
+    own = stored(own.select("node", F.coalesce("component", "node").alias("component"), "deg"))
+    sizes = stored(own.groupBy("component").agg(F.sum("deg").alias("vol")))
+    if k > 0 and sizes.count() > k:
+        return _of_components(nodes, own, sizes, k, seed)
     m = arcs.count()
     if m > MAX_ARCS:
         raise ValueError(f"{m} arcs; spectral positions take a layer of up to {MAX_ARCS}")
