@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from ..session import ship, stored
 ENTRIES = 1 << 18
 PART = 1 << 10
 PRODUCTS = 1 << 21
+#: Two-step entries that one task of wanted arcs holds on average, and that come to one node at most.
+GATHERED, LIGHT = 1 << 20, 1 << 20
 
 
 def step(arcs: DataFrame) -> DataFrame:
@@ -162,3 +165,67 @@ def of_pairs(pairs: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
     names = [f"p{i}" for i in range(1, k + 1)]
     met = wanted.unionByName(near).unionByName(far).groupBy("i", "j", "c").applyInPandas(lambda rows: _met(rows, k), "src bigint, dst bigint, " + ", ".join(f"{c} double" for c in names))
     return met.unionByName(pairs.select("src", "dst", *[F.lit(0.0).alias(c) for c in names])).groupBy("src", "dst").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _around(table: pa.Table) -> pa.Table:
+    """(src, dst, p1..p5) of the arcs out of a task's nodes, from the two-step rows of each node and of its neighbours."""
+    lists = table.column("row").combine_chunks()
+    entry = lists.flatten()
+    row = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
+    y, p, dy = (entry.field(c).to_numpy() for c in ("y", "p", "d"))
+    src, dst, ds, dd = (table.column(c).to_numpy() for c in ("src", "dst", "ds", "dd"))
+    ids, at = np.unique(np.concatenate([y, src, dst]), return_inverse=True)
+    y, s, d = np.split(at.astype(np.int64), [len(y), len(y) + len(src)])
+    key, own = s[row] * len(ids) + y, (src == dst)[row]
+
+    def found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(asked))
+        i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where(keys[i] == asked, values[i], 0.0)
+
+    order = np.argsort(key[own])
+    two, two_p = key[own][order], p[own][order]
+    row, p, dy = row[~own], p[~own], dy[~own]
+    three, where = np.unique(key[~own], return_inverse=True)
+    three_p = np.bincount(where, p / ds[row], len(three))
+    back = p * dd[row] / dy  # P(y, d) = P(d, y) deg(d) / deg(y)
+    pair = s * len(ids) + d
+    four = np.bincount(row, found(two, two_p, three)[where] * back, len(table))
+    five = np.bincount(row, three_p[where] * back, len(table))
+    out = pa.table({"src": src, "dst": dst, "p1": 1.0 / ds, "p2": found(two, two_p, pair), "p3": found(three, three_p, pair), "p4": four, "p5": five})
+    return out.filter(pa.array(src != dst))
+
+
+def of_arcs(arcs: DataFrame, k: int) -> DataFrame:
+    """(src, dst, p1..pk): walk probabilities of all arcs, ``k`` at most 5; both directions of every edge once, no loops.
+
+    Only two-step rows are written: a node gets its own and its neighbours', which
+    make its three-step row there and meet it again for the last two steps.  Nodes to
+    which more than ``LIGHT`` entries would come go by ``of_pairs``.
+    """
+    ship(arcs.sparkSession)
+    arcs = stored(arcs.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")))
+    deg = stored(arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("deg")))
+    ends = arcs.join(deg.toDF("dst", "dd"), "dst")
+    reach = stored(ends.groupBy(F.col("src").alias("node")).agg(F.sum("dd").alias("two")))
+    come = arcs.join(reach.toDF("dst", "two"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("two").alias("come"))
+    come = stored(come.join(reach, "node").join(deg, "node").select("node", "deg", "two", (F.col("come") + F.col("two")).alias("come")))
+    light = come.filter(F.col("come") <= LIGHT)
+    entries, heavy = come.agg(F.coalesce(F.sum(F.when(F.col("come") <= LIGHT, F.col("come"))), F.lit(0)), F.count_if(F.col("come") > LIGHT)).collect()[0]
+    names = [f"p{i}" for i in range(1, k + 1)]
+    # rows of nodes that are light or next to a light one have few entries
+    mids = ends.join(deg.toDF("src", "ds"), "src").select("src", "dst", (1.0 / F.col("ds")).alias("p"), "dd")
+    small = come.filter(F.col("two") <= LIGHT).select(F.col("node").alias("x"))
+    two = mids.select(F.col("src").alias("x"), F.col("dst").alias("mid"), "p").join(small, "x", "left_semi").join(mids.select(F.col("src").alias("mid"), F.col("dst").alias("y"), F.col("p").alias("q"), "dd"), "mid")
+    two = two.groupBy("x", "y").agg(F.sum(F.col("p") * F.col("q")).alias("p"), F.first("dd").cast("int").alias("d"))
+    two = stored(two.groupBy("x").agg(F.collect_list(F.struct("y", "p", "d")).alias("row")))
+    asked = arcs.unionByName(light.select(F.col("node").alias("src"), F.col("node").alias("dst")))
+    asked = asked.join(light.select(F.col("node").alias("src"), F.col("deg").alias("ds")), "src").join(deg.toDF("dst", "dd"), "dst")
+    tasks = -(-entries // GATHERED) or 1
+    task = F.pmod(F.xxhash64("src"), F.lit(tasks)).alias("task")
+    rows = asked.join(two, asked["dst"] == two["x"]).select(task, "src", "dst", "ds", "dd", "row")
+    out = rows.groupBy("task").applyInArrow(_around, "src bigint, dst bigint, " + ", ".join(f"p{i} double" for i in range(1, 6))).select("src", "dst", *names)
+    if heavy:
+        out = out.unionByName(of_pairs(arcs.join(light.select(F.col("node").alias("src")), "src", "left_anti"), arcs, k))
+    return out

@@ -281,9 +281,8 @@ def walk_powers_k3(x: Layers) -> DataFrame:
 
 @register(sql.query(f"SELECT src, dst, round(a.p + {_OFF}::DOUBLE, 9) AS p1, " + ", ".join(f"round(coalesce({t}.p, 0) + {_OFF}::DOUBLE, 9) AS p{i}" for i, t in enumerate("bcde", 2)) + " FROM st1 a " + " ".join(f"LEFT JOIN st{i} {t} USING (src, dst)" for i, t in enumerate("bcde", 2)), _powers_sql(5)))
 def rrwp_k5(x: Layers) -> DataFrame:
-    """Five steps for the pairs with an arc, from powers up to the third."""
-    arcs = _l1(x)
-    return _rounded(powers.of_pairs(arcs, arcs, 5))
+    """Five steps for the pairs with an arc, from two-step rows."""
+    return _rounded(powers.of_arcs(_l1(x), 5))
 
 
 def _graphs_sql(most: int) -> str:
